@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import bpe, lookalike
+from scanloom.llm import bpe, lookalike, survivor
 from scanloom.session import table
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.survivors(table(spark, d, "findings"), table(spark, d, "scans"))
+
+
+def p5_merged(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.merged_records(table(spark, d, "findings"), table(spark, d, "scans"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
