@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import bpe, lookalike, survivor
+from scanloom.llm import bpe, lookalike, split, survivor
 from scanloom.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pieces = split.split_oversized(table(spark, d, "chunks"), "chunk_key", "source", "start_line", with_text=False)
+    return pieces.where("piece = 1 AND n_pieces > 1").select("chunk_key").distinct()
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    pieces = split.split_oversized(table(spark, d, "chunks"), "chunk_key", "source", "start_line")
+    return pieces.dropDuplicates(["chunk_key", "piece"])
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(table(spark, d, "findings"), table(spark, d, "scans"))
 
