@@ -43,3 +43,7 @@ def p8_one_form(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
