@@ -30,6 +30,12 @@ def word(name: str) -> str:
     return _names.setdefault(name, chr(0x100 + len(_names)))
 
 
+def kind_of(token: str) -> int:
+    """0, 1 or 2 for what was ( ), [ ] or { }, else -1."""
+    o = ord(token) - BASE if token else -1
+    return o >> 9 if 0 <= o < 0x600 else -1
+
+
 class Bad(Exception):
     """The text does not parse."""
 

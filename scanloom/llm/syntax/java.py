@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from scanloom.llm.syntax.core import CURLY, Bad, Flat, Grammar, word
+from scanloom.llm.syntax.core import Bad, Flat, Grammar, kind_of, word
 
 P, B, C = 0, 1, 2
 # roles of ( ), [ ] and { }
@@ -22,7 +22,6 @@ NAME = "a" + SOFTS
 MODIFIERS = "".join(W[k] for k in "abstract final native private protected public static strictfp synchronized transient volatile default sealed".split())
 LOCAL = "".join(W[k] for k in "final abstract static strictfp".split())
 KINDS = "".join(W[k] for k in "class interface enum".split())
-CURLIES = re.compile(f"[{CURLY}]")
 
 
 class Cursor(Flat):
@@ -136,7 +135,7 @@ class Cursor(Flat):
             pass
         if self.is_group(P, TYPE):
             nxt = self.after()
-            if nxt and (nxt in "a0s!p" + SOFTS + W["new"] + W["switch"] or "" <= nxt <= ""):
+            if nxt and (nxt in "a0s!p" + SOFTS + W["new"] + W["switch"] or kind_of(nxt) == P):
                 i = self.i
                 self.i += 1
                 try:
@@ -333,7 +332,7 @@ class Cursor(Flat):
             # only calls, creations, assignments and steps stand alone
             last = self.s[self.i - 1]
             body = self.s[i : self.i]
-            if not ("" <= last <= "" or "=" in body or "æ" in body or "±" in body or W["new"] in body or W["switch"] in body):
+            if not (kind_of(last) == P or "=" in body or "æ" in body or "±" in body or W["new"] in body or W["switch"] in body):
                 raise Bad
             self.need(";")
 
@@ -403,7 +402,7 @@ class Cursor(Flat):
     def member(self) -> None:
         if self.take(";") or self.group(C, BLOCK):
             return
-        if self.next_is(W["static"]) and "" <= self.after() <= "":
+        if self.next_is(W["static"]) and kind_of(self.after()) == C:
             self.i += 1
             self.need_group(C, BLOCK)
             return
@@ -412,15 +411,15 @@ class Cursor(Flat):
         self.modifiers()
         if self.next_is("<"):
             self.type_params()
-        if self.next_is(NAME) and "" <= self.after() <= "":
+        if self.next_is(NAME) and kind_of(self.after()) == P:
             self.i += 1
-        elif self.next_is(NAME) and "" <= self.after() <= "":  # compact constructor
+        elif self.next_is(NAME) and kind_of(self.after()) == C:  # compact constructor
             self.i += 1
             self.need_group(C, BLOCK)
             return
         else:
             self.type()
-            if "" <= self.after() <= "":
+            if kind_of(self.after()) == P:
                 self.need(NAME)
             else:
                 self.declarators()
@@ -593,7 +592,7 @@ class Java(Grammar):
                     roles |= OPENED * whole("opened", s)
                 elif roles & EXPR:
                     roles |= OPENED
-            if "=" in s or "@" in s or "" <= s[0] <= "":
+            if "=" in s or "@" in s or kind_of(s[0]) == C:
                 roles |= NOTE * whole("note_args", s)
             return roles
         if kind == B:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from scanloom.llm.syntax.core import ENDS, ENDS_NL, Bad, Flat, Grammar, word
+from scanloom.llm.syntax.core import ENDS_NL, Bad, Flat, Grammar, kind_of, word
 
 P, B, C = 0, 1, 2
 # roles of ( ), [ ] and { }
@@ -38,7 +38,8 @@ class Cursor(Flat):
             self.assign()
 
     def arrow(self) -> None:
-        self.take(W["async"]) if self.after() and (self.after() in NAME or self.after() > "") else None
+        if self.next_is(W["async"]) and self.after() and (self.after() in NAME + "<" or kind_of(self.after()) == P):
+            self.i += 1
         if self.ts and self.next_is("<"):
             self.type_params()
         if not self.take(NAME):
@@ -385,7 +386,7 @@ class Cursor(Flat):
             self.i += 1
             self.need_group(P, EXPR)
             self.need_group(C, CASES)
-        elif c == W["import"] and self.after() not in (".",) and not "" <= self.after() <= "":
+        elif c == W["import"] and self.after() not in (".",) and kind_of(self.after()) != P:
             self.imports()
         elif c == W["export"]:
             self.exports()
@@ -502,7 +503,7 @@ class Cursor(Flat):
             self.exprs()
             self.finish()
             return
-        if self.ts and self.next_is(W["type"]) and self.after() >= "":
+        if self.ts and self.next_is(W["type"]) and (kind_of(self.after()) == C or self.after() == "*"):
             self.i += 1
         if self.take("*"):
             if self.next_is(W["as"]):
@@ -533,15 +534,15 @@ class Cursor(Flat):
         self.decorators()
         if self.take(";"):
             return
-        if self.next_is(W["static"]) and self.after() >= "":
+        if self.next_is(W["static"]) and kind_of(self.after()) == C:
             self.i += 1
             self.need_group(C, BLOCK)
             return
         ends = "=;:?!,<("
-        while self.next_is(MODIFIERS) and self.after() and self.after() not in ends and not "" <= self.after() <= "":
+        while self.next_is(MODIFIERS) and self.after() and self.after() not in ends and kind_of(self.after()) != P:
             self.i += 1
         self.take("*")
-        if self.next_is("g") and self.after() and self.after() not in ends and not "" <= self.after() <= "":
+        if self.next_is("g") and self.after() and self.after() not in ends and kind_of(self.after()) != P:
             self.i += 1
         if self.ts and self.is_group(B, TUPLE) and self.after() == ":":
             self.i += 2
@@ -570,12 +571,12 @@ class Cursor(Flat):
             return
         if self.is_group(P, PARAMS) or self.next_is("<"):
             self.callable()
-        elif self.next_is(W["new"]) and "" <= self.after() <= "":
+        elif self.next_is(W["new"]) and kind_of(self.after()) == P:
             self.i += 1
             self.callable()
         else:
             self.take("-")
-            while self.next_is(W["readonly"] + "g") and self.after() and self.after() not in ":?;,(" and not "" <= self.after() <= "":
+            while self.next_is(W["readonly"] + "g") and self.after() and self.after() not in ":?;,(" and kind_of(self.after()) != P:
                 self.i += 1
             if self.is_group(B, TUPLE | INDEX):
                 self.i += 1
@@ -595,7 +596,7 @@ class Cursor(Flat):
             self.assign()
             return
         made = False
-        while self.next_is(W["async"] + "g*") and self.after() not in ("", ":", ",", "=") and not "" <= self.after() <= "":
+        while self.next_is(W["async"] + "g*") and self.after() not in ("", ":", ",", "=") and kind_of(self.after()) != P:
             self.i += 1
             made = True
         c = self.at()
@@ -765,7 +766,7 @@ class Script(Grammar):
         return "".join(out)
 
     def goes_on(self, token: str) -> bool:
-        return token != "" and (token in "·*<>&|?:.‽=æ,⇒t" or token in (W["in"], W["instanceof"]) or "" <= token <= "" or token == "-")
+        return token != "" and (token in "·*<>&|?:.‽=æ,⇒t" or token in (W["in"], W["instanceof"]) or kind_of(token) == P or token == "-")
 
     def items(self, s: str, rule: str) -> bool:
         parts = s.split(",")
@@ -789,7 +790,7 @@ class Script(Grammar):
                 roles |= EXPR | ARGS
             elif self.items(f, "spread"):
                 roles |= ARGS
-            if self.whole(Cursor, "params", f) if self.ts and ("<" in f or f > "") else self.items(f, "param"):
+            if self.whole(Cursor, "params", f) if self.ts and "<" in f else self.items(f, "param"):
                 roles |= PARAMS
             if "," not in f and "=" not in f:
                 roles |= CAUGHT * bool(self.judged("caught", f, lambda x: self.whole(Cursor, "caught", x)))
