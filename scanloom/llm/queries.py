@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.llm import bpe, lookalike, split, survivor
+from scanloom.llm.syntax import check as syntax
 from scanloom.session import table
 
 
@@ -21,6 +22,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.dropDuplicates(["chunk_key", "piece"])
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.check_syntax(table(spark, d, "files"), "file_id", "path", "content", invalid_only=True).select("file_id").distinct()
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_rates(table(spark, d, "files"), "file_id", "repo", "path", "content")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(table(spark, d, "findings"), table(spark, d, "scans"))
 
