@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scanloom.session import settle
+
 # Letters of other scripts that are drawn like a Latin letter, in alphabetic order of the letter.
 CYRILLIC = "АA ВB ЕE ҒF ԌG НH ІI ЈJ КK МM ОO РP ԚQ ЅS ТT УY ҮY ХX ԜW СC аa сc ԁd еe һh іi јj ӏl оo рp ԛq ѕs ѵv ԝw хx уy үy"
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ οo νv ϲc ϳj"
@@ -99,7 +101,7 @@ def lookalike_pairs(df: DataFrame, id_col: str, text_col: str, rows_per_part: in
     no task gets a whole hot group.  Null and blank texts pair with nothing; an id that comes twice with one
     text counts once; ids are compared by their order.
     """
-    marks = fingerprints(df, id_col, text_col).distinct()
+    marks = settle(fingerprints(df, id_col, text_col).distinct())
     spelled = marks.groupBy("look", "exact").agg(F.count("*").alias("n"))
     mixed = spelled.groupBy("look").agg(F.count("*").alias("spellings"), F.sum("n").alias("n")).where("spellings > 1")
     parts = mixed.select("look", F.ceil(F.col("n") / rows_per_part).cast("int").alias("parts"))
