@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import bpe, lookalike, split, survivor
+from scanloom.llm import bpe, lookalike, secrets, split, survivor
 from scanloom.llm.syntax import check as syntax
 from scanloom.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    events = secrets.scan_sources(table(spark, d, "chunks"), "chunk_key", "file_path", "source", with_source=False)
+    return events.select("chunk_key", F.explode("events").alias("e")).select("chunk_key", "e.line", "e.type").distinct()
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.scan_sources(table(spark, d, "chunks"), "chunk_key", "file_path", "source").dropDuplicates(["chunk_key"])
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = split.split_oversized(table(spark, d, "chunks"), "chunk_key", "source", "start_line", with_text=False)
     return pieces.where("piece = 1 AND n_pieces > 1").select("chunk_key").distinct()
