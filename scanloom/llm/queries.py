@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import bpe, lookalike, secrets, split, survivor
+from scanloom.llm import bpe, lookalike, provenance, secrets, split, survivor
 from scanloom.llm.syntax import check as syntax
 from scanloom.session import table
 
@@ -39,6 +39,14 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.invalid_rates(table(spark, d, "files"), "file_id", "repo", "path", "content")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.label_files(table(spark, d, "files"), "file_id", "repo", "path", "content").where("label <> 'handwritten'").select("file_id")
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.label_report(table(spark, d, "files"), "file_id", "repo", "path", "content", "is_test")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(table(spark, d, "findings"), table(spark, d, "scans"))
 
