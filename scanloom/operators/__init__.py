@@ -1,0 +1 @@
+"""Operators: functions from DataFrames (or columns) to DataFrames (or columns)."""
