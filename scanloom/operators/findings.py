@@ -70,18 +70,18 @@ def confidence_filter(df: DataFrame, confidence: str, threshold: float) -> tuple
     return df.where(keep), stats
 
 
-def suppressions(df: DataFrame, id_col: str, language_col: str, text_col: str, marker: str = "scan:ignore") -> DataFrame:
+def suppressions(df: DataFrame, id_col: str, language_col: str, text_col: str, marker: str = "[a-z][a-z0-9_]*:ignore") -> DataFrame:
     """(id, line, type, justification, applies_to, source_line): directives in whole-line comments.
 
-    ``marker-next-line`` speaks for the next line, ``marker`` for its own; a directive without a type is for all.
+    ``marker`` (a pattern: any tool's name and :ignore) speaks for its own line, with -next-line behind it for the next;
+    a directive without a type is for all.
     Only lines that begin with // (Python: #) count; C and C++ have none.
     """
     ls = F.posexplode(F.split(F.col(text_col), "\n")).alias("i", "raw")
     rows = df.select(id_col, F.col(language_col).alias("lang"), ls).withColumn("t", F.regexp_replace("raw", r"^[ \t\r\f]+|[ \t\r\f]+$", ""))
     rows = rows.where((F.col("lang").isin("javascript", "typescript", "java") & F.col("t").startswith("//")) | ((F.col("lang") == "python") & F.col("t").startswith("#")))
-    mark = "".join("\\" + c if c in ".*+?()[]{}|^$\\" else c for c in marker)
     tail = r"(?:[ \t]+([a-z_]+))?(?:[ \t]*-[ \t]*(.+))?"
-    nxt, same = f"(?:^|[^a-zA-Z0-9_]){mark}-next-line{tail}", f"(?:^|[^a-zA-Z0-9_]){mark}{tail}"
+    nxt, same = f"(?:^|[^a-zA-Z0-9_]){marker}-next-line{tail}", f"(?:^|[^a-zA-Z0-9_]){marker}{tail}"
     is_next = F.col("t").rlike(nxt)
     rows = rows.where(is_next | F.col("t").rlike(same)).withColumn("nx", is_next)
     pick = lambda g: F.when(F.col("nx"), F.regexp_extract("t", nxt, g)).otherwise(F.regexp_extract("t", same, g))

@@ -1,11 +1,530 @@
-"""All queries of the core, each beside the SQL that gives the same rows."""
+"""All queries of the core over the driver's tables, each beside the SQL that gives the same rows.
+
+Queries without SQL (sequential matching, resampling, parsing, models) are held against brute force in the tests.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scanloom.functions import paths, stats
+from scanloom.functions import text as tx
+from scanloom.operators import analysis, chunking, matching, ordered, redaction, reporting, retrieval, usage
+from scanloom.operators import findings as fd
+from scanloom.session import table
+
+KEY = ["repo", "file", "type"]
+THRESHOLDS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+# views that several SQL texts share
+_F = "f AS (SELECT DISTINCT ON (finding_key) * REPLACE (CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END AS confidence) FROM findings)"
+_FILES = "fl AS (SELECT DISTINCT ON (file_id) * FROM files)"
+_CHUNKS = "ch AS (SELECT DISTINCT ON (chunk_key) * FROM chunks)"
+_SCANS = "sc AS (SELECT DISTINCT ON (scan_id) * FROM scans)"
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL if it has one."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def findings(spark: SparkSession, d: str) -> DataFrame:
+    """Findings without redelivery, confidence on one scale."""
+    c = F.col("confidence")
+    return table(spark, d, "findings").drop("ingested_at").dropDuplicates(["finding_key"]).withColumn("confidence", F.when(c > 1, c / 100).otherwise(c))
+
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    """Files without redelivery."""
+    return table(spark, d, "files").drop("ingested_at").dropDuplicates(["file_id"])
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks without redelivery."""
+    return table(spark, d, "chunks").drop("ingested_at").dropDuplicates(["chunk_key"])
+
+
+def scans(spark: SparkSession, d: str) -> DataFrame:
+    """Scans without redelivery."""
+    return table(spark, d, "scans").drop("ingested_at").dropDuplicates(["scan_id"])
+
+
+_FOLD = """
+g AS (SELECT repo, file, type, list({'l': line, 'o': finding_key, 'c': confidence} ORDER BY line, finding_key) AS xs
+      FROM f WHERE repo IS NOT NULL AND file IS NOT NULL AND type IS NOT NULL AND line IS NOT NULL GROUP BY ALL),
+kept AS (SELECT repo, file, type, unnest(list_reduce(list_transform(xs, lambda x: [x]), lambda acc, y:
+      CASE WHEN y[1].l - acc[-1].l > 3 THEN list_concat(acc, y) WHEN coalesce(y[1].c, -1) > coalesce(acc[-1].c, -1) THEN list_concat(acc[:-2], y) ELSE acc END)) AS x FROM g)
+"""
+
+
+@query(f"WITH {_F}, {_FOLD} SELECT repo, file, type, x.l AS line, x.o AS finding_key, x.c AS confidence FROM kept")
+def near_line_dedup(spark, d):
+    return ordered.near_line_fold(findings(spark, d), KEY, "line", "confidence", "finding_key")
+
+
+@query(
+    f"WITH {_F}, {_FOLD}, s AS (SELECT f.severity, f.type FROM kept JOIN f ON f.finding_key = x.o WHERE x.c >= 0.5)"
+    " SELECT 'severity' AS facet, severity AS value, count(*) AS findings FROM s GROUP BY severity UNION ALL SELECT 'type', type, count(*) FROM s GROUP BY type UNION ALL SELECT 'total', 'all', count(*) FROM s HAVING count(*) > 0"
+)
+def finding_summary(spark, d):
+    f = findings(spark, d)
+    kept = ordered.near_line_fold(f, KEY, "line", "confidence", "finding_key").select("finding_key")
+    strong, _ = fd.confidence_filter(f.join(kept, "finding_key", "left_semi"), "confidence", 0.5)
+    return reporting.summary(strong, "severity", "type")
+
+
+_EXT = "CASE regexp_extract(lower(path), '(\\.[^./]*)$', 1) WHEN '.js' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.py' THEN 'python' WHEN '.java' THEN 'java' WHEN '.c' THEN 'c' WHEN '.cpp' THEN 'cpp' END"
+_TEST = "(regexp_matches(regexp_extract(lower(path), '[^/]*$'), '[._](test|spec)\\.') OR regexp_matches(regexp_replace(regexp_extract(lower(path), '[^/]*$'), '\\.[^.]*$', ''), '(test|spec)$') OR starts_with(regexp_extract(lower(path), '[^/]*$'), 'test_') OR regexp_matches(lower(path), '(^|/)(tests?|__tests__)/'))"
+
+
+@query(f"WITH {_FILES} SELECT {_EXT} AS language, count(*) AS files, count(*) FILTER ({_TEST}) AS test_files FROM fl GROUP BY 1")
+def files_by_language(spark, d):
+    p = F.col("path")
+    return files(spark, d).groupBy(paths.language(p).alias("language")).agg(F.count("*").alias("files"), F.count_if(paths.is_test(p)).alias("test_files"))
+
+
+@query(f"WITH {_FILES} SELECT file_id, {_TEST} AS looks_like_test, is_test FROM fl")
+def test_paths(spark, d):
+    return files(spark, d).select("file_id", paths.is_test(F.col("path")).alias("looks_like_test"), "is_test")
+
+
+@query(
+    f"WITH {_FILES} SELECT file_id, path FROM fl WHERE NOT (list_has_any(string_split(path, '/')[:-2], ['node_modules', 'vendor', '.git', 'dist', 'build', '__pycache__', 'static'])"
+    " OR regexp_matches(path, '\\.min\\.js$') OR regexp_matches(path, '\\.bundle\\.js$') OR path = 'static')"
+)
+def kept_paths(spark, d):
+    return files(spark, d).where(~paths.excluded(F.col("path"), ("# comment", "static"))).select("file_id", "path")
+
+
+_NORM = "replace({s}, chr(13) || chr(10), chr(10))"
+_STRIP = (
+    "CASE WHEN {lang} IN ('javascript', 'typescript', 'java') THEN regexp_replace(regexp_replace({s}, '(?s)/\\*.*?\\*/', '', 'g'), '//.*', '', 'g')"
+    " WHEN {lang} = 'python' THEN regexp_replace(regexp_replace(regexp_replace({s}, '(?s)\"\"\".*?\"\"\"', '', 'g'), '(?s)''''''.*?''''''', '', 'g'), '#.*', '', 'g') ELSE {s} END"
+)
+
+
+def _normalized_sql(s: str, lang: str) -> str:
+    out = _STRIP.replace("{s}", _NORM.replace("{s}", s)).replace("{lang}", lang)
+    for a, b in (("\\n{3,}", "\\n\\n"), ("([^=!><])[ \\t\\n\\f\\r]*=[ \\t\\n\\f\\r]*([^=])", "\\1 = \\2"), ("[ \\t\\n\\f\\r]*([+\\-*/%])[ \\t\\n\\f\\r]*", " \\1 "), ("[ \\t]+", " "), ("[ \\t]+\\n", "\\n"), ("^[ \\t\\n\\f\\r]+|[ \\t\\n\\f\\r]+$", "")):
+        b = "chr(10) || chr(10)" if b == "\\n\\n" else "chr(10)" if b == "\\n" else f"'{b}'"
+        out = f"regexp_replace({out}, '{a}', {b}, 'g')"
+    return out
+
+
+@query(f"WITH {_CHUNKS}, n AS (SELECT chunk_key, source, {_normalized_sql('source', 'language')} AS s FROM ch) SELECT chunk_key, CAST(strlen(source) // 4 AS INT) AS tokens, s AS normalized, sha256(s) AS chunk_id FROM n")
+def normalized_chunks(spark, d):
+    s = tx.normalize_source(F.col("source"), F.col("language"))
+    return chunks(spark, d).select("chunk_key", tx.tokens(F.col("source")).alias("tokens"), s.alias("normalized")).withColumn("chunk_id", tx.chunk_id(F.col("normalized")))
+
+
+@query(f"WITH {_CHUNKS}, l AS (SELECT chunk_key, start_line, string_split(source, chr(10)) AS ls FROM ch) SELECT chunk_key, array_to_string(list_transform(ls, lambda x, i: lpad(CAST(start_line + i - 1 AS VARCHAR), CAST(length(CAST(start_line + len(ls) - 1 AS VARCHAR)) AS INT), ' ') || ': ' || x), chr(10)) AS numbered FROM l")
+def numbered_sources(spark, d):
+    return chunks(spark, d).select("chunk_key", tx.numbered(F.col("source"), F.col("start_line")).alias("numbered"))
+
+
+@query(
+    f"WITH {_F}, {_FILES}, j AS (SELECT finding_key, line, string_split(content, chr(10)) AS ls FROM f JOIN fl ON f.repo = fl.repo AND f.file = fl.path),"
+    " b AS (SELECT *, greatest(line - 15, 1) AS lo, least(line + 15, len(ls)) AS hi FROM j) SELECT finding_key, array_to_string(list_transform(CASE WHEN hi >= lo THEN ls[lo:hi] ELSE [] END, lambda x, i: CAST(lo + i - 1 AS VARCHAR) || ': ' || x), chr(10)) AS excerpt FROM b"
+)
+def finding_excerpts(spark, d):
+    src = files(spark, d).select("repo", F.col("path").alias("file"), "content")
+    return findings(spark, d).select("finding_key", "repo", "file", "line").join(src, ["repo", "file"]).select("finding_key", tx.excerpt(F.col("content"), F.col("line")).alias("excerpt"))
+
+
+def _line_sql(c: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace({c}, '^[ \\t\\n\\f\\r]*[0-9]+[ \\t\\n\\f\\r]*[:|][ \\t\\n\\f\\r]?', ''), '^[ \\t\\n\\f\\r\\x0B]+|[ \\t\\n\\f\\r\\x0B]+$', '', 'g'), '[ \\t\\n\\f\\r]+', ' ', 'g')"
+
+
+_SNAP = (
+    f"{_F}, {_FILES}, j AS (SELECT finding_key, f.repo, file, type, confidence, line, {_line_sql('quote')} AS q, list_transform(string_split(content, chr(10)), lambda x: {_line_sql('x')}) AS ls, content IS NULL AS missing FROM f LEFT JOIN fl ON f.repo = fl.repo AND f.file = fl.path),"
+    " h AS (SELECT *, list_filter(list_transform(ls, lambda x, i: CASE WHEN x = q THEN i END), lambda i: i IS NOT NULL) AS exact,"
+    " list_filter(list_transform(ls, lambda x, i: CASE WHEN strlen(q) >= 12 AND (contains(x, q) OR (strlen(x) >= 12 AND contains(q, x))) THEN i END), lambda i: i IS NOT NULL) AS part FROM j),"
+    " c AS (SELECT *, CASE WHEN len(exact) > 0 THEN exact ELSE part END AS cand FROM h),"
+    " n AS (SELECT *, list_min(list_transform(cand, lambda i: struct_pack(d := abs(i - line), n := i))) AS best FROM c),"
+    " s AS (SELECT *, CASE WHEN coalesce(q, '') = '' THEN 'without_quote' WHEN missing THEN 'file_unreadable' WHEN best IS NULL THEN 'quote_not_found' WHEN best.d = 0 THEN 'confirmed' WHEN best.d <= 40 THEN 'snapped' ELSE 'too_far' END AS outcome FROM n)"
+)
+
+
+def _snapped(spark, d):
+    src = files(spark, d).select("repo", F.col("path").alias("file"), "content").withColumn("fk", F.struct("repo", "file")).select("fk", "content")
+    return fd.snap_to_quotes(findings(spark, d).withColumn("fk", F.struct("repo", "file")), src, "fk", "line", "quote", "content")
+
+
+@query(f"WITH {_SNAP} SELECT finding_key, outcome, CAST(CASE WHEN outcome = 'snapped' THEN best.n ELSE line END AS INT) AS snapped_line FROM s")
+def quote_snap(spark, d):
+    return _snapped(spark, d).select("finding_key", "outcome", F.col("snapped_line").cast("int").alias("snapped_line"))
+
+
+@query(f"WITH {_SNAP}, k AS (SELECT *, CASE WHEN outcome = 'snapped' THEN best.n ELSE line END AS place FROM s) SELECT outcome, count(*) AS findings, count(DISTINCT (repo, file, type, place)) AS places FROM k GROUP BY outcome")
+def snap_outcomes(spark, d):
+    s = _snapped(spark, d)
+    return s.groupBy("outcome").agg(F.count("*").alias("findings"), F.countDistinct(F.struct("repo", "file", "type", "snapped_line")).alias("places"))
+
+
+_SITES = (
+    f"{_F}, l AS (SELECT repo, file, line, count(*) AS n FROM f WHERE repo IS NOT NULL AND file IS NOT NULL AND line IS NOT NULL GROUP BY ALL),"
+    " m AS (SELECT *, CASE WHEN line - lag(line) OVER w <= 3 THEN NULL ELSE line END AS s FROM l WINDOW w AS (PARTITION BY repo, file ORDER BY line)),"
+    " st AS (SELECT *, max(s) OVER (PARTITION BY repo, file ORDER BY line) AS site FROM m)"
+)
+
+
+@query(f"WITH {_SITES} SELECT repo, file, site, count(*) AS site_lines, CAST(sum(n) AS BIGINT) AS findings, CAST((sum(line * n) + sum(n) // 2) // sum(n) AS BIGINT) AS center FROM st GROUP BY repo, file, site")
+def finding_sites(spark, d):
+    return fd.sites(findings(spark, d), ["repo", "file"], "line")
+
+
+@query(
+    f"WITH {_SITES}, j AS (SELECT f.repo, f.file, st.site, f.type, max(f.confidence) AS c FROM f JOIN st ON f.repo = st.repo AND f.file = st.file AND f.line = st.line WHERE f.type IS NOT NULL GROUP BY ALL)"
+    " SELECT repo, file, site, count(*) AS types, max(c) AS confidence FROM j GROUP BY repo, file, site HAVING count(*) >= 2"
+)
+def contested_sites(spark, d):
+    c = fd.contested_sites(findings(spark, d), ["repo", "file"], "line", "type", "confidence", "finding_key")
+    return c.select("repo", "file", "site", "types", F.array_max("best.confidence").alias("confidence"))
+
+
+@query(f"WITH {_F} SELECT true AS enabled, CAST(0.5 AS DOUBLE) AS threshold_used, count(*) AS total_findings, count(*) FILTER (NOT coalesce(confidence >= 0.5, false)) AS filtered_findings, count(*) FILTER (confidence >= 0.5) AS kept_findings FROM f")
+def confidence_filter_stats(spark, d):
+    return fd.confidence_filter(findings(spark, d), "confidence", 0.5)[1]
+
+
+_DIRECTIVE = (
+    f"{_FILES}, r AS (SELECT file_id, {_EXT} AS lang, unnest(string_split(content, chr(10))) AS raw, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM fl),"
+    " t AS (SELECT file_id, lang, CAST(n AS INT) AS n, regexp_replace(raw, '^[ \\t\\r\\f]+|[ \\t\\r\\f]+$', '', 'g') AS t FROM r),"
+    " w AS (SELECT *, regexp_matches(t, '(?:^|[^a-zA-Z0-9_])[a-z][a-z0-9_]*:ignore-next-line(?:[ \\t]+([a-z_]+))?(?:[ \\t]*-[ \\t]*(.+))?') AS nx FROM t WHERE (lang IN ('javascript', 'typescript', 'java') AND starts_with(t, '//')) OR (lang = 'python' AND starts_with(t, '#'))),"
+    " k AS (SELECT *, CASE WHEN nx THEN regexp_extract(t, '(?:^|[^a-zA-Z0-9_])[a-z][a-z0-9_]*:ignore-next-line(?:[ \\t]+([a-z_]+))?(?:[ \\t]*-[ \\t]*(.+))?', ['a', 'b']) ELSE regexp_extract(t, '(?:^|[^a-zA-Z0-9_])[a-z][a-z0-9_]*:ignore(?:[ \\t]+([a-z_]+))?(?:[ \\t]*-[ \\t]*(.+))?', ['a', 'b']) END AS m FROM w WHERE regexp_matches(t, '(?:^|[^a-zA-Z0-9_])[a-z][a-z0-9_]*:ignore'))"
+)
+
+
+@query(f"WITH {_DIRECTIVE} SELECT file_id, CASE WHEN nx THEN n + 1 ELSE n END AS line, CASE WHEN m.a = '' THEN 'all' ELSE m.a END AS type, CASE WHEN trim(m.b) <> '' THEN trim(m.b) END AS justification, CASE WHEN nx THEN 'next' ELSE 'same' END AS applies_to, n AS source_line FROM k")
+def suppression_directives(spark, d):
+    src = files(spark, d).withColumn("lang", paths.language(F.col("path")))
+    return fd.suppressions(src, "file_id", "lang", "content")
+
+
+_SUPP = f"{_F}, {_CHUNKS}, dr AS (SELECT DISTINCT repo, file_path, s.line AS dl, s.type AS dt FROM (SELECT repo, file_path, unnest(suppressed_lines) AS s FROM ch))"
+
+
+@query(f"WITH {_SUPP} SELECT f.finding_key FROM f WHERE NOT EXISTS (SELECT 1 FROM dr WHERE dr.repo = f.repo AND dr.file_path = f.file AND dr.dl = f.line AND (dr.dt = 'all' OR dr.dt = f.type))")
+def unsuppressed_findings(spark, d):
+    s = chunks(spark, d).select("repo", F.col("file_path").alias("file"), F.explode("suppressed_lines").alias("s")).select("repo", "file", "s.line", "s.type")
+    return fd.drop_suppressed(findings(spark, d), s, ["repo", "file"], "line", "type").select("finding_key")
+
+
+@query(
+    f"WITH {_F}, {_CHUNKS}, last AS (SELECT function_name, arg_max(suppressed_lines, chunk_key) AS sl FROM ch WHERE function_name IS NOT NULL GROUP BY function_name),"
+    " dr AS (SELECT DISTINCT function_name, s.line AS dl, s.type AS dt FROM (SELECT function_name, unnest(sl) AS s FROM last))"
+    " SELECT count(*) AS total_findings, count(*) FILTER (EXISTS (SELECT 1 FROM dr WHERE dr.function_name = f.function_name AND dr.dl = f.line AND (dr.dt = 'all' OR dr.dt = f.type))) AS suppressed_findings FROM f"
+)
+def suppression_by_name(spark, d):
+    last = chunking.last_by_name(chunks(spark, d).select("function_name", "chunk_key", "suppressed_lines"), "function_name", ["chunk_key"])
+    s = last.select("function_name", F.explode("suppressed_lines").alias("s")).select("function_name", "s.line", "s.type")
+    f = findings(spark, d)
+    kept = fd.drop_suppressed(f, s, ["function_name"], "line", "type").select("finding_key", F.lit(1).alias("kept"))
+    return f.select("finding_key").join(kept, "finding_key", "left").agg(F.count("*").alias("total_findings"), F.count_if(F.col("kept").isNull()).alias("suppressed_findings"))
+
+
+@query(
+    f"WITH {_FILES}, l AS (SELECT file_id, string_split(content, chr(10)) AS ls FROM fl WHERE content IS NOT NULL), p AS (SELECT file_id, ls, unnest(range(0, (len(ls) - 1) // 60 + 1)) AS p FROM l),"
+    " w AS (SELECT file_id, CAST(p + 1 AS INT) AS part, CAST(p * 60 + 1 AS INT) AS start_line, CAST(least(p * 60 + 60, len(ls)) AS INT) AS end_line, array_to_string(ls[p * 60 + 1:p * 60 + 60], chr(10)) AS source FROM p) SELECT * FROM w WHERE regexp_matches(source, '[^ \\t\\n\\r\\f\\x0B]')"
+)
+def file_windows(spark, d):
+    return chunking.windows(files(spark, d), "file_id", "content")
+
+
+@query(
+    f"WITH {_CHUNKS}, l AS (SELECT chunk_key, coalesce(start_line, 1) AS s, function_name AS n, string_split(source, chr(10)) AS ls, strlen(source) // 4 > 600 AS big FROM ch WHERE source IS NOT NULL),"
+    " p AS (SELECT *, CASE WHEN big THEN list_reduce(list_transform(list_transform(ls, lambda x: CAST(strlen(x) // 4 AS BIGINT)), lambda t, i: [struct_pack(a := i, b := i, t := t)]), lambda acc, y: CASE WHEN acc[-1].t + y[1].t > 600 THEN list_concat(acc, y) ELSE list_concat(acc[:-2], [struct_pack(a := acc[-1].a, b := y[1].b, t := acc[-1].t + y[1].t)]) END)"
+    " ELSE [struct_pack(a := CAST(1 AS BIGINT), b := CAST(len(ls) AS BIGINT), t := CAST(0 AS BIGINT))] END AS ps FROM l),"
+    " u AS (SELECT *, unnest(ps) AS x, generate_subscripts(ps, 1) AS k FROM p)"
+    " SELECT chunk_key, CAST(k AS INT) AS part, CAST(s + x.a - 1 AS INT) AS start_line, CAST(s + x.b - 1 AS INT) AS end_line, CASE WHEN big THEN n || '_part' || k ELSE n END AS name, array_to_string(ls[x.a:x.b], chr(10)) AS source FROM u"
+)
+def split_chunks(spark, d):
+    return chunking.split_chunks(chunks(spark, d), "chunk_key", "source", "start_line", "function_name")
+
+
+@query()
+def function_chunks(spark, d):
+    src = files(spark, d).withColumn("lang", paths.language(F.col("path")))
+    return chunking.function_chunks(src, "file_id", "lang", "content").select("file_id", "function_name", "start_line", "end_line", F.sha2("source", 256).alias("source_sha"))
+
+
+_BM = (
+    f"{_CHUNKS}, kb AS (SELECT item_id AS kb, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM eval_items WHERE text IS NOT NULL),"
+    " st AS (SELECT count(*) AS nd, avg(len(ws)) AS al FROM kb), tf AS (SELECT kb, length, term, count(*) AS tf FROM (SELECT kb, len(ws) AS length, unnest(ws) AS term FROM kb) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),"
+    " q AS (SELECT chunk_key, list_distinct(list_filter(string_split_regex(lower(concat_ws(' ', CASE WHEN coalesce(function_name, '') NOT IN ('', 'anonymous', 'unknown') THEN function_name END, language, regexp_replace(trim(substr(source, 1, 200)), '[ \\t\\n\\r\\f]+', ' ', 'g'))), '[^a-z0-9]+'), lambda x: x <> '')) AS ws FROM ch),"
+    " s AS (SELECT chunk_key, tf.kb, round(sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / al))), 6) AS score FROM (SELECT chunk_key, unnest(ws) AS term FROM q) w JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL)"
+)
+
+
+def _kb(spark, d):
+    return retrieval.postings(table(spark, d, "eval_items"), "item_id", F.col("text"))
+
+
+@query(f"WITH {_BM}, r AS (SELECT *, row_number() OVER (PARTITION BY chunk_key ORDER BY score DESC, kb) AS rank FROM s) SELECT chunk_key, kb, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3")
+def bm25_topk(spark, d):
+    return retrieval.top_k(chunks(spark, d), "chunk_key", retrieval.query_text(F.col("function_name"), F.col("language"), F.col("source")), _kb(spark, d))
+
+
+@query()
+def retrieval_budget(spark, d):
+    top = retrieval.top_k(chunks(spark, d), "chunk_key", retrieval.query_text(F.col("function_name"), F.col("language"), F.col("source")), _kb(spark, d))
+    kb = table(spark, d, "eval_items").select(F.col("item_id").alias("kb"), F.repeat(F.col("text"), 6).alias("description"), F.split("text", "\n").alias("patterns"))
+    got = top.join(kb, "kb").groupBy("chunk_key").agg(F.array_sort(F.collect_list(F.struct("rank", "description", "patterns"))).alias("es"))  # at most 3 a chunk
+    cut = retrieval.within_budget(F.transform("es", lambda e: F.struct(e["description"].alias("description"), e["patterns"].alias("patterns"))))
+    size = F.aggregate("cut", F.lit(0), lambda a, e: a + F.octet_length(e["description"]) + F.aggregate(e["patterns"], F.lit(0), lambda x, p: x + F.octet_length(p)))
+    return got.select("chunk_key", cut.alias("cut")).select("chunk_key", size.alias("bytes"), F.size("cut").alias("entries"))
+
+
+_TYPES = "['sql_injection', 'xss', 'path_traversal', 'insecure_deserialization', 'auth_issue', 'crypto_issue', 'command_injection', 'ssrf', 'xxe_injection', 'buffer_overflow', 'format_string', 'use_after_free', 'integer_overflow']"
+
+
+@query(
+    f"WITH {_CHUNKS}, k AS (SELECT list_concat(CASE WHEN max((NOT coalesce(language IN ('c', 'cpp'), false))::INT) = 1 THEN {_TYPES}[1:9] ELSE [] END, CASE WHEN max(coalesce(language IN ('c', 'cpp'), false)::INT) = 1 THEN {_TYPES}[10:13] ELSE [] END) AS ts FROM ch)"
+    " SELECT chunk_key, unnest(ts) AS type FROM ch, k"
+)
+def work_items(spark, d):
+    return analysis.work_items(chunks(spark, d), "chunk_key", "language")
+
+
+@query(f"WITH {_CHUNKS} SELECT language, unnest(list_sort(list_distinct(flatten(list(frameworks))))) AS framework FROM ch WHERE frameworks IS NOT NULL GROUP BY language")
+def framework_inventory(spark, d):
+    return chunks(spark, d).select("language", F.explode("frameworks").alias("framework")).distinct()
+
+
+@query(
+    f"WITH {_CHUNKS}, c AS (SELECT id, count(*) AS chunks, count(DISTINCT (repo, file_path)) AS places FROM ch GROUP BY id) SELECT id, chunks, places FROM c WHERE chunks > 1"
+)
+def repeated_functions(spark, d):
+    return chunks(spark, d).groupBy("id").agg(F.count("*").alias("chunks"), F.countDistinct(F.struct("repo", "file_path")).alias("places")).where("chunks > 1")
+
+
+@query(f"WITH {_SCANS} SELECT model_used AS model, count(*) AS calls, round(coalesce(sum(total_cost), 0), 6) AS cost FROM sc GROUP BY 1")
+def usage_by_model(spark, d):
+    return usage.by_model(scans(spark, d).withColumnRenamed("model_used", "model"), "model", "total_cost")
+
+
+_RUN = f"{_SCANS}, r AS (SELECT scan_id, scanned_at, total_cost, sum(coalesce(total_cost, 0)) OVER (ORDER BY scanned_at, scan_id) AS total FROM sc), b AS (SELECT *, round(total - coalesce(total_cost, 0), 6) AS cost_before FROM r)"
+
+
+@query(f"WITH {_RUN} SELECT scan_id, cost_before, CASE WHEN cost_before >= 0.9 THEN 'stopped' WHEN cost_before >= 0.4 THEN 'fallback' ELSE 'primary' END AS choice FROM b")
+def running_budget(spark, d):
+    s = scans(spark, d).select("scan_id", "scanned_at", "total_cost")
+    return usage.model_choice(s, ["scanned_at", "scan_id"], "total_cost", 0.4, 0.9).select("scan_id", "cost_before", "choice")
+
+
+@query(f"WITH {_RUN}, t AS (SELECT unnest([0.5, 0.8, 1.0]::DOUBLE[]) AS share) SELECT share, (SELECT arg_min(scan_id, (scanned_at, scan_id)) FROM b WHERE round(total, 9) >= round(0.9 * share, 9)) AS reached_at FROM t")
+def budget_milestones(spark, d):
+    return usage.milestones(scans(spark, d).select("scan_id", "scanned_at", "total_cost"), ["scanned_at", "scan_id"], "total_cost", 0.9)
+
+
+@query(
+    f"WITH {_SCANS}, o AS (SELECT scan_id, scanned_at, total_cost IS NULL AS bad, sum((total_cost IS NOT NULL)::INT) OVER (ORDER BY scanned_at, scan_id) AS run FROM sc)"
+    " SELECT CAST(run AS BIGINT) AS run, arg_min(scan_id, (scanned_at, scan_id)) AS first, count(*) AS length FROM o WHERE bad GROUP BY run HAVING count(*) >= 1"
+)
+def failure_runs(spark, d):
+    return ordered.failure_runs(scans(spark, d).select("scan_id", "scanned_at", "total_cost"), ["scanned_at", "scan_id"], F.col("total_cost").isNull(), 1)
+
+
+@query(f"WITH {_SCANS}, w AS (SELECT repo, scanned_at, scan_id, model_used, lag(model_used) OVER (PARTITION BY repo ORDER BY scanned_at, scan_id) AS p FROM sc) SELECT repo, scanned_at, scan_id, p AS from_model, model_used AS to_model FROM w WHERE p IS NOT NULL AND p <> model_used")
+def model_transitions(spark, d):
+    return usage.transitions(scans(spark, d), ["repo"], ["scanned_at", "scan_id"], "model_used")
+
+
+def _sides(spark, d):
+    base = lambda c: paths.base_name(paths.slashes(F.col(c)))
+    e = table(spark, d, "expected_findings").select(F.col("label_id").alias("id"), "repo", base("file").alias("file"), F.col("line").cast("long").alias("line"), "type")
+    f = findings(spark, d).where(F.lower("severity").isin("high", "critical"))
+    a = f.select(F.col("finding_key").alias("id"), "repo", base("file").alias("file"), F.col("line").cast("long").alias("line"), "type", "confidence")
+    return e, a
+
+
+@query()
+def label_matches(spark, d):
+    e, a = _sides(spark, d)
+    return matching.greedy_match(e, a, KEY, 20)
+
+
+@query()
+def match_scores(spark, d):
+    e, a = _sides(spark, d)
+    return matching.scores(matching.match_counts(e, a, matching.greedy_match(e, a, KEY, 20), ["type"]), ["type"])
+
+
+@query()
+def threshold_sweep(spark, d):
+    e, a = _sides(spark, d)
+    return matching.threshold_sweep(e, a, KEY, 20, THRESHOLDS)
+
+
+_SIDES = (
+    f"{_F}, a AS (SELECT finding_key AS id, repo, regexp_extract(replace(file, '\\', '/'), '[^/]*$') AS file, line, type FROM f WHERE lower(severity) IN ('high', 'critical')),"
+    " e AS (SELECT DISTINCT repo || '/' || regexp_extract(replace(file, '\\', '/'), '[^/]*$') AS file, line, type FROM expected_findings WHERE repo IS NOT NULL AND file IS NOT NULL AND line IS NOT NULL AND type IS NOT NULL)"
+)
+
+
+@query(
+    f"WITH {_SIDES}, k AS (SELECT a.id, max((e.type = a.type AND abs(e.line - a.line) <= 10)::INT) AS dup, max((e.type <> a.type AND abs(e.line - a.line) <= 10)::INT) AS wrong, max((e.type = a.type AND abs(e.line - a.line) <= 30)::INT) AS off FROM a LEFT JOIN e ON e.file = a.repo || '/' || a.file GROUP BY a.id),"
+    " c AS (SELECT CASE WHEN dup = 1 THEN 'duplicate_site' WHEN wrong = 1 THEN 'wrong_type' WHEN off = 1 THEN 'line_off' ELSE 'no_nearby_truth' END AS category FROM k) SELECT category, count(*) AS findings, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM c GROUP BY category"
+)
+def false_positive_kinds(spark, d):
+    e, a = _sides(spark, d)
+    whole = lambda df: df.withColumn("file", F.concat_ws("/", "repo", "file"))
+    kinds = matching.false_positive_kinds(whole(a), whole(e.dropna(subset=["repo", "file"]))).groupBy("category").agg(F.count("*").alias("findings"))
+    total = kinds.agg(F.sum("findings").alias("all"))
+    return kinds.crossJoin(F.broadcast(total)).select("category", "findings", F.round(F.col("findings") / F.col("all"), 6).alias("share"))
+
+
+@query(
+    f"WITH {_SIDES}, ef AS (SELECT DISTINCT file FROM e), af AS (SELECT DISTINCT repo || '/' || file AS file FROM a WHERE repo IS NOT NULL AND file IS NOT NULL)"
+    " SELECT count(*) AS labelled_files, count(*) FILTER (file IN (SELECT file FROM af)) AS found_files, round(count(*) FILTER (file IN (SELECT file FROM af)) / count(*), 6) AS rate, (SELECT count(*) FROM af WHERE file NOT IN (SELECT file FROM ef)) AS other_files FROM ef"
+)
+def file_detection(spark, d):
+    e, a = _sides(spark, d)
+    whole = lambda df: df.dropna(subset=["repo", "file"]).select(F.concat_ws("/", "repo", "file").alias("file")).distinct()
+    ef, af = whole(e.dropna(subset=["line", "type"])).withColumn("e", F.lit(1)), whole(a).withColumn("a", F.lit(1))
+    n, hit = F.count("e"), F.count_if(F.col("e").isNotNull() & F.col("a").isNotNull())
+    return ef.join(af, "file", "full_outer").agg(n.alias("labelled_files"), hit.alias("found_files"), F.round(stats.ratio(hit, n), 6).alias("rate"), F.count_if(F.col("e").isNull()).alias("other_files"))
+
+
+@query(
+    f"WITH {_F}, c AS (SELECT type, count(*) AS n, count(*) FILTER (confidence >= 0.7) AS k FROM f GROUP BY type)"
+    " SELECT type, n AS findings, k AS confident, round(greatest(0, (k / n + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n)), 6) AS low, round(least(1, (k / n + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n)), 6) AS high FROM c"
+)
+def confident_share(spark, d):
+    c = findings(spark, d).groupBy("type").agg(F.count("*").alias("findings"), F.count_if(F.col("confidence") >= 0.7).alias("confident"))
+    lo, hi = stats.wilson(F.col("confident"), F.col("findings"))
+    return c.withColumns({"low": F.round(lo, 6), "high": F.round(hi, 6)})
+
+
+@query()
+def bootstrap_f1(spark, d):
+    """Percentile interval of F1 over repositories, 1,000 resamples: per-repository counts joined to drawn units."""
+    e, a = _sides(spark, d)
+    counts = matching.match_counts(e, a, matching.greedy_match(e, a, KEY, 20), ["repo"])
+    ranked = ordered.running_total(counts, ["repo"], {"unit": F.lit(1)}).withColumn("unit", F.col("unit").cast("long") - 1)
+    n = counts.count()
+    draws = spark.createDataFrame(list(stats.resamples(n, 200, 7)), "iteration int, unit long")
+    per = matching.scores(draws.join(ranked, "unit"), ["iteration"])
+    return per.agg(F.count("*").alias("iterations"), F.round(F.percentile("f1", 0.025), 6).alias("low"), F.round(F.percentile("f1", 0.975), 6).alias("high"))
+
+
+@query(
+    f"WITH {_F}, v AS (SELECT repo, file, line, type, lower(severity) AS severity, finding_key FROM f WHERE severity IS NOT NULL), c AS (SELECT repo, file, line, type, severity, count(*) AS n, min(finding_key) AS pos FROM v GROUP BY ALL),"
+    " r AS (SELECT *, row_number() OVER w AS k, sum(n) OVER (PARTITION BY repo, file, line, type) AS total FROM c WINDOW w AS (PARTITION BY repo, file, line, type ORDER BY n DESC, pos)) SELECT repo, file, line, type, severity, round(n / total, 6) AS agreement FROM r WHERE k = 1"
+)
+def severity_votes(spark, d):
+    v = findings(spark, d).where("severity IS NOT NULL").withColumn("severity", F.lower("severity"))
+    return matching.plurality(v, ["repo", "file", "line", "type"], "severity", "finding_key")
+
+
+@query(f"WITH {_F} SELECT floor(floor(confidence * 1000 + 0.5) / 100) / 10 AS tenth, count(*) AS findings FROM f GROUP BY 1")
+def confidence_histogram(spark, d):
+    return findings(spark, d).groupBy(matching.tenth(F.col("confidence")).alias("tenth")).agg(F.count("*").alias("findings"))
+
+
+@query(f"WITH {_F} SELECT type, count(*) AS n FROM f GROUP BY type ORDER BY n DESC, type LIMIT 10")
+def top_types(spark, d):
+    return reporting.top(findings(spark, d), "type")
+
+
+@query(f"WITH {_F} SELECT finding_key FROM f WHERE severity = 'critical' AND contains(lower(concat_ws(chr(10), file, type, message)), 'ledger')")
+def dashboard_search(spark, d):
+    return reporting.search(findings(spark, d), "Ledger", "critical").select("finding_key")
+
+
+@query(f"WITH {_F} SELECT count(*) AS findings, count(*) FILTER (coalesce(trim(type) <> '', false) AND coalesce(severity IN ('low', 'medium', 'high', 'critical'), false) AND coalesce(trim(file) <> '', false) AND coalesce(line > 0, false) AND coalesce(trim(message) <> '', false) AND coalesce(confidence BETWEEN 0 AND 1, false)) AS valid FROM f")
+def valid_findings(spark, d):
+    f = findings(spark, d)
+    return f.agg(F.count("*").alias("findings"), F.count_if(fd.valid_findings(f)).alias("valid"))
+
+
+@query(f"WITH {_F} SELECT DISTINCT file FROM f WHERE file IS NOT NULL EXCEPT SELECT file FROM expected_findings")
+def files_only_found(spark, d):
+    return findings(spark, d).select("file").dropna().distinct().subtract(table(spark, d, "expected_findings").select("file"))
+
+
+@query(f"WITH {_F} SELECT repo FROM f INTERSECT SELECT repo FROM expected_findings")
+def shared_repos(spark, d):
+    return findings(spark, d).select("repo").intersect(table(spark, d, "expected_findings").select("repo"))
+
+
+@query(
+    f"WITH {_F} SELECT CASE WHEN file IS NULL THEN NULL ELSE regexp_extract(file, '[^/]*$') END AS file, line, type, severity, round(confidence - 0.1, 6) AS confidence_min, code_snippet AS code_pattern FROM f"
+)
+def labels_from_report(spark, d):
+    return reporting.labels_from_report(findings(spark, d))
+
+
+@query(
+    f"WITH {_SCANS}, b AS (SELECT repo, min(struct_pack(s := (filtering).total_findings, t := scan_duration_seconds)) AS b FROM sc WHERE filtering IS NOT NULL GROUP BY repo)"
+    " SELECT scan_id, round((filtering).total_findings / nullif(b.s, 0), 6) AS size_ratio, round(scan_duration_seconds / nullif(b.t, 0), 6) AS time_ratio FROM sc JOIN b USING (repo) WHERE filtering IS NOT NULL"
+)
+def scan_scaling(spark, d):
+    s = scans(spark, d).where("filtering IS NOT NULL").select("scan_id", "repo", F.col("filtering.total_findings").alias("size"), "scan_duration_seconds")
+    return reporting.scaling(s, ["repo"], "size", "scan_duration_seconds").select("scan_id", "size_ratio", "time_ratio")
+
+
+@query(
+    f"WITH {_CHUNKS}, e AS (SELECT DISTINCT a.file_id AS x, b.file_id AS y FROM ch a JOIN (SELECT id, min(file_id) AS file_id FROM ch GROUP BY id) b USING (id)),"
+    " both_ AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r AS (SELECT x AS node, min(y) AS lo FROM both_ GROUP BY x) SELECT count(*) AS files FROM r"
+)
+def linked_file_count(spark, d):
+    return _linked(spark, d).agg(F.count("*").alias("files"))
+
+
+def _linked(spark, d):
+    c = chunks(spark, d).select("id", "file_id")
+    first = c.groupBy("id").agg(F.min("file_id").alias("other"))
+    return reporting.components(c.join(first, "id"), "file_id", "other")
+
+
+@query()
+def linked_files(spark, d):
+    return _linked(spark, d)
+
+
+@query()
+def parsed_replies(spark, d):
+    docs = table(spark, d, "documents").where("source = 'model_response'")
+    ddl = "findings array<struct<type:string,severity:string,confidence:double,line:int,quote:string,message:string,recommendation:string>>, chunk string"
+    body = F.from_json(tx.json_object(tx.fenced(F.col("text"))), ddl)
+    return docs.select("doc_id", body["findings"].isNotNull().alias("parsed"), F.size(F.coalesce(body["findings"], F.array())).alias("findings"), body["chunk"].alias("chunk"))
+
+
+@query()
+def redaction_counts(spark, d):
+    return redaction.counts(redaction.redact(chunks(spark, d), "chunk_key", "language", "source", "start_line"))
+
+
+@query()
+def rule_analysis(spark, d):
+    c = chunks(spark, d)
+    work = analysis.work_items(c, "chunk_key", "language", per_language=True).join(c.select("chunk_key", tx.numbered(F.col("source"), F.col("start_line")).alias("n")), "chunk_key")
+    prompts = work.select(F.struct("chunk_key", "type").alias("item"), F.concat_ws("\n", "type", "n").alias("prompt"))
+    out = analysis.analyze(prompts.withColumn("item", F.to_json("item")), "item", "prompt", analysis.RuleAnalyzer)
+    return out.select(F.explode("findings").alias("f")).groupBy(F.col("f.type").alias("type")).agg(F.count("*").alias("findings"))
+
+
+@query(f"WITH {_F} SELECT severity, type, count(*) AS findings FROM f GROUP BY GROUPING SETS ((severity, type), (severity), (type), ())")
+def severity_type_cube(spark, d):
+    return findings(spark, d).cube("severity", "type").agg(F.count("*").alias("findings"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
