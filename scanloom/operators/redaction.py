@@ -1,15 +1,19 @@
-"""Masking of secrets by an ordered list of patterns, in JVM expressions alone.
+"""Masking of secrets by an ordered list of patterns.
 
-Comments are masked, not removed, so that every offset holds; each pattern replaces its value from left to right on
-the text the patterns before it left.
+Each pattern works on the text that the patterns before it left, which no bounded column expression holds (it would
+double with every pattern); so texts go through Arrow batches.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -37,6 +41,7 @@ PATTERNS = (
     Pattern("api_key", r"(?<![A-Za-z0-9_])()(gh[pousr]_[a-zA-Z0-9]{20,})()", "[REDACTED_GITHUB_TOKEN]"),
     Pattern("api_key", r"(?<![A-Za-z0-9_])()(xox[baprs]-[a-zA-Z0-9-]+)()", "[REDACTED_SLACK_TOKEN]"),
 )
+_COMPILED = tuple((p, re.compile(p.regex)) for p in PATTERNS)
 # Texts that stand in for a secret.
 STAND_INS = ("your_api_key_here", "your-api-key", "xxx", "placeholder", "dummy", "test123", "password123", "changeme", "<api_key>", "${api_key}", "{{api_key}}", "$api_key", "process.env", "os.getenv")
 
@@ -48,41 +53,66 @@ def stands_in(value: Column) -> Column:
     return known | template | (value.rlike("^[A-Z_]+$") & (F.octet_length(value) < 16)) | value.rlike(r"(?s)^(.)\1*$")
 
 
-def hidden_comments(text: Column, language: Column) -> Column:
-    """The text with comments blanked to equal length; // behind a colon belongs to a URL."""
-    pieces = F.regexp_extract_all(text, F.lit(r"(?s)((?<!:)//[^\n]*|/\*.*?\*/)"), F.lit(1))
-    hashes = F.regexp_extract_all(text, F.lit(r"(#[^\n]*)"), F.lit(1))
-    found = F.when(language == "python", hashes).otherwise(pieces)
-    return F.aggregate(F.array_distinct(F.array_sort(found, lambda a, b: F.length(b) - F.length(a))), text, lambda s, c: F.replace(s, c, F.regexp_replace(c, r"[^\n]", " ")))
+_COMMENT = {True: re.compile(r"#[^\n]*"), False: re.compile(r"(?<!:)//[^\n]*|/\*[\s\S]*?\*/")}
+
+
+def is_stand_in(v: str) -> bool:
+    """``stands_in`` for one value."""
+    return v.lower() in STAND_INS or v.startswith(("${", "{{", "<")) or bool(re.fullmatch("[A-Z_]+", v) and len(v) < 16) or len(set(v)) <= 1
+
+
+def redact_text(text: str, python: bool, first: int = 1) -> tuple[str, list[tuple[int, str, int]]]:
+    """The text with its secrets masked, and (line, kind, bytes) of each in order of the patterns.
+
+    Comments are blanked to equal length in a copy that is searched, so that offsets hold in the text; both copies
+    take each mask, and a pattern's values are replaced from left to right.
+    """
+    seen = _COMMENT[python].sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+    events: list[tuple[int, str, int]] = []
+    for p, regex in _COMPILED:
+        out, out_seen, at, line, counted = [], [], 0, first, 0
+        for m in regex.finditer(seen):
+            a, b = m.span(2)
+            value = text[a:b]
+            size = len(value.encode("utf-8", "surrogatepass"))
+            if a < at or size < 8 or "[REDACTED" in value or is_stand_in(value):
+                continue
+            line += text.count("\n", counted, a)
+            counted = a
+            events.append((line, p.kind, size))
+            out += [text[at:a], p.mask]
+            out_seen += [seen[at:a], p.mask]
+            at = b
+        if at:
+            text, seen = "".join([*out, text[at:]]), "".join([*out_seen, seen[at:]])
+    return text, events
 
 
 def redact(df: DataFrame, id_col: str, language_col: str, text_col: str, shift_col: str | None = None) -> DataFrame:
-    """(id, redacted_source, events ARRAY<STRUCT<line, type, original_length>>, total_redactions).
+    """(id, redacted_source, events ARRAY<STRUCT<line, type, original_length>>, total_redactions); a map without a shuffle.
 
     Values under 8 bytes, already masked ones and placeholders stay.  Lines count from 1, or from ``shift_col``.
-    A null text gives null and no events.
+    A null text gives null and no events; an empty one stays empty.
     """
-    t = F.col(text_col)
-    first = F.coalesce(F.col(shift_col), F.lit(1)) if shift_col else F.lit(1)
-    kind = "array<struct<line:int,type:string,original_length:int>>"
-    events = F.array().cast(kind)
-    out = df.select(id_col, first.alias("__first"), t.alias("__cur"), hidden_comments(t, F.col(language_col)).alias("__seen"), events.alias("events"))
-    for p in PATTERNS:
-        vals = F.array_distinct(F.regexp_extract_all("__seen", F.lit(p.regex), F.lit(2)))
-        good = F.filter(vals, lambda v: (F.octet_length(v) >= 8) & ~v.contains("[REDACTED") & ~stands_in(v))
-        out = out.withColumn("__vals", F.coalesce(good, F.array().cast("array<string>")))
-        per = lambda v: F.transform(
-            F.filter(F.sequence(F.lit(1), F.greatest(F.size(F.split(F.col("__cur"), F.concat(F.lit("\\Q"), v, F.lit("\\E")), -1)) - 1, F.lit(1))), lambda k: F.col("__cur").contains(v)),
-            lambda k: F.struct((F.size(F.split(F.call_function("substring_index", F.col("__cur"), v, k.cast("int")), "\n")) - 1 + F.col("__first")).cast("int").alias("line"), F.lit(p.kind).alias("type"), F.octet_length(v).alias("original_length")),
-        )
-        more = F.flatten(F.transform("__vals", per))
-        out = out.withColumn("events", F.concat("events", F.coalesce(more, F.array().cast(kind))))
-        mask = lambda s, v: F.replace(s, v, F.lit(p.mask))
-        out = out.withColumns({"__cur": F.aggregate("__vals", F.col("__cur"), mask), "__seen": F.aggregate("__vals", F.col("__seen"), mask)}).drop("__vals")
-    return out.select(id_col, F.col("__cur").alias("redacted_source"), "events", F.size("events").alias("total_redactions"))
+    first = F.coalesce(F.col(shift_col).cast("int"), F.lit(1)) if shift_col else F.lit(1)
+    rows = df.select(F.col(id_col).alias("k"), F.coalesce(F.col(language_col) == "python", F.lit(False)).alias("py"), first.alias("first"), F.col(text_col).alias("t"))
+    event = pa.struct([("line", pa.int32()), ("type", pa.string()), ("original_length", pa.int32())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, events = [], []
+            for py, n, t in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                got, found = redact_text(t, py, n) if t else (t, [])
+                texts.append(got)
+                events.append([{"line": a, "type": b, "original_length": c} for a, b, c in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(events, pa.list_(event)), pa.array(map(len, events), pa.int32())], names=[id_col, "redacted_source", "events", "total_redactions"])
+
+    kinds = T.StructType([T.StructField("line", T.IntegerType()), T.StructField("type", T.StringType()), T.StructField("original_length", T.IntegerType())])
+    return rows.mapInArrow(work, T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("redacted_source", T.StringType()), T.StructField("events", T.ArrayType(kinds)), T.StructField("total_redactions", T.IntegerType())]))
 
 
 def counts(redacted: DataFrame) -> DataFrame:
     """(type, redactions, chunks): how often each kind was masked."""
-    e = redacted.select(F.monotonically_increasing_id().alias("r"), F.explode("events").alias("e"))
-    return e.groupBy(F.col("e.type").alias("type")).agg(F.count("*").alias("redactions"), F.countDistinct("r").alias("chunks"))
+    kinds = F.transform("events", lambda e: e["type"])
+    per = redacted.select(F.explode(F.transform(F.array_distinct(kinds), lambda k: F.struct(k.alias("type"), F.size(F.filter(kinds, lambda x: x == k)).alias("n")))).alias("x"))
+    return per.groupBy("x.type").agg(F.sum("x.n").alias("redactions"), F.count("*").alias("chunks"))
