@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scanloom.functions.stats import f_beta, precision, recall
 from scanloom.operators.ordered import islands
@@ -31,29 +35,29 @@ def greedy_match(expected: DataFrame, actual: DataFrame, key: list[str], toleran
     a = a.join(lines, [*key, "line"]).join(labels, [*key, "island"]).withColumn("r", F.row_number().over(w)).where("r <= labels").select(*key, "island", "line", "id", F.lit(1).alias("side"))
     kind = expected.schema["id"].dataType
     schema = T.StructType([T.StructField("expected_id", kind), T.StructField("actual_id", actual.schema["id"].dataType)])
-
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        free = group[group["side"] == 1].sort_values("id")
-        ids, at = free["id"].tolist(), free["line"].tolist()
-        used = [False] * len(ids)
-        out = []
-        for i, n in group[group["side"] == 0].sort_values("id")[["id", "line"]].itertuples(index=False):
-            best = None
-            for k, m in enumerate(at):
-                d = abs(m - n)
-                if used[k] or d > tolerance:
-                    continue
-                if not nearest:
-                    best = (d, k)
-                    break
-                if best is None or d < best[0]:
-                    best = (d, k)
-            if best:
-                used[best[1]] = True
-                out.append((i, ids[best[1]]))
-        return pd.DataFrame(out, columns=["expected_id", "actual_id"])
-
-    return e.unionByName(a).groupBy(*key, "island").applyInPandas(match, schema)
+    pick = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("id", "line"))))
+    rows = e.unionByName(a).groupBy(*key, "island").agg(pick(0).alias("e"), pick(1).alias("a")).where("size(e) > 0 AND size(a) > 0").select("e", "a")
+    types = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for labels, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                free = [(x["line"], x["id"]) for x in found]
+                for x in labels:
+                    best = None
+                    for k, (line, _) in enumerate(free):
+                        d = abs(line - x["line"])
+                        if d <= tolerance and (best is None or d < best[0]):
+                            best = (d, k)
+                            if not nearest:
+                                break
+                    if best is not None:
+                        left.append(x["id"])
+                        right.append(free.pop(best[1])[1])
+            yield pa.RecordBatch.from_arrays([pa.array(left, types[0]), pa.array(right, types[1])], names=["expected_id", "actual_id"])
+
+    return rows.mapInArrow(match, schema)
 
 
 def claim_match(findings: DataFrame, truth: DataFrame, tolerance: int) -> DataFrame:

@@ -37,3 +37,40 @@ def fixed_side(df: DataFrame, max_rows: int) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+_SHIPPED = "scanloom.shipped"
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers: where they don't find it, it is added to the session as a zip.
+
+    One small job a session asks the workers.  A cluster that installs the package, or shares its folder, gets nothing.
+    """
+    import tempfile
+    import zipfile
+
+    if spark.conf.get(_SHIPPED, "") == "yes":
+        return
+
+    def ask(batches):
+        import importlib.util
+
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([importlib.util.find_spec("scanloom") is not None] * b.num_rows)], names=["there"])
+
+    ask.__module__ = "__main__"  # sent as code, since the workers may not have this module
+    answers = spark.range(0, 8, 1, 4).mapInArrow(ask, "there boolean").collect()
+    if not all(r["there"] for r in answers):
+        root = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(), "scanloom.zip")  # read by the driver alone, which serves it to the executors
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(root):
+                for n in names:
+                    if n.endswith(".py"):
+                        full = os.path.join(folder, n)
+                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
+        spark.sparkContext.addPyFile(path)
+    spark.conf.set(_SHIPPED, "yes")
