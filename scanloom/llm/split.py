@@ -110,6 +110,9 @@ def cuts(text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> lis
             lo, hi = max(last + 1, bisect_left(at, goal - slack)), min(len(units) - 1, bisect_right(at, goal + slack) - 1)
             if hi < lo:
                 lo = hi = max(last + 1, min(len(units) - 1, bisect_left(at, goal)))
+            if lo >= len(units):
+                places = None
+                break
             best = None
             for c in range(lo, hi + 1):
                 s = known.get(c)
@@ -120,8 +123,8 @@ def cuts(text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> lis
                     best = (rank, c)
             last = best[1]
             places.append(last)
-        edges = [0, *places, len(units)]
-        if all(b > a and at[b] - at[back(a, overlap) if a else 0] <= limit for a, b in zip(edges, edges[1:])):
+        edges = [0, *(places or ()), len(units)]
+        if places is not None and all(b > a and at[b] - at[back(a, overlap) if a else 0] <= limit for a, b in zip(edges, edges[1:])):
             found = [(back(a, overlap) if a else 0, a, b) for a, b in zip(edges, edges[1:])]
             break
         n += 1

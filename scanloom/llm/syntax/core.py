@@ -151,7 +151,7 @@ class Grammar:
         return "s"
 
     def flat(self, text: str) -> str:
-        s = self.lex.sub(self.token, text)
+        s = self.lex.sub(self.token, text.replace("\r\n", "\n"))
         for a, b in self.joins:
             s = s.replace(a, b)
         if self.lines_matter:

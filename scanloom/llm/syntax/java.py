@@ -352,8 +352,11 @@ class Cursor(Flat):
             else:
                 self.need(W["default"])
             if self.take("⇒"):
-                if not self.group(C, BLOCK):
+                if self.next_is(W["throw"]):
                     self.statement()
+                elif not self.group(C, BLOCK):
+                    self.expr()
+                    self.need(";")
                 continue
             self.need(":")
             while self.at() not in ("", W["case"], W["default"]):

@@ -524,11 +524,11 @@ class Cursor(Flat):
 
     def field(self) -> None:
         if self.plus:
-            if self.next_is(ACCESS):
+            while self.next_is(ACCESS):
                 self.i += 1
                 self.need(":")
-                return
-            self.outer()
+            if self.at() != "":
+                self.outer()
             return
         if not self.take(";"):
             self.specifiers()

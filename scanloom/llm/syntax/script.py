@@ -296,13 +296,15 @@ class Cursor(Flat):
     def declarations(self, kind: str, header: bool = False, ambient: bool = False) -> None:
         while True:
             pattern = self.binding()
+            typed = False
             if self.ts:
                 self.take("!")
-                if self.take(":"):
+                typed = self.take(":")
+                if typed:
                     self.type()
             if self.take("="):
                 self.assign()
-            elif (pattern or kind == W["const"]) and not header and not ambient:
+            elif (pattern or kind == W["const"] and not typed) and not header and not ambient:
                 raise Bad
             if not self.take(","):
                 return
@@ -399,6 +401,8 @@ class Cursor(Flat):
             self.i += 1
             self.need(":")
             self.statement()
+        elif kind_of(c) == C:  # no expression may begin a statement with a brace
+            raise Bad
         else:
             self.exprs()
             self.finish()
@@ -671,6 +675,13 @@ class Cursor(Flat):
         self.type()
         self.take("?")
 
+    def mapped(self) -> None:
+        self.need(NAME)
+        self.need(W["in"])
+        self.type()
+        if self.take(W["as"]):
+            self.type()
+
     def tuple_items(self) -> None:
         while self.at() != "":
             self.tuple_item()
@@ -722,7 +733,7 @@ class Script(Grammar):
     """JavaScript; with ``ts`` TypeScript."""
 
     lines_matter = True
-    keywords = {k: W[k] for k in RESERVED} | {"from": "f", "get": "g", "set": "g"}
+    keywords = {k: W[k] for k in RESERVED} | {"as": W["as"], "from": "f", "get": "g", "set": "g"}
     lex = re.compile(
         r"(?<=[=(,:\[!&|?{};])[ \t]*/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
         r"|(?<=\breturn)[ \t]*/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
@@ -765,6 +776,43 @@ class Script(Grammar):
             i = j
         return "".join(out)
 
+    def parses(self, text: str) -> bool:
+        return super().parses(text) or "${" in text and super().parses(self.untangled(text))
+
+    _step = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|[`{}]")
+    _inside = re.compile(r"\\[\s\S]|`|\$\{")
+
+    def untangled(self, text: str) -> str:
+        """Templates within templates brought to a flat form: an empty template with its parts as indices."""
+        out, at, depth = [], 0, [0]  # depth of braces for each template part that is open, the file below all
+        inside = False
+        while True:
+            m = (self._inside if inside else self._step).search(text, at)
+            if not m:
+                out.append("`" if inside else text[at:])
+                return "".join(out)
+            token = m.group()
+            if not inside:
+                out.append(text[at : m.start()])
+            at = m.end()
+            if inside:
+                if token == "`":
+                    inside = False
+                elif token == "${":
+                    out.append("[")
+                    depth.append(0)
+                    inside = False
+            elif token == "`":
+                out.append("``")
+                inside = True
+            elif token == "}" and len(depth) > 1 and depth[-1] == 0:
+                out.append("]")
+                depth.pop()
+                inside = True
+            else:
+                depth[-1] += (token == "{") - (token == "}")
+                out.append(token)
+
     def goes_on(self, token: str) -> bool:
         return token != "" and (token in "·*<>&|?:.‽=æ,⇒t" or token in (W["in"], W["instanceof"]) or kind_of(token) == P or token == "-")
 
@@ -808,7 +856,7 @@ class Script(Grammar):
                 roles |= PATTERN
             if len(full) == len(parts) and "…" not in f and roles & LIST:
                 roles |= INDEX
-            if self.ts and self.whole(Cursor, "tuple_items", f):
+            if self.ts and (self.whole(Cursor, "tuple_items", f) or W["in"] in f and self.whole(Cursor, "mapped", f)):
                 roles |= TUPLE
             return roles
         t = s.replace("\n", "")
