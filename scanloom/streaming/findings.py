@@ -12,10 +12,13 @@ def stream_table(spark: SparkSession, directory: str, schema: T.StructType, per_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(directory)
 
 
-def windowed_summary(findings: DataFrame, time: str, by: list[str], width: str = "1 hour", late: str = "7 days") -> DataFrame:
-    """(start, by, findings) in time windows; rows later than ``late`` behind the newest are dropped, nulls in time too."""
+def windowed_summary(findings: DataFrame, time: str, by: list[str], width: str = "1 hour", late: str | None = "7 days") -> DataFrame:
+    """(start, by, findings) in time windows; rows later than ``late`` behind the newest are dropped, nulls in time too.
+
+    ``late`` is None where the stream has its watermark already.
+    """
     w = F.window(time, width)
-    return findings.withWatermark(time, late).groupBy(w.alias("w"), *by).agg(F.count("*").alias("findings")).select(F.col("w.start").alias("start"), *by, "findings")
+    return (findings.withWatermark(time, late) if late else findings).groupBy(w.alias("w"), *by).agg(F.count("*").alias("findings")).select(F.col("w.start").alias("start"), *by, "findings")
 
 
 def once_each(findings: DataFrame, key: list[str], time: str, late: str = "7 days") -> DataFrame:
