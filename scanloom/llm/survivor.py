@@ -48,13 +48,17 @@ def filled(field: str) -> Column:
     return F.when(~F.lower(t).isin(*STAND_INS), t)
 
 
-def clean_records(findings: DataFrame, scans: DataFrame) -> DataFrame:
-    """One row per finding_key (redelivery removed) with the cleaned fields, the scan's time and its model."""
+def clean_records(findings: DataFrame, scans: DataFrame, digests: bool = False) -> DataFrame:
+    """One row per finding_key (redelivery removed) with the cleaned fields, the scan's time and its model.
+
+    ``digests`` keeps 64-bit digests of the fields instead of the fields: enough to tell equal values of one defect.
+    """
+    value = lambda f: F.when(filled(f).isNotNull(), F.xxhash64(filled(f))) if digests else filled(f)
     when = scans.groupBy("scan_id").agg(F.min("scanned_at").alias("scanned_at"), F.min("model_used").alias("source"))
     conf = F.when(F.col("confidence") > 1, F.col("confidence") / 100).otherwise(F.col("confidence"))
     rows = findings.select(
         "finding_key", "scan_id", "repo", one_path(F.col("file"), F.col("repo")).alias("file"), one_type(F.col("type")).alias("type"), F.col("line").cast("long").alias("line"),
-        F.coalesce(conf, F.lit(-1.0)).alias("confidence"), *[filled(f).alias(f) for f in FIELDS],
+        F.coalesce(conf, F.lit(-1.0)).alias("confidence"), *[value(f).alias(f) for f in FIELDS],
     )
     rows = rows.where("finding_key IS NOT NULL").dropDuplicates(["finding_key"])
     full = sum((F.col(f).isNotNull().cast("int") for f in FIELDS), F.lit(0))
@@ -125,9 +129,9 @@ def source_quality(facts: DataFrame, rounds: int = 6) -> dict[str, tuple[float,
     return quality
 
 
-def judged_groups(findings: DataFrame, scans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def judged_groups(findings: DataFrame, scans: DataFrame, digests: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(grouped records, statements, facts with probability ``p``), all settled or cheap to read again."""
-    grouped = settle(defect_groups(clean_records(findings, scans)))
+    grouped = settle(defect_groups(clean_records(findings, scans, digests)))
     claims = stated(grouped)
     facts = settle(fact_counts(claims))
     return grouped, claims, facts.withColumn("p", probability(source_quality(facts)))
@@ -142,7 +146,7 @@ def survivors(findings: DataFrame, scans: DataFrame) -> DataFrame:
     Redelivered rows count once; confidence in percent is brought to one scale, missing confidence and time rank
     last; records without repo, file, type or line neither give way nor stay for another; empty tables give no rows.
     """
-    grouped, claims, facts = judged_groups(findings, scans)
+    grouped, claims, facts = judged_groups(findings, scans, digests=True)
     trust = claims.join(facts.select("group", "field", "value", "p"), ["group", "field", "value"]).groupBy("finding_key").agg(F.sum("p").alias("trust"))
     best = grouped.groupBy("group").agg(F.max("n_filled").alias("m1"), F.max("confidence").alias("m2"), F.max("scanned_at").alias("m3"))
     slim = grouped.select("finding_key", "group", "n_filled", "confidence", "scanned_at")
