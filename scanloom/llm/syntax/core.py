@@ -19,6 +19,8 @@ ENDS = re.compile(f"[;{CURLY}]")
 ENDS_NL = re.compile(f"[;\n{CURLY}]")
 #: Forms kept per worker and grammar; beyond it the table is emptied.
 FORMS = 400_000
+#: Brackets nested deeper than this are refused, as compilers do.
+DEEPEST = 1000
 #: Longer groups aren't kept, for they hardly come again.
 LONGEST_FORM = 400
 
@@ -184,10 +186,12 @@ class Grammar:
         """Whether the text is a file of this language; comments alone and the empty text are."""
         try:
             s = self.flat(text)
-            while True:
+            for _ in range(DEEPEST):
                 s, n = GROUP.subn(self._reduce, s)
                 if not n:
                     break
+            else:
+                return False
             if any(c in s for c in "()[]{}"):
                 return False
             self.file(s)
@@ -252,6 +256,8 @@ class Grammar:
                     if nxt in more or not self.judged(name, s[i:j], judge):
                         j = k + 1
                         continue
+                if m and m.group() == "\n" and j < n and nxt and self.goes_on(nxt):
+                    continue
                 if m and m.group() == "\n":
                     cand = s[i : j - 1]
                 else:

@@ -145,3 +145,13 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(k, " ".join(item(k)[5:45])) for k in range(1, 12)], "doc_id long, text string")
     monkeypatch.setattr(leakage, "ITEM_BLOCK", 2)
     assert rows(leakage.leaks(docs, items, "doc_id", "text", "item_id", "text").select("doc_id", "item_id")) == [(k, k) for k in range(1, 8)]
+
+
+def test_long_texts_go_through_several_shards(monkeypatch):
+    monkeypatch.setattr(leakage, "SHARD_SYMBOLS", 900)
+    finder = leakage.LeakFinder([(1, " ".join(item(1))), (2, " ".join(item(2)))])
+    for at in (0, 500, 640, 700, 880, 3000):
+        codes = finder.code("z " * at + " ".join(item(1)[5:50]) + " z" * (3200 - at))
+        found = {r[1] for part in finder.windows(codes) for r in finder.search([(0, part)])}
+        assert found == {1}, at
+        assert all(len(p) <= 900 for p in finder.windows(codes))

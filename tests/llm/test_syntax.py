@@ -58,3 +58,10 @@ def test_check_syntax_table(spark):
     rates = rows(check.invalid_rates(df, "file_id", "repo", "path", "content"))
     assert ("r", "python", 2, 1, 0, 1, 0.5) in rates and ("r", "c", 2, 0, 0, 0, 0.0) in rates and (None, "javascript", 1, 1, 1, 0, 1.0) in rates
     assert check.check_syntax(df.limit(0), "file_id", "path", "content").count() == 0 and check.invalid_rates(df.limit(0), "file_id", "repo", "path", "content").count() == 0
+
+
+def test_deep_and_long_texts_end():
+    assert check.parses("x = " + "[" * 400 + "]" * 400, "javascript") and not check.parses("(" * 50_000 + ")" * 50_000, "javascript")
+    assert check.parses("a" + "\n  .b(1)" * 3000 + "\n", "javascript")
+    assert check.parses("class A { String s = " + ' + '.join(['"x"'] * 3000) + "; }", "java")
+    assert not check.parses("int f() {" * 3000, "c")
