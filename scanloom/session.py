@@ -40,6 +40,8 @@ def fixed_side(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 _SHIPPED = "scanloom.shipped"
+#: Rows of an Arrow batch, where the session has Spark's default: texts are long, and a worker holds a batch at once.
+BATCH_ROWS = "2000"
 
 
 def ship(spark: SparkSession) -> None:
@@ -52,6 +54,8 @@ def ship(spark: SparkSession) -> None:
 
     if spark.conf.get(_SHIPPED, "") == "yes":
         return
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def ask(batches):
         import importlib.util
