@@ -51,16 +51,20 @@ def filled(field: str) -> Column:
 def clean_records(findings: DataFrame, scans: DataFrame, digests: bool = False) -> DataFrame:
     """One row per finding_key (redelivery removed) with the cleaned fields, the scan's time and its model.
 
-    ``digests`` keeps 64-bit digests of the fields instead of the fields: enough to tell equal values of one defect.
+    Redelivered rows are equal, so they fall together as whole rows, which hashes without sorting.  ``digests`` keeps
+    64-bit digests of the fields, and 96 bits of repo, file and type together: enough to tell values and places apart.
     """
     value = lambda f: F.when(filled(f).isNotNull(), F.xxhash64(filled(f))) if digests else filled(f)
     when = scans.groupBy("scan_id").agg(F.min("scanned_at").alias("scanned_at"), F.min("model_used").alias("source"))
     conf = F.when(F.col("confidence") > 1, F.col("confidence") / 100).otherwise(F.col("confidence"))
+    place = [F.col("repo"), one_path(F.col("file"), F.col("repo")), one_type(F.col("type"))]
+    if digests:
+        whole = place[0].isNotNull() & place[1].isNotNull() & place[2].isNotNull()
+        place = [F.when(whole, F.xxhash64(*place)), F.when(whole, F.hash(*place)), F.when(whole, F.lit(0))]
     rows = findings.select(
-        "finding_key", "scan_id", "repo", one_path(F.col("file"), F.col("repo")).alias("file"), one_type(F.col("type")).alias("type"), F.col("line").cast("long").alias("line"),
-        F.coalesce(conf, F.lit(-1.0)).alias("confidence"), *[value(f).alias(f) for f in FIELDS],
-    )
-    rows = rows.where("finding_key IS NOT NULL").dropDuplicates(["finding_key"])
+        "finding_key", "scan_id", *[p.alias(n) for p, n in zip(place, ("repo", "file", "type"))], F.col("line").cast("long").alias("line"), F.coalesce(conf, F.lit(-1.0)).alias("confidence"), *[value(f).alias(f) for f in FIELDS]
+    )
+    rows = rows.where("finding_key IS NOT NULL").distinct()
     full = sum((F.col(f).isNotNull().cast("int") for f in FIELDS), F.lit(0))
     return rows.join(when, "scan_id", "left").withColumns({"n_filled": full, "source": F.coalesce("source", F.lit("?"))})
 
