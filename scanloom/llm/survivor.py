@@ -54,17 +54,17 @@ def clean_records(findings: DataFrame, scans: DataFrame, digests: bool = False)
     Redelivered rows are equal, so they fall together as whole rows, which hashes without sorting.  ``digests`` keeps
     64-bit digests of the fields, and 96 bits of repo, file and type together: enough to tell values and places apart.
     """
-    value = lambda f: F.when(filled(f).isNotNull(), F.xxhash64(filled(f))) if digests else filled(f)
     when = scans.groupBy("scan_id").agg(F.min("scanned_at").alias("scanned_at"), F.min("model_used").alias("source"))
     conf = F.when(F.col("confidence") > 1, F.col("confidence") / 100).otherwise(F.col("confidence"))
-    place = [F.col("repo"), one_path(F.col("file"), F.col("repo")), one_type(F.col("type"))]
+    place = ["repo", "file", "type"]
+    rows = findings.where("finding_key IS NOT NULL").select(
+        "finding_key", "scan_id", "repo", one_path(F.col("file"), F.col("repo")).alias("file"), one_type(F.col("type")).alias("type"), F.col("line").cast("long").alias("line"), F.coalesce(conf, F.lit(-1.0)).alias("confidence"), *[filled(f).alias(f) for f in FIELDS]
+    )
     if digests:
-        whole = place[0].isNotNull() & place[1].isNotNull() & place[2].isNotNull()
-        place = [F.when(whole, F.xxhash64(*place)), F.when(whole, F.hash(*place)), F.when(whole, F.lit(0))]
-    rows = findings.select(
-        "finding_key", "scan_id", *[p.alias(n) for p, n in zip(place, ("repo", "file", "type"))], F.col("line").cast("long").alias("line"), F.coalesce(conf, F.lit(-1.0)).alias("confidence"), *[value(f).alias(f) for f in FIELDS]
-    )
-    rows = rows.where("finding_key IS NOT NULL").distinct()
+        whole = F.col("repo").isNotNull() & F.col("file").isNotNull() & F.col("type").isNotNull()
+        place = [F.when(whole, h).alias(n) for h, n in zip((F.xxhash64(*place), F.hash(*place), F.lit(0)), place)]
+        rows = rows.select("finding_key", "scan_id", *place, "line", "confidence", *[F.when(F.col(f).isNotNull(), F.xxhash64(f)).alias(f) for f in FIELDS])
+    rows = rows.distinct()
     full = sum((F.col(f).isNotNull().cast("int") for f in FIELDS), F.lit(0))
     return rows.join(when, "scan_id", "left").withColumns({"n_filled": full, "source": F.coalesce("source", F.lit("?"))})
 
@@ -135,7 +135,7 @@ def source_quality(facts: DataFrame, rounds: int = 6) -> dict[str, tuple[float,
 
 def judged_groups(findings: DataFrame, scans: DataFrame, digests: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(grouped records, statements, facts with probability ``p``), all settled or cheap to read again."""
-    grouped = settle(defect_groups(clean_records(findings, scans, digests)))
+    grouped = settle(defect_groups(settle(clean_records(findings, scans, digests))))
     claims = stated(grouped)
     facts = settle(fact_counts(claims))
     return grouped, claims, facts.withColumn("p", probability(source_quality(facts)))
