@@ -25,10 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later stages start from files that survive executors."""
+    """Write ``df`` to the shared folder and read it back: later stages start from files that survive executors.
+
+    The files are removed when the application ends.
+    """
     spark = spark or df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
