@@ -2,7 +2,8 @@
 
 The least number of pieces is computed, equal-length targets are placed, and each target snaps to the strongest
 boundary near it.  If a piece with the lines it shares with its neighbour breaks the limit, a piece is added and
-the targets are placed anew.
+the targets are placed anew.  A line over the limit is a row of small fragments to this search.  Where lines near the
+limit let no equal targets succeed, they are placed anew for the rest of the text after each cut.
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ MAX_TOKENS = 600
 OVERLAP = 2
 #: A target may move by this share of a piece's length.
 SNAP = 0.25
+#: Part of the limit that a fragment of an over-long line fills; words up to half the limit stay whole.
+FRAGMENT = 16
 
 _CLOSER = re.compile(r"\s*(?:[}\])]|else\b|elif\b|except\b|catch\b|finally\b|case\b|end\b)")
 _CLOSED = re.compile(r"\s*[}\])]+[;,]?\s*$")
 _COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|@)")
 _SOFT = re.compile(r"(?<=[;,{}()\s])")
+_SEPARATED = re.compile(r"[;,{}()\s]\Z")
 
 
 def tokens(text: str) -> int:
@@ -35,21 +39,25 @@ def tokens(text: str) -> int:
 
 
 def _units(text: str, most: int) -> tuple[list[str], list[int], list[bool]]:
-    """Lines with their ends; a line over ``most`` bytes is cut behind separators, else between characters."""
+    """Lines with their ends; a line over ``most`` bytes is cut behind separators, long words between characters.
+
+    The fragments are small, so that pieces have room for shared lines and targets find a place within the line.
+    """
     units, line_of, ends = [], [], []
+    part, word_most = max(4, most // FRAGMENT), max(4, most // 2)
     lines = [x for x in re.split(r"(?<=\n)", text) if x]
     for k, line in enumerate(lines):
         if len(line) * 4 > most and len(line.encode("utf-8", "surrogatepass")) > most:
             parts, cur, size = [], [], 0
             for word in _SOFT.split(line):
                 n = len(word.encode("utf-8", "surrogatepass"))
-                if size + n > most and cur:
+                if size + n > part and cur:
                     parts.append("".join(cur))
                     cur, size = [], 0
-                while n > most:
-                    step = most // 4
-                    parts.append(word[:step])
-                    word = word[step:]
+                if n > word_most:
+                    step = part // 4
+                    parts += [word[i : i + step] for i in range(0, len(word) - step, step)]
+                    word = word[(len(word) - 1) // step * step :]
                     n = len(word.encode("utf-8", "surrogatepass"))
                 cur.append(word)
                 size += n
@@ -65,8 +73,8 @@ def _units(text: str, most: int) -> tuple[list[str], list[int], list[bool]]:
 
 def _strength(units: list[str], ends: list[bool], i: int) -> int:
     """How natural a cut behind unit i is: low indentation, blank lines and closed blocks count for it."""
-    if not ends[i]:
-        return 0
+    if not ends[i]:  # within a line: behind a separator rather than within a word
+        return 0 if _SEPARATED.search(units[i]) else -1
     j = i + 1
     while j < len(units) - 1 and not units[j].strip():
         j += 1
@@ -82,7 +90,8 @@ def cuts(text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> lis
     """Pieces (start_line, end_line, shared, tokens, text) of a text, lines from 0; ``shared`` lines repeat from the piece before.
 
     A text within the limit is one piece; the empty text is one empty piece.  Without their shared lines the
-    pieces add up to the text.  Where the shared lines don't fit (lines near the limit), fewer are shared.
+    pieces add up to the text.  Where the shared lines don't fit (lines near the limit), fewer are shared; a line over
+    the limit, or a part of it, is never shared.
     """
     limit = max_tokens * 4 + 3
     size = len(text.encode("utf-8", "surrogatepass"))
@@ -92,15 +101,19 @@ def cuts(text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> lis
     at = [0, *accumulate(len(u.encode("utf-8", "surrogatepass")) for u in units)]
 
     def back(cut: int, want: int) -> int:
-        """First unit of ``want`` shared lines before a cut; whole lines only."""
+        """First unit of ``want`` shared lines before a cut; whole lines only, so none that is cut itself."""
         k = cut
-        while want and k and ends[k - 1]:
+        while want and k and ends[k - 1] and (k == 1 or ends[k - 2]):
             k -= 1
-            while k and not ends[k - 1]:
-                k -= 1
             want -= 1
         return k
 
+    def strength(cut: int) -> int:
+        s = known.get(cut)
+        if s is None:
+            s = known[cut] = _strength(units, ends, cut - 1)
+        return s
+
     n, known = -(-size // limit), {}
     found = None
     while n < len(units) and n <= 4 * (size // limit + 1):
@@ -113,26 +126,28 @@ def cuts(text: str, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> lis
             if lo >= len(units):
                 places = None
                 break
-            best = None
-            for c in range(lo, hi + 1):
-                s = known.get(c)
-                if s is None:
-                    s = known[c] = _strength(units, ends, c - 1)
-                rank = (s, -abs(at[c] - goal))
-                if best is None or rank > best[0]:
-                    best = (rank, c)
-            last = best[1]
+            last = max(range(lo, hi + 1), key=lambda c: (strength(c), -abs(at[c] - goal)))
             places.append(last)
         edges = [0, *(places or ()), len(units)]
         if places is not None and all(b > a and at[b] - at[back(a, overlap) if a else 0] <= limit for a, b in zip(edges, edges[1:])):
             found = [(back(a, overlap) if a else 0, a, b) for a, b in zip(edges, edges[1:])]
             break
         n += 1
-    if found is None:  # long lines leave no room: fill pieces one after another and share what fits
+    if found is None:  # lines near the limit: equal targets for what is left after each cut, sharing what fits
         found, a = [], 0
         while a < len(units):
             first = next(f for w in range(overlap if a else 0, -1, -1) if at[a + 1] - at[f := back(a, w)] <= limit or w == 0)
-            b = max(a + 1, bisect_right(at, at[first] + limit) - 1)
+            top = bisect_right(at, at[first] + limit) - 1
+            b = len(units)
+            if top < b:
+                left, room = size - at[a], limit - min(at[a] - at[first], limit // 2)
+                step = left / -(-left // room)
+                goal, slack = at[a] + step, step * SNAP
+                lo, hi = max(a + 1, bisect_left(at, goal - slack)), min(top, bisect_right(at, goal + slack) - 1)
+                if hi < lo:  # a line fills the window: before it, but not far from what fits
+                    hi = min(top, max(a + 1, bisect_left(at, goal)))
+                    lo = min(hi, max(a + 1, bisect_left(at, (at[a] + at[hi]) / 2)))
+                b = max(range(lo, hi + 1), key=lambda c: (at[c] - at[back(c, overlap)] <= limit // 2, strength(c), -abs(at[c] - goal)))
             found.append((first, a, b))
             a = b
     return [

@@ -47,6 +47,27 @@ def test_one_endless_line_and_short_texts():
     assert split.cuts("", 100) == [(0, 0, 0, 0, "")] and len(split.cuts("a\nb\n", 100)) == 1
 
 
+def test_an_over_long_line_spoils_no_other_cut():
+    block = "def f():\n    a = 1\n    b = 2\n    return a + b\n\n"
+    text = block * 20 + "x = [" + "12345, " * 120 + "]\n\n" + block * 20
+    pieces = split.cuts(text, 100, 2)
+    assert rejoined(pieces) == text and all(p[3] <= 100 for p in pieces)
+    whole = [(a, b) for a, b in zip(pieces, pieces[1:]) if a[4].endswith("\n")]
+    assert len(whole) >= 5 and sum(b[2] == 2 for _, b in whole) >= len(whole) - 1
+    assert sum(a[4].rstrip().endswith("return a + b") for a, _ in whole) >= len(whole) - 1
+    assert all(a[4].endswith((", ", "\n")) for a in pieces[:-1])
+    assert min(p[3] for p in pieces) > 40
+
+
+def test_lines_near_the_limit_spoil_no_other_cut():
+    block = "def f():\n    a = 1\n    b = 2\n    return a + b\n\n"
+    text = block * 20 + "y" * 390 + "\n" + block * 20
+    pieces = split.cuts(text, 100, 2)
+    assert rejoined(pieces) == text and all(p[3] <= 100 for p in pieces)
+    away = [p for p in pieces[:-1] if "y" not in p[4]]
+    assert len(away) >= 4 and all(p[4].rstrip().endswith("return a + b") for p in away)
+
+
 def test_split_oversized_table(spark):
     big = "if a:\n    b()\n" * 400
     df = spark.createDataFrame([(1, big, 10, "x"), (2, "short", 1, None), (3, None, 1, None), (4, "", None, None), (5, big, None, None), (1, big, 10, "x")], "chunk_key long, source string, start_line int, piece string")
