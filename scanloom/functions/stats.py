@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -54,6 +57,47 @@ def resamples(units: int, iterations: int, seed: int):
             yield i, rng.randrange(units)
 
 
+def draws(bits: np.random.MT19937, units: int, n: int) -> np.ndarray:
+    """The next ``n`` values of random.Random.randrange(units), of at most 2**32 - 1 units, from the same generator's raw numbers."""
+    got, left = [np.empty(0, np.int64)], n
+    while left:  # a refused number is drawn anew, so no number behind the last one is used up
+        raw = bits.random_raw(left) >> (32 - units.bit_length())
+        got.append(raw[raw < units].astype(np.int64))
+        left -= len(got[-1])
+    return np.concatenate(got)
+
+
+def resample_blocks(units: int, iterations: int, seed: int, most: int = 100_000):
+    """Blocks (first iteration, iterations, key, position) of the draws of ``resamples``: the generator's state at each block's start.
+
+    A block has about ``most`` draws; ``draws`` gives them from its state alone, wherever it runs.
+    """
+    _, state, _ = random.Random(seed).getstate()
+    bits = np.random.MT19937()
+    bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+    size = max(1, most // max(1, units))
+    for first in range(0, iterations if units else 0, size):
+        n, now = min(size, iterations - first), bits.state["state"]
+        yield first, n, now["key"].tobytes(), int(now["pos"])
+        for _ in range(n):
+            draws(bits, units, units)
+
+
+def resample_table(spark: SparkSession, units: int, iterations: int, seed: int) -> DataFrame:
+    """``resamples`` as a table (iteration, unit): the driver only runs through the generator, executors write the rows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.to_pylist():
+                bits = np.random.MT19937()
+                bits.state = {"bit_generator": "MT19937", "state": {"key": np.frombuffer(b["key"], np.uint32), "pos": b["pos"]}}
+                iteration = np.repeat(np.arange(b["first"], b["first"] + b["n"], dtype=np.int32), units)
+                yield pa.RecordBatch.from_arrays([pa.array(iteration), pa.array(draws(bits, units, len(iteration)))], names=["iteration", "unit"])
+
+    blocks = spark.createDataFrame(list(resample_blocks(units, iterations, seed)), "first int, n int, key binary, pos int")
+    return blocks.mapInArrow(work, "iteration int, unit long")
+
+
 def sign_flips(units: int, iterations: int, seed: int):
     """Rows (iteration, unit, sign) of a paired permutation test."""
     rng = random.Random(seed)

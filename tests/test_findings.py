@@ -1,3 +1,5 @@
+import random
+
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -5,6 +7,7 @@ from scanloom.functions import paths, stats
 from scanloom.functions import text as tx
 from scanloom.operators import findings as fd
 from scanloom.operators import matching, redaction, reporting, retrieval, usage
+from scanloom.plans import catalog
 
 
 def col(spark, value, expr, kind="string"):
@@ -104,6 +107,25 @@ def test_statistics(spark):
     assert list(stats.resamples(2, 2, 7)) == list(stats.resamples(2, 2, 7)) and {s for *_, s in stats.sign_flips(3, 9, 1)} == {1, -1}
 
 
+def test_resamples_in_blocks(spark):
+    for units, iterations in ((3, 5), (64, 40), (397, 600), (1, 3)):
+        assert rows(stats.resample_table(spark, units, iterations, 7)) == sorted(stats.resamples(units, iterations, 7), key=repr)
+    assert len(list(stats.resample_blocks(397, 600, 7))) > 1 and stats.resample_table(spark, 0, 5, 7).count() == 0
+
+
+def test_bootstrap_takes_ten_thousand_draws_and_order_statistics(spark):
+    d = "/root/testdata/sf0.001"
+    e, a = catalog._sides(spark, d)
+    counts = [tuple(r)[1:] for r in matching.match_counts(e, a, matching.greedy_match(e, a, catalog.KEY, 20), ["repo"]).orderBy("repo").collect()]
+    rng, f1 = random.Random(7), []
+    for _ in range(10_000):
+        drawn = [counts[rng.randrange(len(counts))] for _ in counts]
+        tp, fp, fn = (sum(x) for x in zip(*drawn))
+        f1.append(2 * tp / (2 * tp + fp + fn) if tp else 0.0)
+    f1.sort()
+    assert tuple(catalog.bootstrap_f1(spark, d).first()) == (10_000, round(f1[250], 6), round(f1[9750], 6))
+
+
 def test_retrieval(spark):
     kb = spark.createDataFrame([("a", "sql injection query"), ("b", "cross site script"), ("c", "sql sql"), ("d", None), ("e", "")], "kb string, text string")
     idx = retrieval.postings(kb, "kb", F.col("text"))
