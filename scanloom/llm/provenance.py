@@ -36,7 +36,7 @@ COPY_SHARE = 0.8
 LINE_CHARS = 25
 EV = [f"e{k}" for k in range(5)]
 
-# What generators write at the head of a file, in English, German, French and Spanish.
+# What generators write at the head or the end of a file, in English, German, French and Spanish.
 _GENERATOR = re.compile(
     r"@generated\b|<auto-generated|\bauto[- ]?generated\b|\bcode generated (?:by|from)\b|\bautomatically (?:generated|created)\b|\b(?:do not|don't) (?:edit|modify)(?: (?:by hand|manually|this file|directly))?[\s.!*/>-]*$|\bdo not modify by hand\b"
     r"|\bmachine[- ](?:written|generated)\b|\bedits? (?:is|are|will be) (?:overwritten|lost)\b|\bchanges will be (?:lost|overwritten)\b|^\W*generated (?:by|from|on|with|using)\b|\boutput, rerun\b|\bautomatisch (?:erzeugt|generiert)\b|\bnicht (?:bearbeiten|ändern)\b|\bne pas (?:modifier|éditer)\b|\bgénéré automatiquement\b|\bno (?:editar|modificar)\b|\bgenerado automáticamente\b",
@@ -47,6 +47,8 @@ _LIBRARY = re.compile(
     r"^\W*(?P<n>[a-z][\w.-]{2,40}) (?:v?\d+\.\d+(?:\.\d+)*\b(?:\s*\||\s*$)|- copyright\b)|\(c\) the (?P<m>[a-z][\w.-]{2,40}) (?:authors|contributors)\b|\bcopyright \(c\) \d{4}(?:-\d{4})? (?:the )?(?P<k>[a-z][\w.-]{2,40}) (?:contributors|authors|project)\b|^\W*@license\b|^/\*! ", re.I | re.M
 )
 _COMMENT = re.compile(r"\A(?:\s*(?:#(?!include|define|if|pragma)[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->))+")
+_COMMENT_LINE = re.compile(r"\s*(?:#(?!include|define|if|pragma|endif|else|undef)|//)")
+_BLOCKS = {"*/": "/*", "-->": "<!--"}
 _ACCESSOR = re.compile(r"\b[gs]et_?[A-Za-z]\w*\s*\(|\b_values\[\d|\[\"_v\"\]|\bf\d+_|\b_F\d+\b|\bFIELD_\d+\b")
 _DATA = re.compile(r"(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d.]*(?:[eE][-+]?\d+)?)[uUlLfF]*[\s,;\]\[{}()]+){8,}|[A-Za-z0-9+/=]{60,}|(?:[\"']?\w+[\"']?\s*:\s*[-+]?\d[\d.]*\s*,\s*){8,}")
 _BINARY = re.compile(r"[\x00-\x08\x0e-\x1a\x7f\ufffd]")
@@ -67,6 +69,25 @@ _NAME_SAYS = {
 }
 
 
+def _tail(text: str) -> str:
+    """The comments that end a text.  Behind the last code there is no open string, so none of them is a literal's line."""
+    at = begin = len(text.rstrip())
+    while at:
+        start = text.rfind("\n", 0, at) + 1
+        if not _COMMENT_LINE.match(text, start, at):
+            closer = next((c for c in _BLOCKS if text.endswith(c, start, at)), None)
+            opened = text.rfind(_BLOCKS[closer], 0, at - len(closer)) if closer else -1
+            if opened < 0 or text.find(closer, opened + 2, at) != at - len(closer):
+                break
+            start = text.rfind("\n", 0, opened) + 1
+            if text[start:opened].strip():
+                break
+        begin = at = start
+        while at and text[at - 1].isspace():
+            at -= 1
+    return text[begin:].rstrip()
+
+
 def evidence(path: str | None, text: str | None) -> tuple[list[float], bool]:
     """Log evidence of a file for each label, and whether it is marked as a third party's."""
     e = [0.0] * 5  # what is usual is up to the directory
@@ -76,14 +97,13 @@ def evidence(path: str | None, text: str | None) -> tuple[list[float], bool]:
             e[label] += 2.0
     if not text or text.isspace():
         return e, False
-    head = m.group() if (m := _COMMENT.match(text[:4000])) else ""
-    if head:
-        first = "\n".join(head.split("\n")[:12])
-        if _GENERATOR.search(first):
-            e[GENERATED] += 8.0
-        if _LIBRARY.search(first):
-            e[VENDORED] += 8.0
-            marked = True
+    head = m.group() if (m := _COMMENT.match(text)) else ""
+    said = [x for x in (head, _tail(text[len(head) :])) if x]
+    if any(map(_GENERATOR.search, said)):
+        e[GENERATED] += 8.0
+    if any(map(_LIBRARY.search, said)):
+        e[VENDORED] += 8.0
+        marked = True
     size = len(text)
     lines = [x for x in text.split("\n") if x and not x.isspace()]
     body = lines[head.count("\n") :] or lines

@@ -30,6 +30,17 @@ def test_labels_of_files(spark):
     assert provenance.label_files(files(spark, data).limit(0), "file_id", "repo", "path", "content").count() == 0
 
 
+def test_marks_below_a_licence_in_a_long_comment_and_at_the_end():
+    said = lambda text: provenance.evidence("src/a.py", text)
+    licence = "".join(f"# term {k} of a long licence that says nothing of the kind\n" for k in range(200))
+    block = "/* Code generated by toolc. DO NOT EDIT.\n" + licence.replace("#", " *") + " */\n"
+    for text in (licence + "# @generated\n" + HAND, block + HAND, HAND + "\n# @generated\n\n", HAND + "/* made here\n * Code generated by toolc.\n */\n// end\n", HAND + "<!-- @generated -->\n"):
+        assert said(text)[0][provenance.GENERATED] >= 8.0, text[-60:]
+    assert said(HAND + "\n# somekit 1.2.3\n# (c) the somekit authors\n")[1]
+    for text in (HAND + 'T = """\n# @generated\n"""\n', HAND + "# @generated\nx = 1\n", HAND + 'write_line("@generated")\n', HAND + 'x = 1 /* a */ + "@generated */"\n', HAND + "#endif @generated\n"):
+        assert said(text)[0][provenance.GENERATED] < 8.0, text[-60:]
+
+
 def test_neighbours_decide_where_files_say_nothing(spark):
     """The same file is taken for what its directory is; the messages are exact on a small tree."""
     plain = [(100 + k, "a", f"node_modules/kit-1.0.0/lib/f{k}.py", f"# kit{k} 1.0.{k}\n# (c) the kit authors, released under the MIT license\n{LIBRARY}") for k in range(6)]
