@@ -150,13 +150,14 @@ def file_evidence(df: DataFrame, id_col: str, repo_col: str, path_col: str, text
 def copies(df: DataFrame, id_col: str, text_col: str, marked: DataFrame) -> DataFrame:
     """(k, share): share of a file's lines that stand in ``marked`` files, where it reaches COPY_SHARE.
 
-    Lines are compared by 64-bit digests, trimmed; each line of a file counts once.  Marked files are compared too.
+    Lines are compared by 64-bit digests, trimmed; each line of a file counts once, also where the
+    file is delivered again.  Marked files are compared too.
     """
     lines = F.filter(F.array_distinct(F.transform(F.split(F.col(text_col), "\n"), lambda x: F.regexp_replace(F.trim(x), r"\s+$", ""))), lambda x: F.length(x) >= LINE_CHARS)
     hashed = df.select(F.col(id_col).alias("k"), F.transform(lines, lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= 4)
     known = hashed.join(marked.select("k"), "k", "left_semi").select(F.explode("h").alias("x")).distinct().withColumn("known", F.lit(1))
     each = hashed.select("k", F.size("h").alias("n"), F.explode("h").alias("x"))
-    hit = each.join(known, "x").groupBy("k", "n").agg(F.count("*").alias("hits")).groupBy("k").agg(F.max(F.least(F.lit(1.0), F.col("hits") / F.col("n"))).alias("share"))
+    hit = each.join(known, "x").dropDuplicates(["k", "n", "x"]).groupBy("k", "n").agg(F.count("*").alias("hits")).groupBy("k").agg(F.max(F.least(F.lit(1.0), F.col("hits") / F.col("n"))).alias("share"))
     return hit.where(F.col("share") >= COPY_SHARE)
 
 

@@ -41,6 +41,13 @@ def test_marks_below_a_licence_in_a_long_comment_and_at_the_end():
         assert said(text)[0][provenance.GENERATED] < 8.0, text[-60:]
 
 
+def test_a_redelivered_file_is_no_fuller_copy(spark):
+    lines = [f"value_{k} = transform_the_value({k}, other)" for k in range(10)]
+    mixed = "\n".join(lines[:5] + [x.replace("value", "own") for x in lines[5:]])
+    df = files(spark, [(1, "a", "a.py", "\n".join(lines)), (2, "a", "b.py", mixed), (2, "a", "b.py", mixed), (3, "a", "c.py", "\n".join(lines[:9]))])
+    assert rows(provenance.copies(df, "file_id", "content", spark.createDataFrame([(1,)], "k long"))) == [(1, 1.0), (3, 1.0)]
+
+
 def test_neighbours_decide_where_files_say_nothing(spark):
     """The same file is taken for what its directory is; the messages are exact on a small tree."""
     plain = [(100 + k, "a", f"node_modules/kit-1.0.0/lib/f{k}.py", f"# kit{k} 1.0.{k}\n# (c) the kit authors, released under the MIT license\n{LIBRARY}") for k in range(6)]
