@@ -28,8 +28,6 @@ PRIOR = (0.8, 0.05, 0.05, 0.05, 0.05)
 FILE_KEEPS, DIR_KEEPS = (0.8, 0.7, 0.7, 0.8, 0.7), (0.6, 0.75, 0.75, 0.85, 0.75)
 #: What plain code takes off each label.
 PLAIN = (0.0, 3.0, 4.0, 0.7, 4.0)
-#: Directories below this depth count with their ancestor there.
-MAX_DEPTH = 12
 #: Share of a file's lines that stand in marked third-party files, from which it counts as a copy.
 COPY_SHARE = 0.8
 #: Shorter lines, like brackets and imports of one word, say nothing about copies.
@@ -48,6 +46,7 @@ _LIBRARY = re.compile(
 )
 _COMMENT = re.compile(r"\A(?:\s*(?:#(?!include|define|if|pragma)[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->))+")
 _COMMENT_LINE = re.compile(r"\s*(?:#(?!include|define|if|pragma|endif|else|undef)|//)")
+_COMMENT_START = r"^(?:#(?!include|define|if|pragma|endif|else|undef)|//|/\*|\*(?:[\s/]|$)|<!--)"
 _BLOCKS = {"*/": "/*", "-->": "<!--"}
 _ACCESSOR = re.compile(r"\b[gs]et_?[A-Za-z]\w*\s*\(|\b_values\[\d|\[\"_v\"\]|\bf\d+_|\b_F\d+\b|\bFIELD_\d+\b")
 _DATA = re.compile(r"(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d.]*(?:[eE][-+]?\d+)?)[uUlLfF]*[\s,;\]\[{}()]+){8,}|[A-Za-z0-9+/=]{60,}|(?:[\"']?\w+[\"']?\s*:\s*[-+]?\d[\d.]*\s*,\s*){8,}")
@@ -143,7 +142,7 @@ def file_evidence(df: DataFrame, id_col: str, repo_col: str, path_col: str, text
     src = df.select(F.col(id_col).alias("k"), F.coalesce(F.col(repo_col), F.lit("")).alias("repo"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.col(text_col).alias("t"))
     found = src.mapInArrow(work, schema).dropDuplicates(["k"])
     parts = F.split("path", "/")
-    folder = F.array_join(F.slice(parts, 1, F.least(F.size(parts) - 1, F.lit(MAX_DEPTH))), "/")
+    folder = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
     return found.withColumn("dir", folder)
 
 
@@ -151,10 +150,16 @@ def copies(df: DataFrame, id_col: str, text_col: str, marked: DataFrame) -> Data
     """(k, share): share of a file's lines that stand in ``marked`` files, where it reaches COPY_SHARE.
 
     Lines are compared by 64-bit digests, trimmed; each line of a file counts once, also where the
-    file is delivered again.  Marked files are compared too.
+    file is delivered again.  A file of less than four such lines is compared as a whole, without its lines of comment, unless
+    that is no longer than a line that says nothing.  Marked files are compared too.
     """
-    lines = F.filter(F.array_distinct(F.transform(F.split(F.col(text_col), "\n"), lambda x: F.regexp_replace(F.trim(x), r"\s+$", ""))), lambda x: F.length(x) >= LINE_CHARS)
-    hashed = df.select(F.col(id_col).alias("k"), F.transform(lines, lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= 4)
+    trimmed = F.transform(F.split(F.col(text_col), "\n"), lambda x: F.regexp_replace(F.trim(x), r"\s+$", ""))
+    lines = df.select(F.col(id_col).alias("k"), trimmed.alias("all"))
+    lines = lines.select("k", "all", F.filter(F.array_distinct("all"), lambda x: F.length(x) >= LINE_CHARS).alias("long"))
+    whole = F.array_join(F.filter("all", lambda x: (x != "") & ~x.rlike(_COMMENT_START)), "\n")
+    short = F.when(F.length(whole) >= LINE_CHARS, F.array(F.xxhash64(F.lit("whole"), whole)))
+    digests = F.when(F.size("long") >= 4, F.transform("long", lambda x: F.xxhash64(x))).otherwise(short)
+    hashed = lines.select("k", digests.alias("h")).where("h IS NOT NULL")
     known = hashed.join(marked.select("k"), "k", "left_semi").select(F.explode("h").alias("x")).distinct().withColumn("known", F.lit(1))
     each = hashed.select("k", F.size("h").alias("n"), F.explode("h").alias("x"))
     hit = each.join(known, "x").dropDuplicates(["k", "n", "x"]).groupBy("k", "n").agg(F.count("*").alias("hits")).groupBy("k").agg(F.max(F.least(F.lit(1.0), F.col("hits") / F.col("n"))).alias("share"))

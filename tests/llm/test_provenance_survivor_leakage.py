@@ -48,6 +48,15 @@ def test_a_redelivered_file_is_no_fuller_copy(spark):
     assert rows(provenance.copies(df, "file_id", "content", spark.createDataFrame([(1,)], "k long"))) == [(1, 1.0), (3, 1.0)]
 
 
+def test_short_copies_and_deep_directories(spark):
+    body = "module.exports = require('./lib/padLeft')\n"
+    df = files(spark, [(1, "a", "a.js", "// somekit 1.2.3\n" + body), (2, "b", "b.js", "\n" + body), (3, "b", "c.js", body.replace("Left", "Right")), (4, "b", "d.js", "x = 1\n"), (5, "a", "d.js", "// somekit 1.2.3\nx = 1\n"), (6, "a", "e.js", None)])
+    assert rows(provenance.copies(df, "file_id", "content", spark.createDataFrame([(1,), (5,)], "k long"))) == [(1, 1.0), (2, 1.0)]
+    deep = "/".join(f"d{k}" for k in range(13)) + "/third_party/x.py"
+    found = provenance.file_evidence(files(spark, [(1, "a", deep, HAND), (2, "a", "x.py", HAND)]), "file_id", "repo", "path", "content")
+    assert rows(found.select("k", "dir")) == [(1, deep[: -len("/x.py")]), (2, "")]
+
+
 def test_neighbours_decide_where_files_say_nothing(spark):
     """The same file is taken for what its directory is; the messages are exact on a small tree."""
     plain = [(100 + k, "a", f"node_modules/kit-1.0.0/lib/f{k}.py", f"# kit{k} 1.0.{k}\n# (c) the kit authors, released under the MIT license\n{LIBRARY}") for k in range(6)]
