@@ -16,17 +16,23 @@ from scanloom.sources import readers, writers
 
 
 def run_scan(spark: SparkSession, root: str, out: str, languages: tuple[str, ...] = (), threshold: float = 0.5) -> int:
-    """Findings of a tree as JSON lines below ``out``, and as one report document up to DOCUMENT_ROWS; the number of findings."""
+    """Findings of a tree as JSON lines below ``out``, and a report document; the number of findings.
+
+    The document has scan_metadata and summary at every size, its list of findings up to DOCUMENT_ROWS.
+    """
     ignore_file = os.path.join(root, ".scanignore")
     ignore = readers.ignore_patterns(open(ignore_file, encoding="utf-8").read()) if os.path.exists(ignore_file) else ()
     found, calls = scan(readers.source_tree(spark, root, languages, ignore), threshold=threshold)
     writers.write_findings(found, os.path.join(out, "findings"))
     n = found.count()
+    count = lambda k: {r[k]: r["n"] for r in found.groupBy(k).agg(F.count("*").alias("n")).collect()}
+    doc = {"scan_metadata": {"timestamp": datetime.now(timezone.utc).isoformat(), "target_path": root, "analysis": calls.first().asDict()}}
     if n <= DOCUMENT_ROWS:
-        rows = [r.asDict() for r in found.orderBy("file", "line", "type").collect()]
-        count = lambda k: {r[k]: r["n"] for r in found.groupBy(k).agg(F.count("*").alias("n")).collect()}
-        doc = {"scan_metadata": {"timestamp": datetime.now(timezone.utc).isoformat(), "target_path": root, "analysis": calls.first().asDict()}, "findings": rows, "summary": {"total_findings": n, "by_severity": count("severity"), "by_type": count("type")}}
-        writers.write_report(doc, out)
+        doc["findings"] = [r.asDict() for r in found.orderBy("file", "line", "type").collect()]
+    else:
+        doc["findings_directory"] = "findings"
+    doc["summary"] = {"total_findings": n, "by_severity": count("severity"), "by_type": count("type")}
+    writers.write_report(doc, out)
     return n
 
 

@@ -17,12 +17,16 @@ def report_name(at: datetime | None = None) -> str:
 
 
 def write_report(doc: dict, directory: str, name: str | None = None) -> str:
-    """One JSON document, written beside its place and moved there; text with U+FFFD is refused, missing findings become []."""
-    doc = doc | {"findings": doc.get("findings") or []}
+    """One JSON document, written beside its place and moved there; text with U+FFFD is refused, missing findings become [].
+
+    A document that names its ``findings_directory`` has its findings there instead of a list.
+    """
+    apart = "findings_directory" in doc
+    doc = doc if apart else doc | {"findings": doc.get("findings") or []}
     text = json.dumps(doc, ensure_ascii=False, indent=2)
     if "�" in text:
         raise ValueError("the report holds bytes that are no UTF-8")
-    if (doc.get("summary") or {}).get("total_findings", len(doc["findings"])) != len(doc["findings"]):
+    if not apart and (doc.get("summary") or {}).get("total_findings", len(doc["findings"])) != len(doc["findings"]):
         raise ValueError("the summary does not count the findings")
     os.makedirs(directory, exist_ok=True)
     path = os.path.join(directory, name or report_name())

@@ -20,6 +20,16 @@ def test_scan_of_a_tree(spark, tmp_path):
     assert doc["summary"]["by_type"] == {"sql_injection": 1, "buffer_overflow": 1, "xss": 1} and doc["scan_metadata"]["analysis"]["failed_calls"] == 0
 
 
+def test_large_scans_keep_metadata_and_summary(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("scanloom.cli.DOCUMENT_ROWS", 0)
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "run.js").write_text("function go(a) {\n  el.innerHTML = a\n}\n")
+    assert run_scan(spark, str(tmp_path / "t"), str(tmp_path / "out")) == 1
+    doc = json.loads(next((tmp_path / "out").glob("*.json")).read_text())
+    assert doc["summary"] == {"total_findings": 1, "by_severity": doc["summary"]["by_severity"], "by_type": {"xss": 1}} and sum(doc["summary"]["by_severity"].values()) == 1
+    assert doc["scan_metadata"]["analysis"]["failed_calls"] == 0 and "findings" not in doc and doc["findings_directory"] == "findings"
+
+
 def test_empty_tree(spark):
     files = spark.createDataFrame([], "path string, language string, content string")
     found, calls = plan.scan(files)
