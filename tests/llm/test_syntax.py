@@ -65,3 +65,11 @@ def test_deep_and_long_texts_end():
     assert check.parses("a" + "\n  .b(1)" * 3000 + "\n", "javascript")
     assert check.parses("class A { String s = " + ' + '.join(['"x"'] * 3000) + "; }", "java")
     assert not check.parses("int f() {" * 3000, "c")
+
+
+def test_python_that_only_the_compiler_refuses_and_ranks_of_whole_texts():
+    for text in ("return 1\n", "def f(a, a):\n    pass\n", "break\n"):
+        assert not check.parses(text, "python"), text
+    assert check.parses("def f(a):\n    for x in a:\n        break\n    return a\n", "python")
+    text = "const a = 1;\n" + "a = 1;\n" * 4000 + "interface A { b: string; c: number; d: boolean; readonly e: any; }\n" * 20
+    assert check.ranked(text)[0] == "typescript"
