@@ -343,59 +343,146 @@ def model_transitions(spark, d):
 
 
 def _sides(spark, d):
+    """Labels and all findings (severity says which count when nothing matches them) under base names."""
     base = lambda c: paths.base_name(paths.slashes(F.col(c)))
-    e = table(spark, d, "expected_findings").select(F.col("label_id").alias("id"), "repo", base("file").alias("file"), F.col("line").cast("long").alias("line"), "type")
-    f = findings(spark, d).where(F.lower("severity").isin("high", "critical"))
-    a = f.select(F.col("finding_key").alias("id"), "repo", base("file").alias("file"), F.col("line").cast("long").alias("line"), "type", "confidence")
+    e = table(spark, d, "expected_findings").select(F.col("label_id").alias("id"), "repo", base("file").alias("file"), F.col("line").cast("long").alias("line"), "type", "confidence_min")
+    a = findings(spark, d).select(F.col("finding_key").alias("id"), "repo", base("file").alias("file"), F.col("line").cast("long").alias("line"), "type", "confidence", "severity")
     return e, a
 
 
-@query()
+_SIDES = (
+    f"{_F}, a AS (SELECT finding_key AS id, repo, regexp_extract(replace(file, '\\', '/'), '[^/]*$') AS file, CAST(line AS BIGINT) AS line, type, confidence, coalesce(lower(severity) IN ('high', 'critical'), false) AS severe FROM f),"
+    " e AS (SELECT label_id AS id, repo, regexp_extract(replace(file, '\\', '/'), '[^/]*$') AS file, CAST(line AS BIGINT) AS line, type, confidence_min FROM expected_findings)"
+)
+# the greedy matching as a fold over the labels of a group, which remembers the findings it took
+_TAKE = (
+    "list_reduce(es, lambda acc, x: list_append(acc, {'e': x.id, 'a': list_extract(list_filter(fs, lambda y: abs(y.line - x.line) <= 20{more} AND NOT list_contains(list_transform(acc, lambda p: p.a), y.id)), 1).id}), CAST([] AS STRUCT(e BIGINT, a BIGINT)[]))"
+)
+
+
+def _pairs_sql(name: str = "p", more: str = "", where: str = "", left: str = "e", right: str = "a") -> str:
+    key = "repo IS NOT NULL AND file IS NOT NULL AND type IS NOT NULL AND line IS NOT NULL"
+    return (
+        f"{name}_e AS (SELECT repo, file, type, list({{'id': id, 'line': line}} ORDER BY id) AS es FROM {left} WHERE {key} GROUP BY ALL), {name}_a AS (SELECT repo, file, type, list({{'id': id, 'line': line}} ORDER BY id) AS fs FROM {right} WHERE {key}{where} GROUP BY ALL),"
+        f" {name}_t AS (SELECT unnest({_TAKE.replace('{more}', more)}) AS x FROM {name}_e JOIN {name}_a USING (repo, file, type)), {name} AS (SELECT x.e AS expected_id, x.a AS actual_id FROM {name}_t WHERE x.a IS NOT NULL)"
+    )
+
+
+_PAIRS = f"{_SIDES}, {_pairs_sql()}"
+_SCORES = "coalesce(round(tp / nullif(tp + fp, 0), 6), 0) AS precision, coalesce(round(tp / nullif(tp + fn, 0), 6), 0) AS recall, coalesce(round(2 * tp / nullif(2 * tp + fn + fp, 0), 6), 0) AS f1, coalesce(round(100 * 5 * tp / nullif(5 * tp + 4 * fn + fp, 0), 6), 0) AS f2"
+_COUNTS = (
+    "u AS (SELECT e.{by}, (p.actual_id IS NOT NULL)::INT AS tp, 0 AS fp, (p.actual_id IS NULL)::INT AS fn FROM e LEFT JOIN p ON p.expected_id = e.id"
+    " UNION ALL SELECT {by}, 0, 1, 0 FROM a WHERE severe AND id NOT IN (SELECT actual_id FROM p)), c AS (SELECT {by}, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM u GROUP BY {by})"
+)
+
+
+@query(f"WITH {_PAIRS} SELECT expected_id, actual_id FROM p")
 def label_matches(spark, d):
     e, a = _sides(spark, d)
     return matching.greedy_match(e, a, KEY, 20)
 
 
-@query()
+@query(f"WITH {_PAIRS}, {_COUNTS.replace('{by}', 'type')} SELECT type, tp, fp, fn, {_SCORES} FROM c")
 def match_scores(spark, d):
     e, a = _sides(spark, d)
     return matching.scores(matching.match_counts(e, a, matching.greedy_match(e, a, KEY, 20), ["type"]), ["type"])
 
 
-@query()
+_SWEEP = ", ".join(_pairs_sql(f"p{k}", where=f" AND confidence >= {t}") for k, t in enumerate(THRESHOLDS))
+_SWEPT = " UNION ALL ".join(
+    f"SELECT CAST({t} AS DOUBLE) AS threshold, (SELECT count(*) FROM p{k}) AS tp, (SELECT count(*) FROM a WHERE severe AND confidence >= {t} AND id NOT IN (SELECT actual_id FROM p{k})) AS fp, (SELECT count(*) FROM e) - (SELECT count(*) FROM p{k}) AS fn"
+    for k, t in enumerate(THRESHOLDS)
+)
+
+
+@query(f"WITH {_SIDES}, {_SWEEP}, c AS ({_SWEPT}) SELECT threshold, tp, fp, fn, {_SCORES} FROM c")
 def threshold_sweep(spark, d):
     e, a = _sides(spark, d)
     return matching.threshold_sweep(e, a, KEY, 20, THRESHOLDS)
 
 
-_SIDES = (
-    f"{_F}, a AS (SELECT finding_key AS id, repo, regexp_extract(replace(file, '\\', '/'), '[^/]*$') AS file, line, type FROM f WHERE lower(severity) IN ('high', 'critical')),"
-    " e AS (SELECT DISTINCT repo || '/' || regexp_extract(replace(file, '\\', '/'), '[^/]*$') AS file, line, type FROM expected_findings WHERE repo IS NOT NULL AND file IS NOT NULL AND line IS NOT NULL AND type IS NOT NULL)"
-)
+_WHOLE = "CASE WHEN repo IS NOT NULL AND file IS NOT NULL THEN repo || '/' || file END"
 
 
 @query(
-    f"WITH {_SIDES}, k AS (SELECT a.id, max((e.type = a.type AND abs(e.line - a.line) <= 10)::INT) AS dup, max((e.type <> a.type AND abs(e.line - a.line) <= 10)::INT) AS wrong, max((e.type = a.type AND abs(e.line - a.line) <= 30)::INT) AS off FROM a LEFT JOIN e ON e.file = a.repo || '/' || a.file GROUP BY a.id),"
-    " c AS (SELECT CASE WHEN dup = 1 THEN 'duplicate_site' WHEN wrong = 1 THEN 'wrong_type' WHEN off = 1 THEN 'line_off' ELSE 'no_nearby_truth' END AS category FROM k) SELECT category, count(*) AS findings, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM c GROUP BY category"
+    f"WITH {_PAIRS}, x AS (SELECT id, {_WHOLE} AS file, line, type FROM a WHERE id NOT IN (SELECT actual_id FROM p)), t AS (SELECT DISTINCT {_WHOLE} AS file, line, type FROM e WHERE {_WHOLE} IS NOT NULL AND line IS NOT NULL AND type IS NOT NULL),"
+    " k AS (SELECT x.id, bool_or(t.type <> x.type AND abs(t.line - x.line) <= 10) AS wrong, bool_or(t.type = x.type AND abs(t.line - x.line) BETWEEN 11 AND 30) AS off, bool_or(t.type = x.type) AS claimed FROM x LEFT JOIN t ON t.file = x.file GROUP BY x.id),"
+    f" n AS (SELECT {_WHOLE} AS file, line, count(*) AS n FROM a WHERE {_WHOLE} IS NOT NULL AND line IS NOT NULL GROUP BY ALL),"
+    " c AS (SELECT CASE WHEN wrong THEN 'wrong_type' WHEN off THEN 'line_off' WHEN n.n > 1 THEN 'duplicate_site' WHEN claimed THEN 'gt_claimed_or_far' ELSE 'no_nearby_gt' END AS category FROM k JOIN x USING (id) LEFT JOIN n ON n.file = x.file AND n.line = x.line)"
+    " SELECT category, count(*) AS findings, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM c GROUP BY category"
 )
 def false_positive_kinds(spark, d):
     e, a = _sides(spark, d)
-    whole = lambda df: df.withColumn("file", F.concat_ws("/", "repo", "file"))
-    kinds = matching.false_positive_kinds(whole(a), whole(e.dropna(subset=["repo", "file"]))).groupBy("category").agg(F.count("*").alias("findings"))
+    pairs = matching.greedy_match(e, a, KEY, 20)
+    whole = lambda df: df.withColumn("file", F.concat("repo", F.lit("/"), "file"))
+    kinds = matching.false_positive_kinds(whole(a), whole(e).withColumn("vulnerable", F.lit(True)), pairs).groupBy("category").agg(F.count("*").alias("findings"))
     total = kinds.agg(F.sum("findings").alias("all"))
     return kinds.crossJoin(F.broadcast(total)).select("category", "findings", F.round(F.col("findings") / F.col("all"), 6).alias("share"))
 
 
 @query(
-    f"WITH {_SIDES}, ef AS (SELECT DISTINCT file FROM e), af AS (SELECT DISTINCT repo || '/' || file AS file FROM a WHERE repo IS NOT NULL AND file IS NOT NULL)"
+    f"WITH {_SIDES}, ef AS (SELECT DISTINCT {_WHOLE} AS file FROM e WHERE {_WHOLE} IS NOT NULL), af AS (SELECT DISTINCT {_WHOLE} AS file FROM a WHERE {_WHOLE} IS NOT NULL)"
     " SELECT count(*) AS labelled_files, count(*) FILTER (file IN (SELECT file FROM af)) AS found_files, round(count(*) FILTER (file IN (SELECT file FROM af)) / count(*), 6) AS rate, (SELECT count(*) FROM af WHERE file NOT IN (SELECT file FROM ef)) AS other_files FROM ef"
 )
 def file_detection(spark, d):
     e, a = _sides(spark, d)
-    whole = lambda df: df.dropna(subset=["repo", "file"]).select(F.concat_ws("/", "repo", "file").alias("file")).distinct()
-    ef, af = whole(e.dropna(subset=["line", "type"])).withColumn("e", F.lit(1)), whole(a).withColumn("a", F.lit(1))
-    n, hit = F.count("e"), F.count_if(F.col("e").isNotNull() & F.col("a").isNotNull())
-    return ef.join(af, "file", "full_outer").agg(n.alias("labelled_files"), hit.alias("found_files"), F.round(stats.ratio(hit, n), 6).alias("rate"), F.count_if(F.col("e").isNull()).alias("other_files"))
+    whole = lambda df: df.withColumn("file", F.concat("repo", F.lit("/"), "file"))
+    return matching.file_detection(whole(e), whole(a))
+
+
+@query(
+    f"WITH {_PAIRS}, k AS (SELECT repo, count(*) AS expected, arg_min(type, id) AS kind, count(*) FILTER (id IN (SELECT expected_id FROM p)) AS matched FROM e WHERE repo IS NOT NULL GROUP BY repo),"
+    " w AS (SELECT e.repo, count(*) AS mismatches FROM p JOIN e ON e.id = p.expected_id JOIN a ON a.id = p.actual_id WHERE a.confidence < e.confidence_min GROUP BY e.repo),"
+    " s AS (SELECT a.repo, count(*) AS actual, count(*) FILTER (severe AND id NOT IN (SELECT actual_id FROM p)) AS extra, count(*) FILTER (severe AND id NOT IN (SELECT actual_id FROM p) AND coalesce(k.kind IS NULL OR a.type = k.kind, false)) AS extra_typed FROM a LEFT JOIN k USING (repo) WHERE a.repo IS NOT NULL GROUP BY a.repo),"
+    " j AS (SELECT repo, coalesce(expected, 0) AS expected, coalesce(actual, 0) AS actual, coalesce(matched, 0) AS matched, coalesce(extra, 0) AS extra, coalesce(extra_typed, 0) AS extra_typed, coalesce(mismatches, 0) AS mismatches, coalesce(expected, 0) - coalesce(matched, 0) AS missing FROM k FULL JOIN s USING (repo) LEFT JOIN w USING (repo)),"
+    " o AS (SELECT *, coalesce(round(matched / nullif(matched + extra, 0), 6), 0) AS precision, coalesce(round(2 * matched / nullif(2 * matched + extra + missing, 0), 6), 0) AS f1, coalesce(round(matched / nullif(matched + extra_typed, 0), 6), 0) AS precision_typed, coalesce(2 * matched / nullif(2 * matched + extra_typed + missing, 0), 0) AS ft, coalesce(round(matched / nullif(matched + missing, 0), 6), 0) AS recall FROM j)"
+    " SELECT * EXCLUDE (ft), round(ft, 6) AS f1_typed, ft >= 0.45 AND mismatches = 0 AS success FROM o"
+)
+def label_comparison(spark, d):
+    e, a = _sides(spark, d)
+    return matching.comparison(e, a, matching.greedy_match(e, a, KEY, 20), "repo")
+
+
+def _tail_sides(spark, d):
+    clean = lambda c: F.regexp_replace(paths.slashes(F.col(c)), r"^(\./)+", "")
+    cols = lambda df, i: df.select(F.col(i).alias("id"), "repo", clean("file").alias("file"), F.col("line").cast("long").alias("line"), "type")
+    return cols(table(spark, d, "expected_findings"), "label_id"), cols(findings(spark, d), "finding_key")
+
+
+_TAIL_CLEAN = "regexp_replace(replace(file, '\\', '/'), '^(\\./)+', '')"
+_TAIL_KEY = "repo IS NOT NULL AND file IS NOT NULL AND file <> '' AND type IS NOT NULL AND line IS NOT NULL"
+
+
+@query(
+    f"WITH {_F}, te AS (SELECT repo, type, list({{'id': label_id, 'line': line, 'file': file}} ORDER BY label_id) AS es FROM (SELECT * REPLACE ({_TAIL_CLEAN} AS file) FROM expected_findings) WHERE {_TAIL_KEY} GROUP BY ALL),"
+    f" ta AS (SELECT repo, type, list({{'id': finding_key, 'line': line, 'file': file}} ORDER BY finding_key) AS fs FROM (SELECT * REPLACE ({_TAIL_CLEAN} AS file) FROM f) WHERE {_TAIL_KEY} GROUP BY ALL),"
+    f" tp AS (SELECT unnest({_TAKE.replace('{more}', ' AND (ends_with(y.file, x.file) OR ends_with(x.file, y.file))')}) AS x FROM te JOIN ta USING (repo, type)) SELECT x.e AS expected_id, x.a AS actual_id FROM tp WHERE x.a IS NOT NULL"
+)
+def tail_matches(spark, d):
+    e, a = _tail_sides(spark, d)
+    return matching.greedy_match(e, a, ["repo", "type"], 20, tails=True)
+
+
+@query(
+    f"WITH {_F}, te AS (SELECT repo, file, list({{'id': label_id, 'line': line, 'type': type}} ORDER BY label_id) AS ts FROM (SELECT * REPLACE ({_TAIL_CLEAN} AS file) FROM expected_findings) WHERE {_TAIL_KEY} GROUP BY ALL),"
+    f" ta AS (SELECT repo, file, list({{'id': finding_key, 'line': line, 'type': type}} ORDER BY finding_key) AS es FROM (SELECT * REPLACE ({_TAIL_CLEAN} AS file) FROM f) WHERE {_TAIL_KEY} GROUP BY ALL),"
+    " c AS (SELECT unnest(list_reduce(es, lambda acc, x: list_append(acc, {'f': x.id, 't': list_extract(list_filter(ts, lambda y: abs(y.line - x.line) <= 10 AND y.type = x.type AND NOT list_contains(list_transform(acc, lambda p: p.t), y.id)), 1).id}), CAST([] AS STRUCT(f BIGINT, t BIGINT)[]))) AS x FROM te JOIN ta USING (repo, file))"
+    " SELECT x.f AS finding_id, x.t AS truth_id FROM c WHERE x.t IS NOT NULL"
+)
+def claimed_labels(spark, d):
+    e, a = _tail_sides(spark, d)
+    truth = e.where("file <> '' AND type IS NOT NULL").select("id", "repo", "file", F.col("line").alias("start_line"), F.lit(None).cast("long").alias("end_line"), F.array("type").alias("kinds"), F.lit(True).alias("vulnerable"))
+    return matching.claim_match(a.where("file <> '' AND type IS NOT NULL").withColumn("kinds", F.array("type")), truth, 10)
+
+
+@query(
+    f"WITH {_SIDES}, le AS (SELECT * FROM e WHERE repo IS NOT NULL AND file IS NOT NULL AND type IS NOT NULL AND line IS NOT NULL), n_e AS (SELECT repo, file, type, list({{'id': id, 'line': line}} ORDER BY id) AS es FROM le GROUP BY ALL), n_a AS (SELECT repo, file, type, list({{'id': id, 'line': line}} ORDER BY id) AS fs FROM a WHERE repo IS NOT NULL AND file IS NOT NULL AND type IS NOT NULL AND line IS NOT NULL GROUP BY ALL),"
+    " q AS (SELECT unnest(list_reduce(es, lambda acc, x: list_append(acc, {'e': x.id, 'a': list_min(list_transform(list_filter(fs, lambda y: abs(y.line - x.line) <= 20 AND NOT list_contains(list_transform(acc, lambda p: p.a), y.id)), lambda y: {'d': abs(y.line - x.line), 'i': y.id})).i}), CAST([] AS STRUCT(e BIGINT, a BIGINT)[]))) AS x FROM n_e JOIN n_a USING (repo, file, type))"
+    " SELECT x.e AS expected_id, x.a AS actual_id FROM q WHERE x.a IS NOT NULL"
+)
+def nearest_matches(spark, d):
+    e, a = _sides(spark, d)
+    return matching.greedy_match(e, a, KEY, 20, nearest=True)
 
 
 @query(
