@@ -68,9 +68,17 @@ def excerpt(text: Column, line: Column, around: int = 15) -> Column:
     return F.array_join(F.transform(part, lambda x, i: F.concat((lo + i).cast("string"), F.lit(": "), x)), "\n")
 
 
+def first_bytes(text: Column, n: Column) -> Column:
+    """The longest beginning of at most ``n`` bytes that ends between characters; '' for n below 1."""
+    raw = F.encode(text, "UTF-8")
+    inside = lambda k: F.hex(F.substring(raw, n + 1 - k, F.lit(1))).between("80", "BF")  # noqa: E731  (the byte behind n - k goes on with a character)
+    back = F.when(~inside(0), 0).when(~inside(1), 1).when(~inside(2), 2).otherwise(3)
+    return F.when(n < 1, F.when(text.isNotNull(), "")).when(F.octet_length(text) <= n, text).otherwise(F.decode(F.substring(raw, F.lit(1), n - back), "UTF-8"))
+
+
 def truncated(text: Column, limit: int) -> Column:
-    """At most ``limit`` characters, with ... where more than that many bytes were there."""
-    return F.when(F.octet_length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
+    """A text of more than ``limit`` bytes cut to that size, ... included, between characters."""
+    return F.when(F.octet_length(text) > limit, F.concat(first_bytes(text, F.lit(max(0, limit - 3))), F.lit("..."))).otherwise(text)
 
 
 def normalize_line(line: Column) -> Column:

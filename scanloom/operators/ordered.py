@@ -26,6 +26,23 @@ def running_total(df: DataFrame, order_by: list[str], values: dict[str, Column])
     return out.withColumns({k: F.col(f"__from_{k}") + F.sum(f"__{k}").over(w) for k in values}).drop("__part", *[f"__{k}" for k in values], *[f"__from_{k}" for k in values])
 
 
+def previous(df: DataFrame, group: list[str], order_by: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the ``value`` of the row before in its group, null for the first.
+
+    Rows are split by range of group and order, so a hot group lies in many parts; a part's first row takes its value
+    from the last row of the part before it (one row a part), if that is of its group.
+    """
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parted = settle(df.repartitionByRange(n, *group, *order_by).withColumn("__part", F.spark_partition_id()))
+    place = F.struct(*group, *order_by)
+    last = parted.groupBy("__part").agg(F.max_by(F.struct(F.struct(*group).alias("g"), F.col(value).alias("v")), place).alias("x"))
+    last = last.select("__part", F.lag("x").over(Window.orderBy("__part")).alias("__last"))  # one row a part
+    w = Window.partitionBy("__part", *group).orderBy(*order_by)
+    out = parted.join(F.broadcast(last), "__part").withColumn("__k", F.row_number().over(w)).withColumn(name, F.lag(value).over(w))
+    carried = F.when((F.col("__k") == 1) & F.col("__last.g").eqNullSafe(F.struct(*group)), F.col("__last.v"))
+    return out.withColumn(name, F.when(F.col("__k") == 1, carried).otherwise(F.col(name))).drop("__part", "__last", "__k")
+
+
 def failure_runs(df: DataFrame, order_by: list[str], failed: Column, at_least: int) -> DataFrame:
     """(run, first, length): runs of at least ``at_least`` failures in a row; ``first`` is the first row's last order key.
 

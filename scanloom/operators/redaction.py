@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,13 +31,13 @@ PATTERNS = (
     Pattern("aws_key", r"(?<![A-Za-z0-9_/+=])()([A-Za-z0-9/+=]{40})()(?![A-Za-z0-9_/+=])", "[REDACTED_AWS_SECRET_KEY]"),
     Pattern("api_key", r"((?i:api[_-]?key|apikey)['\"]?\s*[:=]\s*['\"])([a-zA-Z0-9_\-]{16,})(['\"])", "[REDACTED_API_KEY]"),
     Pattern("bearer_token", r"(?<![A-Za-z0-9_])()(Bearer\s+[a-zA-Z0-9\-._~+/]+=*)()", "[REDACTED_BEARER_TOKEN]"),
-    Pattern("jwt_token", r"(?<![A-Za-z0-9_])()(eyJ[a-zA-Z0-9_-]+\.eyJ[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+)()", "[REDACTED_JWT]"),
+    Pattern("jwt_token", r"(?<![A-Za-z0-9_])()(eyJ[a-zA-Z0-9_-]+\.eyJ[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+)()", "[REDACTED_JWT_TOKEN]"),
     Pattern("password", r"((?i:password|passwd|pwd|secret)['\"]?\s*[:=]\s*['\"])([^'\";\n]{3,})(['\"])", "[REDACTED_PASSWORD]"),
     Pattern("connection_string", r"(?<![A-Za-z0-9_])()([a-z]+://[^:\s]+:[^@\s]+@[^\s'\"]+)()", "[REDACTED_CONNECTION_STRING]"),
     Pattern("password", r"((?i:password|pwd)=)([^\s;'\"&]+)()", "[REDACTED_PASSWORD]"),
     Pattern("private_key", r"()(-----BEGIN\s+(?:RSA\s+)?PRIVATE\s+KEY-----[\s\S]*?-----END\s+(?:RSA\s+)?PRIVATE\s+KEY-----)()", "[REDACTED_PRIVATE_KEY]"),
     Pattern("generic_secret", r"((?i:secret[_-]?(?:key|token|code))['\"]?\s*[:=]\s*['\"])([a-zA-Z0-9_\-]{8,})(['\"])", "[REDACTED_SECRET]"),
-    Pattern("api_key", r"((?i:client_secret|oauth[_-]?token)['\"]?\s*[:=]\s*['\"])([a-zA-Z0-9_\-]{16,})(['\"])", "[REDACTED_TOKEN]"),
+    Pattern("api_key", r"((?i:client_secret|oauth[_-]?token)['\"]?\s*[:=]\s*['\"])([a-zA-Z0-9_\-]{16,})(['\"])", "[REDACTED_OAUTH_TOKEN]"),
     Pattern("api_key", r"(?<![A-Za-z0-9_])()(gh[pousr]_[a-zA-Z0-9]{20,})()", "[REDACTED_GITHUB_TOKEN]"),
     Pattern("api_key", r"(?<![A-Za-z0-9_])()(xox[baprs]-[a-zA-Z0-9-]+)()", "[REDACTED_SLACK_TOKEN]"),
 )
@@ -46,18 +46,11 @@ _COMPILED = tuple((p, re.compile(p.regex)) for p in PATTERNS)
 STAND_INS = ("your_api_key_here", "your-api-key", "xxx", "placeholder", "dummy", "test123", "password123", "changeme", "<api_key>", "${api_key}", "{{api_key}}", "$api_key", "process.env", "os.getenv")
 
 
-def stands_in(value: Column) -> Column:
-    """Whether a value is a placeholder: a known text, a template, a short constant name or one repeated character."""
-    known = F.lower(value).isin(*STAND_INS)
-    template = value.startswith("${") | value.startswith("{{") | value.startswith("<")
-    return known | template | (value.rlike("^[A-Z_]+$") & (F.octet_length(value) < 16)) | value.rlike(r"(?s)^(.)\1*$")
-
-
 _COMMENT = {True: re.compile(r"#[^\n]*"), False: re.compile(r"(?<!:)//[^\n]*|/\*[\s\S]*?\*/")}
 
 
 def is_stand_in(v: str) -> bool:
-    """``stands_in`` for one value."""
+    """Whether a value is a placeholder: a known text, a template, a short constant name or one repeated character."""
     return v.lower() in STAND_INS or v.startswith(("${", "{{", "<")) or bool(re.fullmatch("[A-Z_]+", v) and len(v) < 16) or len(set(v)) <= 1
 
 

@@ -62,13 +62,13 @@ def scaling(runs: DataFrame, group: list[str], size: str, seconds: str) -> DataF
     return out.withColumns({"size_ratio": F.round(F.col(size) / F.nullif(F.col("b.s"), F.lit(0)), 6), "time_ratio": F.round(F.col(seconds) / F.nullif(F.col("b.t"), F.lit(0)), 6)}).drop("b")
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, rounds: int = 1_000) -> DataFrame:
     """(node, component): connected components, named by their smallest node.
 
     Each round takes the smallest label around and that label's own label, until nothing changes; it combines before the shuffle and is
     settled, so neither nodes nor links reach the driver.  Nulls link nothing.
     """
-    from scanloom.session import settle
+    from scanloom.session import release, settle
 
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna()
     nodes = e.select("u").union(e.select("v")).distinct()
@@ -78,8 +78,15 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
         near = both.join(label, both["u"] == label["node"]).groupBy("v").agg(F.min("component").alias("m"))
         nxt = label.join(near, label["node"] == near["v"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("was"))
         jump = nxt.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        nxt = settle(nxt.join(jump, "component", "left").select("node", F.least("component", "further").alias("component"), "was"))
+        # a large component is one hot key, so its nodes meet its label in parts
+        parts = F.lit(32)
+        nxt = nxt.withColumn("part", F.pmod(F.xxhash64("node"), parts))
+        jump = jump.join(nxt.select("component").distinct(), "component", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
+        nxt = settle(nxt.join(jump, ["component", "part"], "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "was"))
+        release(label)
         if nxt.where("component <> was").limit(1).count() == 0:
+            release(both)
             return nxt.select("node", "component")
-        label = nxt.select("node", "component")
+        label = nxt.drop("was")
+        label._settled = nxt._settled
     raise RuntimeError("components did not settle")

@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanloom.functions.text import first_bytes
+from scanloom.session import fixed_side
+
 K1, B = 1.2, 0.75
 #: Tokens of context for a chunk, four bytes each; a description is not cut below this many bytes.
 BUDGET_TOKENS, FLOOR = 1500, 100
+DOTS = "..."
+#: Posting rows up to which the index is broadcast, and the parts of a term beyond it.
+SMALL_INDEX, TERM_PARTS = 500_000, 16
 
 
 def terms(text: Column) -> Column:
@@ -35,6 +41,7 @@ def top_k(queries: DataFrame, query_id: str, query: Column, index: DataFrame, k:
 
     Equal queries are scored once.  Scores are summed before the shuffle by query; a row is one matching term of one
     query and document, and a query's documents are reduced to k by a window that stops at rank k.
+    A small index, as counted, is broadcast; terms of a larger one, which can be in every query, meet their postings in parts.
     A null query or one without known words has no rows.
     """
     q = queries.select(F.col(query_id).alias("q"), terms(query).alias("ws")).withColumn("sig", F.xxhash64(F.array_join("ws", " ")))
@@ -42,43 +49,45 @@ def top_k(queries: DataFrame, query_id: str, query: Column, index: DataFrame, k:
     wanted = distinct.select("sig", F.explode(F.array_distinct("ws")).alias("term"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    scored = wanted.join(index, "term").groupBy("sig", "kb").agg(F.round(F.sum(part), 6).alias("score"))
+    side = fixed_side(index, SMALL_INDEX)
+    if side is index:
+        wanted = wanted.withColumn("part", F.pmod("sig", F.lit(TERM_PARTS)))
+        side = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TERM_PARTS - 1).cast("long"))))
+    scored = wanted.join(side, ["term", *(["part"] if "part" in side.columns else [])]).groupBy("sig", "kb").agg(F.round(F.sum(part), 6).alias("score"))
     w = Window.partitionBy("sig").orderBy(F.desc("score"), "kb")
     best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return q.select("q", "sig").join(best, "sig").select(F.col("q").alias(query_id), "kb", "score", "rank")
 
 
 def within_budget(entries: Column, budget: int = BUDGET_TOKENS * 4) -> Column:
-    """Entries (array of struct<description, patterns array<string>>) cut to ``budget`` bytes in all.
+    """Entries (array of struct<id, title, description, patterns array<string>>) cut to ``budget`` bytes in all.
 
-    Descriptions give way in proportion to their length, each rounded up, by no more than is still over, none below
-    FLOOR bytes, in order; the cut ones end in ... .  What is still over drops patterns from the end, one stays each.
-    Cuts fall between characters.  Null entries count as empty texts.
+    Ids and titles stay.  Descriptions give way in order, each by its share of what is over in proportion to its
+    length, rounded up and by no more than is still over, the ... of a cut one included; none is cut below FLOOR bytes.
+    Only where there are no descriptions at all, patterns are dropped from each entry's end, one stays each.
+    Cuts fall between characters.  Null texts and arrays count as empty.
     """
-    size = lambda e: F.coalesce(F.octet_length(e["description"]), F.lit(0)) + F.aggregate(F.coalesce(e["patterns"], F.array().cast("array<string>")), F.lit(0), lambda a, p: a + F.octet_length(p))
-    total = F.aggregate(entries, F.lit(0), lambda a, e: a + size(e))
-    described = F.aggregate(entries, F.lit(0), lambda a, e: a + F.coalesce(F.octet_length(e["description"]), F.lit(0)))
-    kind = "array<struct<description:string,patterns:array<string>>>"
-
-    def cut(acc: Column, e: Column) -> Column:
-        n = F.coalesce(F.octet_length(e["description"]), F.lit(0))
-        share = F.when(described > 0, F.ceil(F.greatest(total - budget, F.lit(0)) * n / described).cast("int")).otherwise(0)
-        take = F.least(share, acc["over"])
-        keep = F.greatest(n - take, F.lit(FLOOR))
-        shorter = (take > 0) & (n > FLOOR)
-        text = F.when(shorter, F.concat(F.substring(e["description"], F.lit(1), keep), F.lit("..."))).otherwise(e["description"])
-        gone = F.when(shorter, n - keep).otherwise(0)
-        return F.struct((acc["over"] - gone).alias("over"), F.concat(acc["out"], F.array(F.struct(text.alias("description"), e["patterns"].alias("patterns")))).alias("out"))
-
-    first = F.aggregate(entries, F.struct(F.greatest(total - budget, F.lit(0)).alias("over"), F.array().cast(kind).alias("out")), cut)
+    kind = "array<struct<id:string,title:string,description:string,patterns:array<string>>>"
+    none = F.array().cast("array<string>")
+    length = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
+    listed = lambda e: F.aggregate(F.coalesce(e["patterns"], none), F.lit(0), lambda a, p: a + length(p))
+    total = F.aggregate(entries, F.lit(0), lambda a, e: a + length(e["id"]) + length(e["title"]) + length(e["description"]) + listed(e))
+    described = F.aggregate(entries, F.lit(0), lambda a, e: a + length(e["description"]))
+    excess = F.greatest(total - budget, F.lit(0))
+    put = lambda acc, e, text, ps: F.concat(acc["out"], F.array(F.struct(e["id"].alias("id"), e["title"].alias("title"), text.alias("description"), ps.alias("patterns"))))
+    start = F.struct(excess.alias("over"), F.array().cast(kind).alias("out"))
+
+    def shorten(acc: Column, e: Column) -> Column:
+        n = length(e["description"])
+        share = F.least(F.ceil(excess * n / described).cast("int"), acc["over"])
+        raw = F.when(n - share - len(DOTS) < FLOOR, F.greatest(n - FLOOR, F.lit(0))).otherwise(share + len(DOTS))
+        cut = (acc["over"] > 0) & (n > 0) & (raw > 0)
+        text = F.when(cut, F.concat(first_bytes(e["description"], n - raw), F.lit(DOTS))).otherwise(e["description"])
+        return F.struct((acc["over"] - n + length(text)).alias("over"), put(acc, e, text, e["patterns"]).alias("out"))
 
     def drop(acc: Column, e: Column) -> Column:
-        # longest kept prefix of the patterns whose rest covers what is over, at least one
-        sizes = F.transform(F.coalesce(e["patterns"], F.array().cast("array<string>")), lambda p: F.octet_length(p))
-        rest = F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
+        sizes = F.transform(F.coalesce(e["patterns"], none), lambda p: length(p))
         fold = F.aggregate(F.reverse(sizes), F.struct(acc["over"].alias("over"), F.size(sizes).alias("keep")), lambda a, x: F.when((a["over"] > 0) & (a["keep"] > 1), F.struct((a["over"] - x).alias("over"), (a["keep"] - 1).alias("keep"))).otherwise(a))
-        kept = F.slice(e["patterns"], F.lit(1), F.greatest(fold["keep"], F.lit(0)))
-        return F.struct(F.when(rest > 0, fold["over"]).otherwise(acc["over"]).alias("over"), F.concat(F.array(F.struct(e["description"].alias("description"), kept.alias("patterns"))), acc["out"]).alias("out"))
+        return F.struct(fold["over"].alias("over"), put(acc, e, e["description"], F.slice(F.coalesce(e["patterns"], none), F.lit(1), fold["keep"])).alias("out"))
 
-    second = F.aggregate(F.reverse(first["out"]), F.struct(first["over"].alias("over"), F.array().cast(kind).alias("out")), drop)
-    return F.when(first["over"] > 0, second["out"]).otherwise(first["out"])
+    return F.when(excess == 0, entries).when(described > 0, F.aggregate(entries, start, shorten)["out"]).otherwise(F.aggregate(entries, start, drop)["out"])

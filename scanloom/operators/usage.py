@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.operators.ordered import running_total
+from scanloom.operators.ordered import previous, running_total
 
 
 def call_cost(usage: DataFrame, prices: DataFrame, default: tuple[float, float] = (0.0, 0.0), free_prefixes: tuple[str, ...] = ()) -> DataFrame:
@@ -45,11 +45,8 @@ def milestones(usage: DataFrame, order_by: list[str], cost: str, cap: float, sha
 
 
 def transitions(usage: DataFrame, group: list[str], order: list[str], model: str) -> DataFrame:
-    """(group, order, from_model, to_model): places where the model of a group changes."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*group).orderBy(*order)
-    out = usage.withColumn("from_model", F.lag(model).over(w))
+    """(group, order, from_model, to_model): places where the model of a group changes; the order is total in a group."""
+    out = previous(usage.select(*group, *order, model), group, order, model, "from_model")
     return out.where(F.col("from_model").isNotNull() & (F.col("from_model") != F.col(model))).select(*group, *order, "from_model", F.col(model).alias("to_model"))
 
 

@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 # views that several SQL texts share
+_TYPES = str(list(analysis.WEB_TYPES + analysis.NATIVE_TYPES))
 _F = "f AS (SELECT DISTINCT ON (finding_key) * REPLACE (CASE WHEN confidence > 1 THEN confidence / 100 ELSE confidence END AS confidence) FROM findings)"
 _FILES = "fl AS (SELECT DISTINCT ON (file_id) * FROM files)"
 _CHUNKS = "ch AS (SELECT DISTINCT ON (chunk_key) * FROM chunks)"
@@ -216,6 +217,18 @@ def suppression_directives(spark, d):
 _SUPP = f"{_F}, {_CHUNKS}, dr AS (SELECT DISTINCT repo, file_path, s.line AS dl, s.type AS dt FROM (SELECT repo, file_path, unnest(suppressed_lines) AS s FROM ch))"
 
 
+@query(
+    f"WITH {_DIRECTIVE}, dr AS (SELECT DISTINCT file_id, CASE WHEN nx THEN n + 1 ELSE n END AS line, CASE WHEN m.a = '' THEN 'all' ELSE m.a END AS type FROM k), p AS (SELECT DISTINCT file_id, line + s AS line FROM dr, (SELECT unnest([-1, 0, 1]) AS s)), c AS (SELECT *, unnest({_TYPES}) AS type FROM p)"
+    " SELECT c.file_id, c.line, c.type FROM c WHERE NOT EXISTS (SELECT 1 FROM dr WHERE dr.file_id = c.file_id AND dr.line = c.line AND dr.type IN ('all', c.type))"
+)
+def kinds_left_at_directives(spark, d):
+    """What suppression leaves of a finding of every kind on and beside each line that a directive speaks for."""
+    said = suppression_directives(spark, d)
+    places = said.select("file_id", F.explode(F.array(*[F.col("line") + k for k in (-1, 0, 1)])).alias("line")).distinct()
+    every = places.select("*", F.explode(F.array(*map(F.lit, analysis.WEB_TYPES + analysis.NATIVE_TYPES))).alias("type"))
+    return fd.drop_suppressed(every, said, ["file_id"], "line", "type")
+
+
 @query(f"WITH {_SUPP} SELECT f.finding_key FROM f WHERE NOT EXISTS (SELECT 1 FROM dr WHERE dr.repo = f.repo AND dr.file_path = f.file AND dr.dl = f.line AND (dr.dt = 'all' OR dr.dt = f.type))")
 def unsuppressed_findings(spark, d):
     s = chunks(spark, d).select("repo", F.col("file_path").alias("file"), F.explode("suppressed_lines").alias("s")).select("repo", "file", "s.line", "s.type")
@@ -277,19 +290,28 @@ def bm25_topk(spark, d):
     return retrieval.top_k(chunks(spark, d), "chunk_key", retrieval.query_text(F.col("function_name"), F.col("language"), F.col("source")), _kb(spark, d))
 
 
-@query()
+_BUDGET = (
+    f"{_BM}, r AS (SELECT *, row_number() OVER (PARTITION BY chunk_key ORDER BY score DESC, kb) AS rank FROM s),"
+    " g AS (SELECT chunk_key, list({'i': strlen(CAST(item_id AS VARCHAR)) + strlen(coalesce(expected_type, '')) + strlen(replace(text, chr(10), '')), 'd': strlen(text) * 6} ORDER BY rank) AS es FROM r JOIN eval_items ON item_id = kb WHERE rank <= 3 GROUP BY chunk_key),"
+    " o AS (SELECT *, greatest(list_sum(list_transform(es, lambda e: e.i + e.d)) - 6000, 0) AS excess, list_sum(list_transform(es, lambda e: e.d)) AS dd FROM g),"
+    " k AS (SELECT chunk_key, len(es) AS entries, list_reduce(es, lambda acc, e: CASE WHEN acc.over <= 0 OR e.d = 0 THEN {'over': acc.over, 'size': acc.size + e.i + e.d}"
+    " ELSE {'over': acc.over - (CASE WHEN e.d - least(CAST(ceil(excess * e.d / dd) AS BIGINT), acc.over) - 3 < 100 THEN greatest(e.d - 100, 0) - 3 ELSE least(CAST(ceil(excess * e.d / dd) AS BIGINT), acc.over) END),"
+    " 'size': acc.size + e.i + e.d - (CASE WHEN e.d - least(CAST(ceil(excess * e.d / dd) AS BIGINT), acc.over) - 3 < 100 THEN greatest(e.d - 100, 0) - 3 ELSE least(CAST(ceil(excess * e.d / dd) AS BIGINT), acc.over) END)} END,"
+    " {'over': CAST(excess AS BIGINT), 'size': CAST(0 AS BIGINT)}) AS x FROM o)"
+)
+
+
+@query(f"WITH {_BUDGET} SELECT chunk_key, CAST(x.size AS INT) AS bytes, CAST(entries AS INT) AS entries FROM k")
 def retrieval_budget(spark, d):
     top = retrieval.top_k(chunks(spark, d), "chunk_key", retrieval.query_text(F.col("function_name"), F.col("language"), F.col("source")), _kb(spark, d))
-    kb = table(spark, d, "eval_items").select(F.col("item_id").alias("kb"), F.repeat(F.col("text"), 6).alias("description"), F.split("text", "\n").alias("patterns"))
-    got = top.join(kb, "kb").groupBy("chunk_key").agg(F.array_sort(F.collect_list(F.struct("rank", "description", "patterns"))).alias("es"))  # at most 3 a chunk
-    cut = retrieval.within_budget(F.transform("es", lambda e: F.struct(e["description"].alias("description"), e["patterns"].alias("patterns"))))
-    size = F.aggregate("cut", F.lit(0), lambda a, e: a + F.octet_length(e["description"]) + F.aggregate(e["patterns"], F.lit(0), lambda x, p: x + F.octet_length(p)))
+    kb = table(spark, d, "eval_items").select(F.col("item_id").alias("kb"), F.col("item_id").cast("string").alias("id"), F.col("expected_type").alias("title"), F.repeat(F.col("text"), 6).alias("description"), F.split("text", "\n").alias("patterns"))
+    got = top.join(kb, "kb").groupBy("chunk_key").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "title", "description", "patterns"))).alias("es"))  # at most 3 a chunk
+    cut = retrieval.within_budget(F.transform("es", lambda e: F.struct(*[e[k].alias(k) for k in ("id", "title", "description", "patterns")])))
+    n = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
+    size = F.aggregate("cut", F.lit(0), lambda a, e: a + n(e["id"]) + n(e["title"]) + n(e["description"]) + F.aggregate(e["patterns"], F.lit(0), lambda x, p: x + n(p)))
     return got.select("chunk_key", cut.alias("cut")).select("chunk_key", size.alias("bytes"), F.size("cut").alias("entries"))
 
 
-_TYPES = "['sql_injection', 'xss', 'path_traversal', 'insecure_deserialization', 'auth_issue', 'crypto_issue', 'command_injection', 'ssrf', 'xxe_injection', 'buffer_overflow', 'format_string', 'use_after_free', 'integer_overflow']"
-
-
 @query(
     f"WITH {_CHUNKS}, k AS (SELECT list_concat(CASE WHEN max((NOT coalesce(language IN ('c', 'cpp'), false))::INT) = 1 THEN {_TYPES}[1:9] ELSE [] END, CASE WHEN max(coalesce(language IN ('c', 'cpp'), false)::INT) = 1 THEN {_TYPES}[10:13] ELSE [] END) AS ts FROM ch)"
     " SELECT chunk_key, unnest(ts) AS type FROM ch, k"
@@ -567,12 +589,17 @@ def scan_scaling(spark, d):
     return reporting.scaling(s, ["repo"], "size", "scan_duration_seconds").select("scan_id", "size_ratio", "time_ratio")
 
 
+_LINKED = (
+    f"RECURSIVE {_CHUNKS}, e AS (SELECT DISTINCT a.file_id AS x, b.file_id AS y FROM ch a JOIN (SELECT id, min(file_id) AS file_id FROM ch GROUP BY id) b USING (id)),"
+    " both_ AS (SELECT x, y FROM e UNION SELECT y, x FROM e), w AS (SELECT x AS node, x AS component FROM both_ UNION SELECT both_.y, w.component FROM w JOIN both_ ON both_.x = w.node), r AS (SELECT node, min(component) AS component FROM w GROUP BY node)"
+)
+
+
 @query(
-    f"WITH {_CHUNKS}, e AS (SELECT DISTINCT a.file_id AS x, b.file_id AS y FROM ch a JOIN (SELECT id, min(file_id) AS file_id FROM ch GROUP BY id) b USING (id)),"
-    " both_ AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r AS (SELECT x AS node, min(y) AS lo FROM both_ GROUP BY x) SELECT count(*) AS files FROM r"
+    f"WITH {_LINKED} SELECT count(DISTINCT node) AS files, count(DISTINCT component) AS components FROM r"
 )
 def linked_file_count(spark, d):
-    return _linked(spark, d).agg(F.count("*").alias("files"))
+    return _linked(spark, d).agg(F.count("*").alias("files"), F.countDistinct("component").alias("components"))
 
 
 def _linked(spark, d):
@@ -581,12 +608,16 @@ def _linked(spark, d):
     return reporting.components(c.join(first, "id"), "file_id", "other")
 
 
-@query()
+@query(f"WITH {_LINKED} SELECT node, component FROM r")
 def linked_files(spark, d):
     return _linked(spark, d)
 
 
-@query()
+@query(
+    "WITH r AS (SELECT doc_id, trim(CASE WHEN regexp_extract(text, '(?s)```json\\s*(.*?)```', 1) <> '' THEN regexp_extract(text, '(?s)```json\\s*(.*?)```', 1) WHEN regexp_extract(text, '(?s)```\\s*(.*?)```', 1) <> '' THEN regexp_extract(text, '(?s)```\\s*(.*?)```', 1) ELSE text END) AS t FROM documents WHERE source = 'model_response'),"
+    " o AS (SELECT doc_id, nullif(regexp_extract(t, '(?s)\\{.*\\}'), '') AS t FROM r), j AS (SELECT doc_id, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM o)"
+    " SELECT doc_id, coalesce(json_type(j, '$.findings') = 'ARRAY', false) AS parsed, CAST(CASE WHEN json_type(j, '$.findings') = 'ARRAY' THEN json_array_length(j, '$.findings') ELSE 0 END AS INT) AS findings, json_extract_string(j, '$.chunk') AS chunk FROM j"
+)
 def parsed_replies(spark, d):
     docs = table(spark, d, "documents").where("source = 'model_response'")
     ddl = "findings array<struct<type:string,severity:string,confidence:double,line:int,quote:string,message:string,recommendation:string>>, chunk string"

@@ -14,12 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors can read: spark.checkpoint.dir, which a cluster sets.
+    """Folder that all executors can read: spark.checkpoint.dir, which a cluster sets, or the context's checkpoint folder.
 
-    Only where it is unset (single-machine tests) a folder of this user is taken.
+    Only where neither is set and one machine runs everything a folder of this user is taken; a cluster without a
+    shared folder is refused, since each executor would write to its own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = given.get() if given.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + os.path.join(os.path.expanduser("~"), ".cache", "scanloom-checkpoints")
     return base.rstrip("/")
 
@@ -27,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages start from files that survive executors.
 
-    The files are removed when the application ends.
+    The files are removed by ``release``, at the latest when the application ends.
     """
     spark = spark or df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
@@ -35,14 +41,30 @@ def settle(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._settled = path
+    return back
+
+
+def release(df: DataFrame) -> None:
+    """Remove the files of a settled table that nothing reads any more; other frames are left alone."""
+    path = getattr(df, "_settled", None)
+    if path:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Bytes of a side that is broadcast, measured as JSON.
+BROADCAST_BYTES = 64 << 20
 
 
-def fixed_side(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` if a bounded count shows at most ``max_rows`` rows; otherwise leave the join to shuffle."""
+def fixed_side(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` if it is measured to have at most ``max_rows`` rows and ``max_bytes`` bytes; otherwise leave the join to shuffle."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if size["n"] <= max_rows and size["b"] <= max_bytes else df
 
 
 _SHIPPED = "scanloom.shipped"

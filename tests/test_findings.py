@@ -77,8 +77,6 @@ def greedy(e, a, tol, nearest):
 
 
 def test_greedy_matching_equals_loop(spark):
-    import random
-
     rng = random.Random(5)
     e = [(i, rng.choice("ab"), rng.randrange(80)) for i in range(25)]
     a = [(i, rng.choice("ab"), rng.randrange(80)) for i in range(60)] + [(100 + i, "a", 40) for i in range(20)]
@@ -87,8 +85,40 @@ def test_greedy_matching_equals_loop(spark):
     for nearest in (False, True):
         assert sorted(rows(matching.greedy_match(E, A, ["file"], 6, nearest))) == greedy(e, a, 6, nearest)
     pairs = matching.greedy_match(E, A, ["file"], 6)
-    s = matching.scores(matching.match_counts(E, A, pairs, ["file"])).first()
-    assert s["tp"] == pairs.count() and s["tp"] + s["fn"] == 26 and s["tp"] + s["fp"] == 81
+    bad = A.withColumn("severity", F.when(F.col("id") % 2 == 0, "High").otherwise("low"))
+    s = matching.scores(matching.match_counts(E, bad, pairs, ["file"])).first()
+    used = {j for _, j in rows(pairs)}
+    assert s["tp"] == len(used) and s["tp"] + s["fn"] == 26 and s["fp"] == len([1 for i, *_ in a if i % 2 == 0 and i not in used])
+
+
+def test_matching_by_path_ends_and_by_thresholds(spark):
+    rng = random.Random(8)
+    paths_ = ["a.py", "src/a.py", "x/src/a.py", "ba.py", "lib/b.py", "b.py", "c.py"]
+    e = [(i, rng.choice(paths_), rng.randrange(60), 0.0) for i in range(20)]
+    a = [(i, rng.choice(paths_), rng.randrange(60), rng.choice([0.2, 0.5, 0.8, None])) for i in range(60)]
+    schema = "id long, file string, line long, confidence double"
+    E, A = spark.createDataFrame(e, schema).withColumn("repo", F.lit("r")), spark.createDataFrame(a, schema).withColumn("repo", F.lit("r"))
+
+    def loop(found, tails):
+        used, out = set(), []
+        for i, f, n, _ in e:
+            for j, g, m, _ in found:
+                if j not in used and abs(m - n) <= 6 and (f == g or tails and (f.endswith(g) or g.endswith(f))):
+                    used.add(j)
+                    out.append((i, j))
+                    break
+        return out
+
+    assert sorted(rows(matching.greedy_match(E, A, ["repo"], 6, tails=True))) == loop(a, True)
+    got = rows(matching.greedy_match(E, A, ["repo", "file"], 6, thresholds=[0.5, 0.1]))
+    assert sorted(got) == sorted((t, *p) for t in (0.1, 0.5) for p in loop([x for x in a if x[3] and x[3] >= t], False))
+
+
+def test_kinds_of_false_positives(spark):
+    f = spark.createDataFrame([(1, "a", 5, "x"), (2, "a", 6, "y"), (3, "a", 30, "x"), (4, "a", 200, "z"), (5, "a", 200, "z"), (6, "a", 300, "x"), (7, "b", 1, "x"), (8, "a", 500, "t"), (9, None, 1, "x")], "id long, file string, line long, type string")
+    t = spark.createDataFrame([(10, "a", 5, "x", True), (11, "a", 500, "t", False)], "id long, file string, line long, type string, vulnerable boolean")
+    pairs = spark.createDataFrame([(10, 1), (11, 8)], "expected_id long, actual_id long")
+    assert rows(matching.false_positive_kinds(f, t, pairs)) == [(2, "wrong_type"), (3, "line_off"), (4, "duplicate_site"), (5, "duplicate_site"), (6, "gt_claimed_or_far"), (7, "no_nearby_gt"), (8, "fp_trap"), (9, "no_nearby_gt")]
 
 
 def test_claims_and_components(spark):
@@ -132,10 +162,13 @@ def test_retrieval(spark):
     q = spark.createDataFrame([(1, "SQL query"), (2, "SQL query"), (3, "none"), (4, None)], "id long, q string")
     got = rows(retrieval.top_k(q, "id", F.col("q"), idx, 2))
     assert [(r[0], r[1], r[3]) for r in got] == [(1, "a", 1), (1, "c", 2), (2, "a", 1), (2, "c", 2)]
-    es = spark.createDataFrame([([("d" * 300, ["p" * 50, "q" * 50]), ("e" * 120, ["r" * 80])],), ([(None, ["p" * 400, "q" * 300])],), ([],)], "es array<struct<description:string,patterns:array<string>>>")
-    cut = [r[0] for r in es.select(retrieval.within_budget(F.col("es"), 420)).collect()]
-    assert cut[0][0]["description"] == "d" * 171 + "..." and cut[0][1]["description"] == "e" * 100 + "..." and len(cut[0][0]["patterns"]) == 1
-    assert cut[1][0]["patterns"] == ["p" * 400] and cut[2] == []
+    kind = "es array<struct<id:string,title:string,description:string,patterns:array<string>>>"
+    es = spark.createDataFrame([([("i", "t", "d" * 300, ["p" * 50, "q" * 50]), (None, None, "e" * 150, ["r" * 80])],), ([("i", "t", None, ["p" * 400, "q" * 300])],), ([],), ([("", "", "é" * 3500, [])],)], kind)
+    cut = [r[0] for r in es.select(retrieval.within_budget(F.col("es"), 520)).collect()]
+    assert cut[0][0]["description"] == "d" * 222 + "..." and cut[0][1]["description"] == "e" * 110 + "..." and len(cut[0][0]["patterns"]) == 2
+    assert cut[1][0]["patterns"] == ["p" * 400] and cut[2] == [] and cut[3][0]["description"] == "é" * 258 + "..."
+    assert [r[0] for r in spark.createDataFrame([("é" * 150,), ("a" * 9,), (None,)], "t string").select(tx.truncated(F.col("t"), 200)).collect()] == ["é" * 98 + "...", "a" * 9, None]
+    assert spark.createDataFrame([("a€b",)], "t string").select(*[tx.first_bytes(F.col("t"), F.lit(k)) for k in range(6)]).first()[:] == ("", "a", "a", "a", "a€", "a€b")
 
 
 def test_redaction(spark):
