@@ -68,6 +68,12 @@ def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("most_words"))
 
 
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Where the passages stand, for removal."""
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text", spans=True)
+    return found.select("doc_id", "item_id", F.explode("spans").alias("s")).select("doc_id", "item_id", "s.begin", "s.end")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "documents"), "doc_id", "text")
 

@@ -1,3 +1,4 @@
+import base64
 import random
 from datetime import datetime
 
@@ -170,15 +171,26 @@ def test_leaks_table(spark):
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     items = spark.createDataFrame([(k, " ".join(item(k))) for k in range(1, 8)], "item_id long, text string")
     docs = spark.createDataFrame([(k, " ".join(item(k)[5:45])) for k in range(1, 12)], "doc_id long, text string")
-    monkeypatch.setattr(leakage, "ITEM_BLOCK", 2)
+    monkeypatch.setattr(leakage, "ITEM_BYTES", 500)
     assert rows(leakage.leaks(docs, items, "doc_id", "text", "item_id", "text").select("doc_id", "item_id")) == [(k, k) for k in range(1, 8)]
 
 
 def test_long_texts_go_through_several_shards(monkeypatch):
     monkeypatch.setattr(leakage, "SHARD_SYMBOLS", 900)
-    finder = leakage.LeakFinder([(1, " ".join(item(1))), (2, " ".join(item(2)))])
+    finder = leakage.LeakFinder([(1, " ".join(item(1)), frozenset()), (2, " ".join(item(2)), frozenset())])
     for at in (0, 500, 640, 700, 880, 3000):
         codes = finder.code("z " * at + " ".join(item(1)[5:50]) + " z" * (3200 - at))
-        found = {r[1] for part in finder.windows(codes) for r in finder.search([(0, part)])}
-        assert found == {1}, at
-        assert all(len(p) <= 900 for p in finder.windows(codes))
+        found = {r[1:] for part, base in finder.windows(codes) for r in finder.search([(0, part, base)])}
+        assert {(1, 45, at, at + 44)} <= found and {x[0] for x in found} == {1}, at
+        assert all(len(p) <= 900 for p, _ in finder.windows(codes))
+
+
+def test_shared_phrases_repeated_items_and_spans(spark):
+    shared = [f"s{k}" for k in range(30)]
+    variants = [(k, " ".join([f"x{k}", *shared, f"y{k}"])) for k in range(5)] + [(50 + k, " ".join(item(3))) for k in range(2)]
+    docs = [(1, "a b " + " ".join(shared) + " c"), (2, "see:\n> " + " ".join(item(3)[5:30]) + "\nend"), (3, "Y" * 9 + " " + base64.b64encode(" ".join(item(3)).encode()).decode()), (4, " ".join(item(3)[:25]) + " z" * 60 + " " + " ".join(item(3)[10:40]))]
+    items, df = spark.createDataFrame(variants, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = leakage.leaks(df, items, "doc_id", "text", "item_id", "text", spans=True).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, k) for k in range(5)} | {(d, i) for d in (2, 3, 4) for i in (50, 51)}
+    cut = {(r["doc_id"], r["item_id"]): [docs[r["doc_id"] - 1][1][s["begin"] : s["end"]] for s in r["spans"]] for r in got}
+    assert cut[1, 0] == [" ".join(shared)] and cut[2, 50] == [" ".join(item(3)[5:30])] and len(cut[3, 50][0]) > 100 and cut[4, 51] == [" ".join(item(3)[:25]), " ".join(item(3)[10:40])]
