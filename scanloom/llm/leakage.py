@@ -32,8 +32,8 @@ MIN_WORDS = 20
 PHRASE = 4
 #: A sentence shorter than the passages looked for is stock from this share of the different item texts on, and two of them.
 STOCK_SHARE = 0.01
-#: Unequal words between two runs of one span: in the item and in the document.
-ITEM_GAP, DOC_GAP = 5, 8
+#: Words between two runs of one span, in the item and in the document; among them only single words may differ.
+ITEM_GAP, DOC_GAP = 7, 10
 #: Symbols of a shard; a longer text goes through several, which overlap.
 SHARD_SYMBOLS = 400_000
 #: One suffix in so many text positions is kept.
@@ -200,6 +200,30 @@ class FMIndex:
         return out
 
 
+def single_edits(item: list[int], number: list[int], doc: list[int]) -> bool:
+    """Whether the words between two runs differ in single words only: between two edits stands an equal word.
+
+    An edit takes one white-space word of the item at most, and puts two words at most.
+    """
+    states = {(0, 0)}  # words read on both sides, the last of them equal
+    seen = set(states)
+    while states:
+        nxt = set()
+        for x, y in states:
+            one = x
+            while one < len(item) and number[one] == number[x]:
+                one += 1
+            for a in {x, one}:
+                for b in range(y, min(len(doc), y + 2) + 1):
+                    if a == len(item) and b == len(doc):
+                        return True
+                    if a < len(item) and b < len(doc) and item[a] == doc[b]:
+                        nxt.add((a + 1, b + 1))
+        states = nxt - seen
+        seen |= states
+    return False
+
+
 class LeakFinder:
     """Searches shards of documents for a fixed set of items (id, text, stock sentences)."""
 
@@ -276,13 +300,13 @@ class LeakFinder:
                 continue
             runs = list(zip(i[a:b].tolist(), j[a:b].tolist(), length[a:b].tolist()))
             name, base = docs[d][0], docs[d][2]
-            for n, first, last in self._spans(runs, number.tolist()):
+            for n, first, last in self._spans(runs, number.tolist(), self.coded[s].tolist(), docs[d][1].tolist()):
                 if n >= self.min_words:
                     out.append((name, self.segments[s][0], n, base + first, base + last))
         return out
 
     @staticmethod
-    def _spans(runs: list[tuple[int, int, int]], number: list[int]) -> list[tuple[int, int, int]]:
+    def _spans(runs: list[tuple[int, int, int]], number: list[int], item: list[int], doc: list[int]) -> list[tuple[int, int, int]]:
         """Longest chains of runs: (words of the item, first, last word of the document), one for each last run."""
         best: list[tuple[int, int, int]] = []
         out = []
@@ -295,7 +319,9 @@ class LeakFinder:
                 i2, j2, n2 = runs[y]
                 skip_doc, skip_item = i - (i2 + n2), j - (j2 + n2)
                 if -2 <= skip_doc <= DOC_GAP and -2 <= skip_item and number[j] - number[j2 + n2 - 1] - 1 <= ITEM_GAP and j > j2 and best[y][0] < start[0]:
-                    start = best[y]
+                    lap = max(0, -skip_doc, -skip_item)  # words that both runs claim
+                    if lap < n and single_edits(item[j2 + n2 : j + lap], number[j2 + n2 : j + lap], doc[i2 + n2 : i + lap]):
+                        start = best[y]
             best.append(start)
             reach.append(max(i + n, reach[-1] if reach else 0))
             out.append((number[j + n - 1] - start[0] + 1, start[1], i + n - 1))
