@@ -22,15 +22,21 @@ from scanloom.llm.bpe import TOKENIZER_DIR, automaton
 API, AWS, PASSWORD, JWT, CONNECTION, BEARER, PRIVATE, SECRET = TYPES = ("api_key", "aws_key", "password", "jwt_token", "connection_string", "bearer_token", "private_key", "generic_secret")
 #: Random strings have fewer characters per subword than this, words more.
 UNNATURAL = 2.6
-#: Measured characters of a value; the subwords of a random string are alike throughout.
-MEASURED = 200
+#: A string without a telling name or format is data rather than a credential from this length on.
+UNNAMED_CHARS = 512
+#: Characters before a value in which its name is looked for, as far as the literal before the last one.
+CONTEXT = 1000
 
 # literals and comments of the languages; a literal may follow another, with or without + between
 _STRING = r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|"(?:[^"\\\n]|\\[\s\S])*"|\'(?:[^\'\\\n]|\\[\s\S])*\'|`(?:[^`\\]|\\[\s\S])*`'
 _LEX = {
     "py": re.compile(rf"#[^\n]*|{_STRING}"),
     "": re.compile(rf"//[^\n]*|/\*[\s\S]*?\*/|{_STRING}"),
+    "settings": re.compile(rf"(?m)^[ \t]*[#;!][^\n]*|(?<=\s)#[^\n]*|{_STRING}"),
 }
+# Extensions of code; other files are read as settings, where values need no quotes.
+_CODE = frozenset("js jsx mjs cjs ts tsx java c h cpp cc cxx hpp hxx cs go rs kt scala swift php".split())
+_SETTING = re.compile(r"(?m)^[ \t]*(?:export[ \t]+|-[ \t]+|set[ \t]+)?(?P<name>[A-Za-z_][\w.-]*)[ \t]*[:=][ \t]*(?P<v>[^\s\"'`#][^\n#]*?)[ \t]*(?:[ \t]#[^\n]*)?\r?$")
 _JOIN = re.compile(r"[ \t]*(?:\r?\n[ \t]*)?(?:\+[ \t]*(?:\r?\n[ \t]*)?|\\\r?\n[ \t]*)?")
 
 # formats that tell by themselves
@@ -47,7 +53,7 @@ _FORMATS = (
     (PASSWORD, re.compile(r"\b[A-Z]*(?:PASSWORD|PASSWD|PWD)=(?P<v>[^\s\"'`;]{4,})(?=\s+\w)")),
     (PASSWORD, re.compile(r"\b(?:curl|wget|http)\b[^\n]*?\s(?:-u|--user)[ =]?[\w.-]+:(?P<v>[^\s\"'`]{4,})")),
 )
-_QUICK = re.compile(r"[0-9]|[A-Z][a-z]+[^A-Za-z]|://|-----|[a-z] [a-z]+ [a-z]+ [a-z]|[a-z]-[a-z]+-[a-z]+-[a-z]|[a-z]{16}|[=!%*#]")
+_QUICK = re.compile(r"[0-9]|[A-Z]{12}|[A-Z][a-z]+[^A-Za-z]|://|-----|[a-z] [a-z]+ [a-z]+ [a-z]|[a-z]-[a-z]+-[a-z]+-[a-z]|[a-z]{16}|[=!%*#]")
 
 # What stands in for a credential, and names that look like one.
 _PLACEHOLDER = re.compile(
@@ -67,18 +73,25 @@ _PASSWORD_NAME = re.compile(r"passw(?:or)?[dt]|passphrase|(?:^|[a-z])pass$|^pass
 _TOKEN_NAME = re.compile(r"token$|jwt$")
 
 _BEFORE = re.compile(
-    r"""(?:(?P<call>[A-Za-z_][\w.]*)\s*\(\s*(?:[A-Za-z_]\w*\s*,\s*)?(?:["'](?P<arg>[^"'\n]{1,60})["']\s*,\s*)?
-        |["'](?P<key>[\w .-]{1,60})["']\s*[:,]\s*|(?P<name>[A-Za-z_][\w-]*)\s*(?::\s*[\w<>\[\]|. ]{1,40})?\s*=\s*(?:[^;\n"'`]{0,60}?(?:\|\||\?\?|\bor\b)\s*)?
+    r"""(?:(?P<call>[A-Za-z_][\w.]*)\s*\(\s*(?:[A-Za-z_]\w*\s*,\s*)?(?:["'](?P<arg>[^"'\n]+)["']\s*,\s*)?
+        |["'](?P<key>[\w .-]+)["']\s*(?P<colon>[:,])\s*|(?P<name>[A-Za-z_][\w-]*)\s*(?::\s*[\w<>\[\]|. ]+?)?\s*=\s*(?:[^;\n"'`]*?(?:\|\||\?\?|\bor\b)\s*)?
         |(?P<prop>[A-Za-z_][\w-]*)\s*:\s*)(?:[A-Za-z_:]+\()?$""",
     re.X,
 )
-_IN_COMMENT = re.compile(r"(?<![\w/.-])([A-Za-z][\w.-]{2,40})[\"']?(?:\s*[:=]\s*|[ \t]+)[\"']?(?=([^\s\"'`,]{6,}))")
+_IN_COMMENT = re.compile(r"(?<![\w/.-])([A-Za-z][\w.-]{2,})[\"']?(?:\s*[:=]\s*|[ \t]+)[\"']?(?=([^\s\"'`,]{6,}))")
 _FOUR_WORDS = re.compile(r"^[a-z]{2,}(?:[ -][a-z]{2,}){3}$")
 _JOINED_WORDS = re.compile(r"^[a-z]{16,40}$")
 # Words of sentences, which passphrases do without.
 _SENTENCE = frozenset("a an and are as at be by can cannot do for from has have if in is it its must no not of on or please see the this to use was when with your you that these those into over after before only then than".split())
 _NAMED_PASSWORD = re.compile(r"^[A-Z][a-z]+[^A-Za-z0-9\s]?[A-Z][a-z]+\d{2,6}[^A-Za-z0-9\s]?$|^[a-z]{3,6}\d{2,4}[^A-Za-z0-9\s][A-Za-z0-9]{4,8}$")
 
+# Parts of every name that promises a credential, see the names above.
+_STEM = re.compile(r"pass|pwd|secret|token|key|jwt|salt|kennwort|clave|contrase|senha|parola|login|logon|signin|authenticate|connectas|aws|s3", re.I)
+_WEAK_NAME = re.compile(r"(?:password|passwd|pwd|passphrase|passwort|kennwort)$")
+_WEAK = re.compile(r"[A-Za-z]{6,}\d*[!?.]?")
+# Words that describe a password's field.
+_NO_WEAK = frozenset("string text required optional hidden visible invalid missing forgot forgotten current confirm confirmation repeat strong change reset hashed encrypted plaintext varchar unset undefined boolean number object".split())
+
 
 class Finder:
     """Finds credentials with one vocabulary."""
@@ -87,14 +100,13 @@ class Finder:
         self.model = automaton(vocabulary)
 
     def chars_per_subword(self, value: str) -> float:
-        """Characters per subword, over the first MEASURED characters."""
-        v = value[:MEASURED]
-        return len(v) / max(1, len(self.model.encode(v)))
+        """Characters per subword."""
+        return len(value) / max(1, len(self.model.encode(value)))
 
     # values
     def plausible(self, v: str) -> bool:
         """Whether a whole literal can be a credential of some type: four words, or one string that is no word."""
-        if len(v) < 6 or len(v) > 4096:
+        if len(v) < 6:
             return False
         if " " in v:
             return bool(_FOUR_WORDS.match(v))
@@ -110,7 +122,7 @@ class Finder:
         if kind == PASSWORD:
             if _FOUR_WORDS.match(v):
                 return not _SENTENCE & set(re.split("[ -]", v))
-            if " " in v or len(v) > 64:
+            if " " in v:
                 return False
             if _NAMED_PASSWORD.match(v):
                 return True
@@ -124,7 +136,7 @@ class Finder:
     def shape(self, v: str) -> str | None:
         """The type of a value without a telling name."""
         n = len(v)
-        if n < 8 or n > 120 or _PLACEHOLDER.search(v) or _FIELD_NAME.match(v) or _DIGEST.match(v):
+        if n < 8 or n > UNNAMED_CHARS or _PLACEHOLDER.search(v) or _FIELD_NAME.match(v) or _DIGEST.match(v):
             return None
         if _NAMED_PASSWORD.match(v):
             return PASSWORD
@@ -177,6 +189,12 @@ class Finder:
             return API
         return None
 
+    @staticmethod
+    def weak(v: str, name: str) -> bool:
+        """Whether a word is a password because it is assigned to a password's name: no label, no word for the field."""
+        flat = v.lower().rstrip("!?.0123456789")
+        return bool(_WEAK_NAME.search(re.sub(r"[^a-z]", "", name.lower())) and _WEAK.fullmatch(v)) and not (_PLACEHOLDER.search(v) or _FIELD_NAME.match(v) or _STEM.search(v) or flat in _NO_WEAK)
+
     # texts
     def formats(self, v: str) -> list[tuple[int, int, str]]:
         """(start, end, type) of values that tell by their format."""
@@ -204,12 +222,23 @@ class Finder:
                 out.append((a, b, kind))
         return out
 
-    def literal(self, v: str, before: str) -> list[tuple[int, int, str]]:
-        found = self.formats(v)
+    def settings(self, v: str) -> list[tuple[int, int, str]]:
+        """Values without quotes behind their names, a line each."""
+        out = []
+        for m in _SETTING.finditer(v):
+            kind, value = self.by_name(m["name"]), m["v"].rstrip(",;")
+            if kind and (self.holds(value, kind) or kind == PASSWORD and self.weak(value, m["name"])):
+                out.append((m.start("v"), m.start("v") + len(value), kind))
+        return out
+
+    def literal(self, v: str, before: str, quick: bool = True) -> list[tuple[int, int, str]]:
+        found = self.formats(v) if quick else []
+        if "\n" in v:
+            found += [x for x in self.settings(v) if not any(x[0] < y and z < x[1] for z, y, _ in found)]
         if found:
             return found
         t = v.strip()
-        if not self.plausible(t):
+        if len(t) < 6 or " " in t and not _FOUR_WORDS.match(t) or not (_STEM.search(before) or quick and self.plausible(t)):
             return []
         m = _BEFORE.search(before)
         a = v.index(t) if t else 0
@@ -220,8 +249,9 @@ class Finder:
             if kind == "":
                 return []
         if kind:
-            return [(a, a + len(t), kind)] if self.holds(t, kind) else []
-        kind = self.shape(t)
+            direct = m["name"] or m["prop"] or (m["colon"] == ":" and m["key"])
+            return [(a, a + len(t), kind)] if self.holds(t, kind) or kind == PASSWORD and direct and self.weak(t, direct) else []
+        kind = self.shape(t) if quick and self.plausible(t) else None
         return [(a, a + len(t), kind)] if kind else []
 
     def comment(self, v: str) -> list[tuple[int, int, str]]:
@@ -240,26 +270,32 @@ class Finder:
                 out.append((a, b, kind))
         return out
 
-    def find(self, source: str, python: bool) -> list[tuple[str, list[tuple[int, int]]]]:
-        """(type, spans of the value in the source) in order of their beginning; a value in several literals has several spans."""
+    def find(self, source: str, lexer: str = "") -> list[tuple[str, list[tuple[int, int]]]]:
+        """(type, spans of the value in the source) in order of their beginning; a value in several literals has several spans.
+
+        ``lexer``: py, settings, or '' for languages with // comments.
+        """
         out: list[tuple[str, list[tuple[int, int]]]] = []
         quick = _QUICK.search
         group: list[tuple[int, int]] = []
         last_end = -1
+        ends = [0, 0]  # of the two literals before
 
         def close() -> None:
             text = "".join(source[a:b] for a, b in group)
-            if len(text) < 6 or not quick(text):
+            if len(text) < 6:
+                return
+            first, hinted = group[0][0], bool(quick(text))
+            lead = source[max(0, first - 1 - CONTEXT, ends[-2]) : first].rstrip("\"'`")
+            if not hinted and (not _STEM.search(lead) or " " in text):
                 return
-            first = group[0][0]
-            lead = source[max(0, first - 1 - 120) : first].rstrip("\"'`")
             if lead[-1:] in "fFrRbBuUL" and (len(lead) < 2 or not (lead[-2].isalnum() or lead[-2] == "_")):
                 lead = lead[:-1]
             starts, at = [], 0
             for a, b in group:
                 starts.append(at)
                 at += b - a
-            for x, y, kind in self.literal(text, lead):
+            for x, y, kind in self.literal(text, lead, hinted):
                 spans = []
                 for k in range(max(0, bisect_right(starts, x) - 1), len(group)):
                     if starts[k] >= y:
@@ -270,26 +306,30 @@ class Finder:
                         spans.append((a + lo, a + hi))
                 out.append((kind, spans))
 
-        for m in _LEX["py" if python else ""].finditer(source):
+        for m in _LEX[lexer].finditer(source):
             a, b = m.span()
             c = source[a]
-            if c in "#/":
+            if c not in "\"'`":
                 text = source[a:b]
                 if quick(text):
                     out += [(kind, [(a + x, a + y)]) for x, y, kind in self.comment(text)]
                 continue
             triple = b - a >= 6 and source[a : a + 3] in ('"""', "'''")
-            if group and not triple and _JOIN.fullmatch(source, last_end, a) and b - a < 100_000:
+            if group and not triple and _JOIN.fullmatch(source, last_end, a):
                 group.append((a + 1, b - 1))
                 last_end = b
                 continue
             if group:
                 close()
+                ends[:] = ends[-1], last_end
             q = 3 if triple else 1
             group = [(a + q, b - q)]
             last_end = b
         if group:
             close()
+        if lexer == "settings":
+            taken = [s for _, spans in out for s in spans]
+            out += [(kind, [(a, b)]) for a, b, kind in self.settings(source) if not any(a < y and x < b for x, y in taken)]
         out.sort(key=lambda x: x[1][0])
         return out
 
@@ -318,11 +358,13 @@ def scan_sources(df: DataFrame, id_col: str, path_col: str, text_col: str, with_
     """(id, events ARRAY<STRUCT<line, type, original_length>>[, redacted_source]) of every row, without a shuffle.
 
     ``line`` counts from 1 in the text; a null text gives no events and a null source, an empty one an empty source;
-    without ``with_source`` only rows with events come out.  The path tells Python from the other languages, which
-    share their comment signs; a null path counts as one of those.  Repeated rows stay repeated.
+    without ``with_source`` only rows with events come out.  The path tells Python and settings files, whose values
+    need no quotes, from the languages with // comments; a null path counts as one of those.  Repeated rows stay repeated.
     """
     path = f"{directory}/{vocabulary}.json"
-    rows = df.select(F.col(id_col).alias("k"), F.coalesce(F.lower(F.col(path_col)).endswith(".py"), F.lit(False)).alias("py"), F.col(text_col).alias("t"))
+    ending = F.lower(F.regexp_extract(F.col(path_col), r"([^./\\]*)$", 1))
+    lexer = F.when(F.col(path_col).isNull() | ending.isin(*_CODE), "").when(ending.isin("py", "pyi", "pyw"), "py").otherwise("settings")
+    rows = df.select(F.col(id_col).alias("k"), lexer.alias("lexer"), F.col(text_col).alias("t"))
     if not with_source:
         rows = rows.where("length(t) > 6")
     event = pa.struct([("line", pa.int32()), ("type", pa.string()), ("original_length", pa.int32())])
@@ -331,8 +373,8 @@ def scan_sources(df: DataFrame, id_col: str, path_col: str, text_col: str, with_
         finder = Finder(path)
         for batch in batches:
             keep, events, sources = [], [], []
-            for i, (py, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                found = finder.find(text, py) if text else []
+            for i, (lexer, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                found = finder.find(text, lexer) if text else []
                 if not (found or with_source):
                     continue
                 keep.append(i)
