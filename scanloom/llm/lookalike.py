@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanloom.session import settle
+from scanloom.session import fixed_side, settle
+
+#: Parts of the rows of a spelling, where there are too many spellings to broadcast.
+SALTS = 32
 
 # Letters of other scripts that are drawn like a Latin letter, in alphabetic order of the letter.
 CYRILLIC = "АA ВB ЕE ҒF ԌG НH ІI ЈJ КK МM ОO РP ԚQ ЅS ТT УY ҮY ХX ԜW СC аa сc ԁd еe һh іi јj ӏl оo рp ԛq ѕs ѵv ԝw хx уy үy"
@@ -93,19 +96,57 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(_run(sql), schema)
 
 
+def mixed_spellings(marks: DataFrame) -> DataFrame:
+    """(look, exact, n, spellings): the spellings of each look that has two or more, with their rows; counted before the shuffle."""
+    spelled = marks.groupBy("look", "exact").agg(F.count("*").alias("n"))
+    mixed = spelled.groupBy("look").agg(F.count("*").alias("spellings")).where("spellings > 1")
+    return spelled.join(mixed, "look")
+
+
+def _members(marks: DataFrame, spelled: DataFrame) -> DataFrame:
+    """The rows of ``marks`` of given spellings, with their columns.
+
+    Few spellings are broadcast, as counted; more are repeated for parts of a spelling's rows, so that copies of one
+    text, which may be a third of all rows, never meet in one task.
+    """
+    spelled = spelled.drop("look")
+    side = fixed_side(spelled, 200_000)
+    if side is not spelled:
+        return marks.join(side, "exact")
+    some = F.lit(SALTS).cast("long")
+    marks = marks.withColumn("salt", F.pmod(F.xxhash64("k"), some))
+    return marks.join(spelled.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), some - 1))), ["exact", "salt"]).drop("salt")
+
+
 def lookalike_pairs(df: DataFrame, id_col: str, text_col: str, rows_per_part: int = 20_000) -> DataFrame:
     """(id_a, id_b), a < b: pairs of rows whose texts look the same but differ in their characters.
 
-    Only groups with at least two different spellings are joined, so plain copies of one text never meet.
-    A group larger than ``rows_per_part`` is cut into parts on one side and repeated on the other, so that
-    no task gets a whole hot group.  Null and blank texts pair with nothing; an id that comes twice with one
-    text counts once; ids are compared by their order.
+    Spellings of a look are paired first, so plain copies of one text never meet; then each pair of spellings gets its
+    rows, a spelling of more than ``rows_per_part`` in parts.  The work grows with the rows and the pairs that come out.  Null and
+    blank texts pair with nothing; an id that comes twice with one text counts once; ids are compared by their order.
     """
     marks = settle(fingerprints(df, id_col, text_col).distinct())
-    spelled = marks.groupBy("look", "exact").agg(F.count("*").alias("n"))
-    mixed = spelled.groupBy("look").agg(F.count("*").alias("spellings"), F.sum("n").alias("n")).where("spellings > 1")
-    parts = mixed.select("look", F.ceil(F.col("n") / rows_per_part).cast("int").alias("parts"))
-    rows = marks.join(parts, "look")
-    a = rows.select("look", F.col("k").alias("a"), F.col("exact").alias("xa"), F.pmod(F.hash("k"), F.col("parts")).alias("part"))
-    b = rows.select("look", F.col("k").alias("b"), F.col("exact").alias("xb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return a.join(b, ["look", "part"]).where("xa <> xb AND a < b").select(F.col("a").alias(f"{id_col}_a"), F.col("b").alias(f"{id_col}_b")).distinct()
+    spelled = settle(mixed_spellings(marks).withColumn("parts", F.ceil(F.col("n") / rows_per_part).cast("int")))
+    rows = _members(marks, spelled.select("look", "exact", "parts")).select("exact", "k", F.pmod(F.hash("k"), F.col("parts")).alias("part"))
+    some = F.ceil(F.col("spellings") / rows_per_part).cast("int")
+    side = lambda x: spelled.select("look", F.col("exact").alias(f"x{x}"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"p{x}"), "spellings")
+    left = side("a").withColumn("at", F.pmod(F.hash("xa"), some)).drop("spellings")
+    right = side("b").withColumn("at", F.explode(F.sequence(F.lit(0), some - 1))).drop("spellings")
+    pairs = left.join(right, ["look", "at"]).where("xa < xb").select("xa", "pa", "xb", "pb")
+    for x in "ab":
+        pairs = pairs.join(rows.select(F.col("exact").alias(f"x{x}"), F.col("part").alias(f"p{x}"), F.col("k").alias(x)), [f"x{x}", f"p{x}"])
+    out = pairs.where("a <> b").select(F.least("a", "b").alias(f"{id_col}_a"), F.greatest("a", "b").alias(f"{id_col}_b"))
+    return out.distinct()
+
+
+def lookalike_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, class, spellings, links): one row for each row that looks like another with other characters.
+
+    ``class`` is the digest of the one form, ``links`` counts the rows of the class with another spelling; copies are
+    not expanded into pairs.  The same cases as in ``lookalike_pairs`` are left out.
+    """
+    marks = settle(fingerprints(df, id_col, text_col).distinct())
+    spelled = mixed_spellings(marks)
+    size = spelled.groupBy("look").agg(F.sum("n").alias("all"))
+    spelled = settle(spelled.join(size, "look").select("look", "exact", "spellings", (F.col("all") - F.col("n")).alias("links")))
+    return _members(marks, spelled).select(F.col("k").alias(id_col), F.col("look").alias("class"), "spellings", "links")

@@ -78,6 +78,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.lookalike_classes(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p8_one_form(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.one_form(table(spark, d, "documents"), "doc_id", "text")
 
@@ -113,5 +117,6 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": "SELECT DISTINCT chunk_key FROM chunks WHERE strlen(source) // 4 > 600",
         "p5_found": _GROUPED + "SELECT a.finding_key, b.finding_key AS survivor_key FROM best a JOIN best b ON a.repo = b.repo AND a.file = b.file AND a.type = b.type AND a.g = b.g AND b.stays WHERE a.finding_key <> b.finding_key",
         "p8_found": f"WITH f AS (SELECT doc_id, text, {look} AS look FROM documents WHERE regexp_matches(text, '\\S')) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.look = b.look AND a.text <> b.text AND a.doc_id < b.doc_id",
+        "p8_classes": f"WITH f AS (SELECT DISTINCT doc_id, text, {look} AS look FROM documents WHERE regexp_matches(text, '\\S')), g AS (SELECT * FROM f WHERE trim(look, ' \t\r\n') <> ''), s AS (SELECT look, text, count(*) AS n FROM g GROUP BY ALL), c AS (SELECT look, count(*) AS spellings, CAST(sum(n) AS BIGINT) AS total FROM s GROUP BY look HAVING count(*) > 1) SELECT g.doc_id, sha256(g.look) AS class, c.spellings, c.total - s.n AS links FROM g JOIN c USING (look) JOIN s ON s.look = g.look AND s.text = g.text",
         "p8_one_form": f"SELECT doc_id, {look} AS text FROM documents",
     }

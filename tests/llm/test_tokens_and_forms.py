@@ -79,3 +79,17 @@ def test_lookalike_pairs(spark):
     for per_part in (20_000, 1):  # whole groups, and groups cut into parts
         assert rows(lookalike.lookalike_pairs(df, "doc_id", "text", per_part)) == expected
     assert lookalike.lookalike_pairs(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_copies_meet_only_other_spellings(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    n = 30_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n - 2, "plain copy").when(F.col("id") == n - 2, "plaｉn copy").otherwise("other").alias("text"))
+    for few in (True, False):
+        if not few:
+            monkeypatch.setattr(lookalike, "fixed_side", lambda side, most: side)
+        got = lookalike.lookalike_pairs(df, "doc_id", "text", 1000)
+        assert got.count() == n - 2 and got.where(f"doc_id_b <> {n - 2}").count() == 0
+        classes = lookalike.lookalike_classes(df, "doc_id", "text")
+        assert rows(classes.groupBy("spellings", "links").count()) == [(2, 1, n - 2), (2, n - 2, 1)]
