@@ -115,13 +115,33 @@ def test_quality_tells_good_sources_from_bad(spark):
             data.append(finding(1000 * g + s, scan=s, file=f"f{g}.py", fn=f"true{g}"))
         data.append(finding(1000 * g + 4, scan=4, file=f"f{g}.py", fn=f"false{rng.random()}"))
     scans = spark.createDataFrame([(k, T0, f"m{k}") for k in (1, 2, 3, 4)], "scan_id long, scanned_at timestamp, model_used string")
-    grouped, _, facts = survivor.judged_groups(spark.createDataFrame(data, FINDING), scans)
+    grouped, facts = survivor.judged_groups(spark.createDataFrame(data, FINDING), scans)
     quality = survivor.source_quality(survivor.fact_counts(survivor.stated(grouped)).where("field = 'function_name'"))
     assert quality["m1"][0] > quality["m4"][0] and quality["m1"][1] > quality["m4"][1]
     f = facts.where("field = 'function_name'")
     assert f.where("value LIKE 'true%' AND p < 0.5").count() == 0 and f.where("value LIKE 'false%' AND p > 0.5").count() == 0
 
 
+def test_the_model_decides_and_crowded_places_go_the_other_way(spark, monkeypatch):
+    """Records that exceed each other: the one whose values are judged true stays, though the other has more fields filled."""
+    rng, data = random.Random(3), []
+    for g in range(60):
+        for s in (1, 2, 3):
+            data.append(finding(1000 * g + s, scan=s, file=f"f{g}.py", fn=f"true{g}", rec="fix it", quote="n/a"))
+        data.append(finding(1000 * g + 4, scan=4, file=f"f{g}.py", fn=f"false{rng.random()}", rec=f"r{rng.random()}", quote=f"q{rng.random()}", conf=0.2))
+        data += [finding(1000 * g + 10 + k, scan=rng.randrange(1, 5), file=f"f{g}.py", line=rng.randrange(100, 200), fn=rng.choice(["a", "b", None]), quote=rng.choice(["n/a", "x", "y"]), conf=rng.choice([0.3, 0.6, 70.0])) for k in range(30)]
+    scans = spark.createDataFrame([(k, T0, f"m{k}") for k in (1, 2, 3, 4)], "scan_id long, scanned_at timestamp, model_used string")
+    df = spark.createDataFrame(data + data[::7], FINDING)
+    got = rows(survivor.survivors(df, scans))
+    for g in range(60):
+        assert {b for a, b in got if a // 1000 == g and a % 1000 <= 4} == {1000 * g + 1}
+    assert len({a for a, _ in got}) == len(got)
+    loose = rows(survivor.survivors(df, scans, check=False))
+    monkeypatch.setattr(survivor, "PLACE_ROWS", 20)
+    monkeypatch.setattr(survivor, "LOCAL_PATTERNS", 0)
+    assert rows(survivor.survivors(df, scans)) == got and rows(survivor.survivors(df, scans, check=False)) == loose
+
+
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=80), st.lists(st.integers(1, 4), min_size=1, max_size=4))
 @settings(max_examples=150, deadline=None)
 def test_index_finds_every_occurrence(seq, phrase):
