@@ -1,8 +1,8 @@
 """Which source files do not parse, and what they are instead.
 
-A file's own grammar comes first, since it alone decides whether the file is valid.  A file that fails it is
-ranked against all languages by its tokens and goes through their grammars in that order: one that reads it means
-a wrong extension, none means corruption.
+Every file is ranked against all languages by its tokens and goes through all their grammars in that order.  Its own
+grammar decides whether it is valid; where it fails, another that reads it means a wrong extension, and none means
+corruption.
 """
 
 from __future__ import annotations
@@ -71,11 +71,15 @@ def ranked(text: str) -> list[str]:
     return sorted(LANGUAGES, key=lambda k: -score[k])
 
 
-def verdict(text: str | None, language: str) -> tuple[bool, str | None]:
-    """(valid, the language that reads it): (True, own), (False, another) or (False, None)."""
-    if parses(text, language):
-        return True, language
-    return False, next((k for k in ranked(text) if k != language and parses(text, k)), None)
+def readers(text: str | None) -> list[str]:
+    """All languages whose grammars read a text, the likeliest by its tokens first."""
+    return [k for k in (ranked(text) if text else LANGUAGES) if parses(text, k)]
+
+
+def verdict(text: str | None, language: str) -> tuple[bool, str | None, list[str]]:
+    """(valid, the language it counts as, all that read it): its own if that reads it, else the likeliest other, else none."""
+    found = readers(text)
+    return language in found, language if language in found else next(iter(found), None), found
 
 
 def language_of(path: Column) -> Column:
@@ -85,10 +89,10 @@ def language_of(path: Column) -> Column:
 
 
 def check_syntax(df: DataFrame, id_col: str, path_col: str, text_col: str, invalid_only: bool = False) -> DataFrame:
-    """(id, language, valid, parses_as, verdict) of every row; a map without a shuffle.
+    """(id, language, valid, parses_as, read_by, verdict) of every row; a map without a shuffle.
 
-    ``verdict`` is valid, wrong extension or corrupt.  Rows whose path is null or has another extension get null in
-    all four columns, null and empty contents are valid, repeated rows stay repeated, other columns aren't read.
+    ``read_by`` lists every language whose grammar reads the text; ``verdict`` is valid, wrong extension or corrupt.
+    Rows whose path is null or has another extension get null in all these columns, null and empty contents are valid, repeated rows stay repeated, other columns aren't read.
     ``invalid_only`` keeps the failing rows.
     """
     rows = df.select(F.col(id_col).alias("k"), language_of(F.col(path_col)).alias("lang"), F.col(text_col).alias("t"))
@@ -97,22 +101,23 @@ def check_syntax(df: DataFrame, id_col: str, path_col: str, text_col: str, inval
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, langs, valid, reads, said = [], [], [], [], []
+            keep, langs, valid, reads, all_, said = [], [], [], [], [], []
             for i, (lang, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                ok, other = (None, None) if lang is None else verdict(text, lang)
+                ok, other, found = (None, None, None) if lang is None else verdict(text, lang)
                 if invalid_only and ok is not False:
                     continue
                 keep.append(i)
                 langs.append(lang)
                 valid.append(ok)
                 reads.append(other)
+                all_.append(found)
                 said.append(None if ok is None else "valid" if ok else "wrong extension" if other else "corrupt")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keep, pa.int64())), pa.array(langs, pa.string()), pa.array(valid, pa.bool_()), pa.array(reads, pa.string()), pa.array(said, pa.string())],
-                names=[id_col, "language", "valid", "parses_as", "verdict"],
+                [batch.column(0).take(pa.array(keep, pa.int64())), pa.array(langs, pa.string()), pa.array(valid, pa.bool_()), pa.array(reads, pa.string()), pa.array(all_, pa.list_(pa.string())), pa.array(said, pa.string())],
+                names=[id_col, "language", "valid", "parses_as", "read_by", "verdict"],
             )
 
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("language", T.StringType()), T.StructField("valid", T.BooleanType()), T.StructField("parses_as", T.StringType()), T.StructField("verdict", T.StringType())])
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("language", T.StringType()), T.StructField("valid", T.BooleanType()), T.StructField("parses_as", T.StringType()), T.StructField("read_by", T.ArrayType(T.StringType())), T.StructField("verdict", T.StringType())])
     return rows.mapInArrow(work, schema)
 
 

@@ -115,10 +115,43 @@ class Flat:
             return False
 
 
+class Tokens(dict):
+    """The character of each token text, filled as tokens are met; beyond FORMS entries it is emptied."""
+
+    def __init__(self, grammar: Grammar):
+        self.grammar = grammar
+
+    def __missing__(self, s: str) -> str:
+        got = self.grammar.token(s)
+        if len(s) <= LONGEST_FORM and self.grammar.keeps(s):
+            if len(self) >= FORMS:
+                self.clear()
+            self[s] = got
+        return got
+
+
+class Split:
+    """A text cut at the tokens of a lexical pattern.  Languages that share a pattern share the last text's cut."""
+
+    def __init__(self, lex: re.Pattern):
+        self.pattern = re.compile(f"({lex.pattern})", lex.flags)
+        self.step = self.pattern.groups + 1
+        self.text, self.parts = "", [""]
+
+    def __call__(self, text: str) -> tuple[list[str], list[str]]:
+        """What stands between the tokens, and the tokens."""
+        if text != self.text:
+            self.text, self.parts = text, self.pattern.split(text)
+        return self.parts[:: self.step], self.parts[1 :: self.step]
+
+
+_splits: dict[re.Pattern, Split] = {}
+
+
 class Grammar:
     """One language: its tokens, what bracket groups may be, and what a file is.
 
-    Subclasses give ``lex`` (pattern), ``keywords``, ``joins`` (replacements of longer operators), ``allowed``
+    Subclasses give ``lex`` (pattern of names, numbers, texts, comments, and of runs of all else, the frequent ones first), ``keywords``, ``joins`` (replacements of longer operators), ``allowed``
     (pattern of a character that no valid flat text has) and the rules ``classify`` and ``file``.
     """
 
@@ -127,24 +160,32 @@ class Grammar:
     number = re.compile(r"0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?n?")
     lines_matter = False
 
+    #: Tokens with which no statement ends, so that a line that does goes on.
+    hanging = ""
+
     def __init__(self) -> None:
         self.forms: dict[str, str] = {}
         self.known: dict[tuple, object] = {}
+        self.tokens = Tokens(self)
+        self.cut = _splits.setdefault(self.lex, Split(self.lex))
 
     # tokens
-    def token(self, m: re.Match) -> str:
-        s = m.group()
+    def token(self, s: str) -> str:
         k = self.keywords.get(s)
         if k is not None:
             return k
         c = s[0]
         if c.isalpha() or c in "_$":
             return self.named(s)
-        if c.isdigit() or c == "." and len(s) > 1:
+        if c.isdigit() or c == "." and s[1:2].isdigit():
             return "0" if self.number.fullmatch(s) else "\x01"
         if c == "/" and s[1:2] in ("/", "*"):
             return "\n" if self.lines_matter and "\n" in s else " "
-        return self.quoted(s)
+        return self.quoted(s) if c in "\"'`" else self.other(s)
+
+    def keeps(self, s: str) -> bool:
+        """Whether a token means the same wherever it stands."""
+        return True
 
     def named(self, s: str) -> str:
         return "a"
@@ -152,8 +193,20 @@ class Grammar:
     def quoted(self, s: str) -> str:
         return "s"
 
+    def other(self, s: str) -> str:
+        """Operators, brackets and layout between two tokens stand for themselves."""
+        return s
+
+    def coded(self, text: str) -> str:
+        """The text with a character for each token."""
+        between, tokens = self.cut(text)
+        out = [""] * (2 * len(between) - 1)
+        out[::2] = between
+        out[1::2] = map(self.tokens.__getitem__, tokens)
+        return "".join(out)
+
     def flat(self, text: str) -> str:
-        s = self.lex.sub(self.token, text.replace("\r\n", "\n"))
+        s = self.coded(text.replace("\r\n", "\n"))
         for a, b in self.joins:
             s = s.replace(a, b)
         if self.lines_matter:
@@ -256,7 +309,7 @@ class Grammar:
                     if nxt in more or not self.judged(name, s[i:j], judge):
                         j = k + 1
                         continue
-                if m and m.group() == "\n" and j < n and nxt and self.goes_on(nxt):
+                if m and m.group() == "\n" and j < n and nxt and (self.goes_on(nxt) or s[j - 2] in self.hanging):
                     continue
                 if m and m.group() == "\n":
                     cand = s[i : j - 1]

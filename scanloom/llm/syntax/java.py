@@ -559,8 +559,9 @@ class Java(Grammar):
     keywords = {k: W[k] for k in RESERVED + SOFT} | {k: "p" for k in PRIMITIVE} | {"super": "a"}
     number = re.compile(r"0[xX][\da-fA-F_]*\.?[\da-fA-F_]*(?:[pP][+-]?\d+)?[lLfFdD]?|0[bB][01_]+[lL]?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[lLfFdD]?")
     lex = re.compile(
-        r"//[^\n]*|/\*[\s\S]*?\*/|\"\"\"[ \t]*\r?\n(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\(?:u+[\da-fA-F]{4}|[0-7]{1,3}|.))'"
-        r"|[^\W\d][\w$]*|\$[\w$]*|\.?\d[\w.]*(?:(?<=[eEpP])[+-]\d\w*)?"
+        r"[^\W\d][\w$]*+|\$[\w$]*+|(?:[^\w\"'/$.]|\.(?!\d))++"
+        r"|//[^\n]*|/\*[\s\S]*?\*/|\"\"\"[ \t]*\r?\n(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\(?:u+[\da-fA-F]{4}|[0-7]{1,3}|.))'"
+        r"|\.?\d[\w.]*(?:(?<=[eEpP])[+-]\d\w*)?"
     )
     joins = (
         (">>>=", "æ"), ("...", "…"), ("<<=", "æ"), (">>=", "æ"), ("->", "⇒"), ("::", "∷"), ("==", "·"), ("!=", "·"), ("<=", "·"), ("&&", "·"), ("||", "·"), ("++", "±"), ("--", "±"),

@@ -725,6 +725,7 @@ class Native(Grammar):
     number = re.compile(r"(?:0[xX][\da-fA-F']*\.?[\da-fA-F]*(?:[pP][+-]?\d+)?|0[bB][01']+|(?:\d[\d']*\.?[\d']*|\.\d+)(?:[eE][+-]?\d+)?)(?:[uUlLfFzZ]{0,3}|_\w+|i|ms|us|ns|s|h|min)")
     lex = re.compile(
         r"^[ \t]*#(?:[^\n\\/]|\\[\s\S]|/(?!\*)|/\*[\s\S]*?\*/)*"
+        r"|[^\W\d][\w$]*+(?![\"'])|(?:[^\w\"'/.#\n]|\.(?!\d))++|\n++"
         r"|//[^\n]*|/\*[\s\S]*?\*/|\b(?:u8|[uUL])?R\"(?P<d>[^()\\\s]{0,16})\([\s\S]*?\)(?P=d)\"|(?:\b(?:u8|[uUL]))?\"(?:[^\"\\\n]|\\[\s\S])*\"|(?:\b(?:u8|[uUL]))?'(?:[^'\\\n]|\\.)[^'\n]{0,9}'"
         r"|[^\W\d][\w$]*|\.?\d(?:[\w.]|'(?=\w)|(?<=[eEpP])[+-])*",
         re.M,
@@ -748,10 +749,11 @@ class Native(Grammar):
         self.illegal = re.compile(r"[^a0spu()\[\]{}·æ…→⩓±!\-*<>=?:;,.&|" + "∷" * plus + "".join(self.keywords[k] for k in words) + (W["final"] + W["override"]) * plus + "]")
         self.empty_paren = chr(0xE000 + ARGS + PARAMS)
 
-    def quoted(self, s: str) -> str:
-        s = s.lstrip(" \t")
-        if s[0] != "#":
-            return "s"
+    def other(self, s: str) -> str:
+        directive = s.lstrip(" \t")
+        if directive[:1] != "#":
+            return s
+        s = directive
         m = re.match(r"#\s*(\w*)", s)
         if m[1] and m[1] not in self.directives and not m[1].isdigit():
             return "\x01"
@@ -772,11 +774,13 @@ class Native(Grammar):
             s = s.replace("ss", "s")
         return s
 
-    def token(self, m: re.Match) -> str:
-        s = m.group()
+    def keeps(self, s: str) -> bool:
+        return s.lstrip(" \t")[:1] != "#"  # directives count open conditions
+
+    def token(self, s: str) -> str:
         if s[-1] in "\"'" and s[0] in "\"'uULR":
             return "s"
-        return super().token(m)
+        return super().token(s)
 
     def classify(self, kind: int, s: str) -> int:
         whole = lambda rule, x: bool(self.judged(rule, x, lambda y: self.whole(Cursor, rule, y)))

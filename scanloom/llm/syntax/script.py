@@ -735,10 +735,12 @@ class Script(Grammar):
     lines_matter = True
     keywords = {k: W[k] for k in RESERVED} | {"as": W["as"], "from": "f", "get": "g", "set": "g"}
     lex = re.compile(
-        r"(?<=[=(,:\[!&|?{};])[ \t]*/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+        r"[^\W\d][\w$]*+|\$[\w$]*+"
+        r"|(?<=[=(,:\[!&|?{};])[ \t]*/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
         r"|(?<=\breturn)[ \t]*/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+        r"|(?:[^\w\"'`/$.=(,:\[!&|?{};]|\.(?!\d)|[=(,:\[!&|?{};](?![ \t]*/))++"
         r"|//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|`(?:[^`\\]|\\[\s\S])*`"
-        r"|[^\W\d][\w$]*|\$[\w$]*|\.?\d[\w.]*(?:(?<=[eE])[+-]\d\w*)?|\A#![^\n]*"
+        r"|\.?\d[\w.]*(?:(?<=[eE])[+-]\d\w*)?"
     )
     joins = (
         (">>>=", "æ"), ("...", "…"), ("===", "·"), ("!==", "·"), ("**=", "æ"), ("<<=", "æ"), (">>=", "æ"), ("&&=", "æ"), ("||=", "æ"), ("??=", "æ"),
@@ -749,18 +751,14 @@ class Script(Grammar):
     more = W["else"] + W["catch"] + W["finally"]
     loop = W["do"] + W["while"]
     ts = False
+    hanging = ",-·=&|.æ⇒"
 
     def __init__(self) -> None:
         super().__init__()
         self.illegal = re.compile(r"[^a0stfgr()\[\]{}·æ…⇒‽±!\-*<>=?:;,.&|@#\n" + KEYS + "]")
 
     def quoted(self, s: str) -> str:
-        c = s[0]
-        if c in " \t/":
-            return "r"
-        if c == "#":
-            return ""
-        if c != "`":
+        if s[0] != "`":
             return "s"
         if "${" not in s:
             return "t"
@@ -772,10 +770,16 @@ class Script(Grammar):
                 j += 1
             if depth:
                 return "\x01"
-            out.append(f"[{self.lex.sub(self.token, s[k + 2 : j - 1])}]")
+            out.append(f"[{self.lex.sub(lambda m: self.token(m.group()), s[k + 2 : j - 1])}]")
             i = j
         return "".join(out)
 
+    def other(self, s: str) -> str:
+        return "r" if "/" in s else s
+
+    def coded(self, text: str) -> str:
+        return super().coded(text[text.find("\n") :] if text.startswith("#!") and "\n" in text else "" if text.startswith("#!") else text)
+
     def parses(self, text: str) -> bool:
         return super().parses(text) or "${" in text and super().parses(self.untangled(text))
 
