@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import warnings
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,13 +34,14 @@ SIGNS = {
     "c": "# include define struct const char int void static size_t NULL -> * unsigned typedef",
     "cpp": "# include namespace std :: auto class template nullptr const -> using public virtual string",
 }
+_SIGNS = {k: v.split() for k, v in SIGNS.items()}
 _WORD = re.compile(r"[A-Za-z_]\w*|=>|===|::|->|[#@*:]")
 
 
 class Python:
     """Python 3, by the interpreter's own parser and compiler, which also refuses a return outside a function and the like."""
 
-    def parses(self, text: str) -> bool:
+    def parses(self, text: str, lender: object = None) -> bool:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             try:
@@ -55,25 +57,23 @@ def grammar(language: str):
     return {"python": Python, "javascript": Script, "typescript": Typed, "java": Java, "c": lambda: Native(False), "cpp": lambda: Native(True)}[language]()
 
 
-def parses(text: str | None, language: str) -> bool:
-    """Whether a text is valid in a language; nothing, blanks and comments are."""
+def parses(text: str | None, language: str, lender: object = None) -> bool:
+    """Whether a text is valid in a language; nothing, blanks and comments are.  ``lender``: see Grammar.parses."""
     if not text or text.isspace():
         return True
-    return grammar(language).parses(text[1:] if text[0] == "﻿" else text)
+    return grammar(language).parses(text[1:] if text[0] == "﻿" else text, lender)
 
 
 def ranked(text: str) -> list[str]:
     """All languages, the likeliest by tokens first; ties in the order of LANGUAGES."""
-    count: dict[str, int] = {}
-    for w in _WORD.findall(text):
-        count[w] = count.get(w, 0) + 1
-    score = {k: sum(min(count.get(w, 0), 20) for w in signs.split()) / len(signs.split()) for k, signs in SIGNS.items()}
+    count = Counter(_WORD.findall(text))
+    score = {k: sum(min(count[w], 20) for w in signs) / len(signs) for k, signs in _SIGNS.items()}
     return sorted(LANGUAGES, key=lambda k: -score[k])
 
 
 def readers(text: str | None) -> list[str]:
     """All languages whose grammars read a text, the likeliest by its tokens first."""
-    return [k for k in (ranked(text) if text else LANGUAGES) if parses(text, k)]
+    return [k for k in (ranked(text) if text else LANGUAGES) if parses(text, k, grammar("javascript"))]
 
 
 def verdict(text: str | None, language: str) -> tuple[bool, str | None, list[str]]:

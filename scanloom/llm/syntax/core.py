@@ -24,6 +24,7 @@ DEEPEST = 1000
 #: Longer groups aren't kept, for they hardly come again.
 LONGEST_FORM = 400
 
+_LINES = re.compile("\n+")
 _names: dict[str, str] = {}
 
 
@@ -136,13 +137,18 @@ class Split:
     def __init__(self, lex: re.Pattern):
         self.pattern = re.compile(f"({lex.pattern})", lex.flags)
         self.step = self.pattern.groups + 1
-        self.text, self.parts = "", [""]
+        self.text: str | None = None
 
-    def __call__(self, text: str) -> tuple[list[str], list[str]]:
-        """What stands between the tokens, and the tokens."""
+    def __call__(self, text: str) -> Split:
+        """Itself with the text's ``tokens``, what stands ``between`` them, the ``distinct`` ones, and those of them that can be refused."""
         if text != self.text:
-            self.text, self.parts = text, self.pattern.split(text)
-        return self.parts[:: self.step], self.parts[1 :: self.step]
+            parts = self.pattern.split(text)
+            self.text, self.between, self.tokens = text, parts[:: self.step], parts[1 :: self.step]
+            self.distinct = set(self.tokens)
+            self.loose = "".join(self.between)
+            # names and texts are never refused, only numbers and what stands between
+            self.telling = {t for t in self.distinct if not (t[0].isalpha() or t[0] in "_$\"'/")}
+        return self
 
 
 _splits: dict[re.Pattern, Split] = {}
@@ -168,6 +174,8 @@ class Grammar:
         self.known: dict[tuple, object] = {}
         self.tokens = Tokens(self)
         self.cut = _splits.setdefault(self.lex, Split(self.lex))
+        self.legal: set[str] = set()
+        self.refused: set[str] = set()
 
     # tokens
     def token(self, s: str) -> str:
@@ -194,25 +202,69 @@ class Grammar:
         return "s"
 
     def other(self, s: str) -> str:
-        """Operators, brackets and layout between two tokens stand for themselves."""
-        return s
-
-    def coded(self, text: str) -> str:
-        """The text with a character for each token."""
-        between, tokens = self.cut(text)
-        out = [""] * (2 * len(between) - 1)
-        out[::2] = between
-        out[1::2] = map(self.tokens.__getitem__, tokens)
-        return "".join(out)
-
-    def flat(self, text: str) -> str:
-        s = self.coded(text.replace("\r\n", "\n"))
+        """Operators, brackets and layout between two tokens, joined and without blanks."""
         for a, b in self.joins:
             s = s.replace(a, b)
-        if self.lines_matter:
-            s = "\n".join("".join(x.split()) for x in s.splitlines() if x and not x.isspace())
+        if not self.lines_matter:
+            return "".join(s.split())
+        lines = ["".join(x.split()) for x in f"{s}.".splitlines()]
+        lines[-1] = lines[-1][:-1]
+        return _LINES.sub("\n", "\n".join(lines))
+
+    def lent(self, cut: Split, text: str) -> bool | None:
+        """Whether another language's cut of the text is this one's too; None where this language refuses the text anyway."""
+        return False
+
+    def refuses(self, telling: set[str]) -> bool:
+        """Whether one of these tokens stands in no valid text."""
+        new = telling - self.legal
+        if not new:
+            return False
+        if not new.isdisjoint(self.refused):
+            return True
+        for t in new:
+            if self.keeps(t):
+                bad = self.illegal.search("".join(self.tokens[t].split()))
+                table = self.refused if bad else self.legal
+                if len(table) >= FORMS:
+                    table.clear()
+                table.add(t)
+                if bad:
+                    return True
+        return False
+
+    def coded(self, text: str, cut: Split | None = None) -> tuple[str, bool]:
+        """The text with a character for each token, and whether all its operators stand in tokens."""
+        cut = cut or self.cut(text)
+        if self.refuses(cut.telling):
+            raise Bad
+        codes = map(self.tokens.__getitem__, cut.tokens)
+        if not cut.loose:
+            return "".join(codes), True
+        out = [""] * (2 * len(cut.between) - 1)
+        out[::2] = cut.between
+        out[1::2] = codes
+        return "".join(out), False
+
+    def flat(self, text: str, lender: Grammar | None = None) -> str:
+        text = text.replace("\r\n", "\n")
+        cut = None
+        if lender is not None and lender is not self and not text.startswith("#!"):
+            cut = lender.cut(text)
+            fits = self.lent(cut, text)
+            if fits is None:
+                raise Bad
+            cut = cut if fits else None
+        s, joined = self.coded(text, cut)
+        if not joined:
+            for a, b in self.joins:
+                s = s.replace(a, b)
+        if not self.lines_matter:
+            s = "".join(s.split()) if not joined else s.replace(" ", "")
+        elif joined:
+            s = _LINES.sub("\n", s.replace(" ", "")).strip("\n")
         else:
-            s = "".join(s.split())
+            s = "\n".join("".join(x.split()) for x in s.splitlines() if x and not x.isspace())
         if self.illegal.search(s):
             raise Bad
         return s
@@ -235,10 +287,13 @@ class Grammar:
                 self.forms[s] = got
         return got
 
-    def parses(self, text: str) -> bool:
-        """Whether the text is a file of this language; comments alone and the empty text are."""
+    def parses(self, text: str, lender: Grammar | None = None) -> bool:
+        """Whether the text is a file of this language; comments alone and the empty text are.
+
+        ``lender``: a grammar that has cut the text, for those that cut most texts alike.
+        """
         try:
-            s = self.flat(text)
+            s = self.flat(text, lender)
             for _ in range(DEEPEST):
                 s, n = GROUP.subn(self._reduce, s)
                 if not n:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from scanloom.llm.syntax.core import Bad, Flat, Grammar, kind_of, word
+from scanloom.llm.syntax.core import Bad, Flat, Grammar, Split, kind_of, word
 
 P, B, C = 0, 1, 2
 # roles of ( ), [ ] and { }
@@ -574,6 +574,19 @@ class Java(Grammar):
         super().__init__()
         self.illegal = re.compile(r"[^a0sp()\[\]{}·æ…⇒∷±!\-*<>=?:;,.&|@" + "".join(W.values()) + "]")
 
+    _char = re.compile(r"'(?:[^'\\\n]|\\(?:u+[\da-fA-F]{4}|[0-7]{1,3}|.))'")
+
+    def lent(self, cut: Split, text: str) -> bool | None:
+        if '"""' in text:
+            return False
+        for t in cut.distinct:
+            c = t[0]
+            if c == "`" or c == "'" and not self._char.fullmatch(t) or c == '"' and "\n" in t:
+                return None
+            if c in " \t/" and "/" in t and t[:2] not in ("//", "/*") or c == "0" and t[-1] in "pP":
+                return False
+        return None if "`" in cut.loose or "'" in cut.loose or '"' in cut.loose else True
+
     def classify(self, kind: int, s: str) -> int:
         whole = lambda rule, x: bool(self.judged(rule, x, lambda y: self.whole(Cursor, rule, y)))
         if kind == P:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from scanloom.llm.syntax.core import Bad, Flat, Grammar, kind_of, word
+from scanloom.llm.syntax.core import Bad, Flat, Grammar, Split, kind_of, word
 
 P, B, C = 0, 1, 2
 # roles of ( ), [ ] and { }
@@ -749,10 +749,33 @@ class Native(Grammar):
         self.illegal = re.compile(r"[^a0spu()\[\]{}·æ…→⩓±!\-*<>=?:;,.&|" + "∷" * plus + "".join(self.keywords[k] for k in words) + (W["final"] + W["override"]) * plus + "]")
         self.empty_paren = chr(0xE000 + ARGS + PARAMS)
 
+    _char = re.compile(r"'(?:[^'\\\n]|\\.)[^'\n]{0,9}'")
+    _apart = re.compile(r"\b(?:u8|[uULR])[\"']|\d'\w")
+
+    def lent(self, cut: Split, text: str) -> bool | None:
+        if self._apart.search(text):
+            return False
+        fits: bool | None = True
+        for t in cut.distinct:
+            c = t[0]
+            if c in "`$" or c == "'" and not self._char.fullmatch(t):
+                return None
+            if c in " \t/" and "/" in t and t[:2] not in ("//", "/*") or c == "0" and t[-1] in "pP":
+                return False
+            if c not in "\"'/" and "#" in t:
+                fits = False
+        if fits is False:  # a directive needs this language's cut, unless none of C begins so
+            for k, t in enumerate(cut.tokens):
+                if "#" in t and t[0] not in "\"'/":
+                    tail, nxt = t[t.rindex("#") + 1 :], cut.tokens[k + 1] if k + 1 < len(cut.tokens) else ""
+                    if "\n" not in tail and nxt and not cut.between[k + 1] and (tail.strip(" \t") or nxt not in self.directives and not nxt[0].isdigit()):
+                        return None
+        return fits
+
     def other(self, s: str) -> str:
         directive = s.lstrip(" \t")
         if directive[:1] != "#":
-            return s
+            return super().other(s)
         s = directive
         m = re.match(r"#\s*(\w*)", s)
         if m[1] and m[1] not in self.directives and not m[1].isdigit():
@@ -765,9 +788,9 @@ class Native(Grammar):
                 return "\x01"
         return " "
 
-    def flat(self, text: str) -> str:
+    def flat(self, text: str, lender: Grammar | None = None) -> str:
         self.depth = 0
-        s = super().flat(text)
+        s = super().flat(text, lender)
         if self.depth:
             raise Bad
         while "ss" in s:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from scanloom.llm.syntax.core import ENDS_NL, Bad, Flat, Grammar, kind_of, word
+from scanloom.llm.syntax.core import ENDS_NL, Bad, Flat, Grammar, Split, kind_of, word
 
 P, B, C = 0, 1, 2
 # roles of ( ), [ ] and { }
@@ -770,17 +770,17 @@ class Script(Grammar):
                 j += 1
             if depth:
                 return "\x01"
-            out.append(f"[{self.lex.sub(lambda m: self.token(m.group()), s[k + 2 : j - 1])}]")
+            out.append(f"[{super().other(self.lex.sub(lambda m: self.token(m.group()), s[k + 2 : j - 1]))}]")
             i = j
         return "".join(out)
 
     def other(self, s: str) -> str:
-        return "r" if "/" in s else s
+        return "r" if "/" in s else super().other(s)
 
-    def coded(self, text: str) -> str:
+    def coded(self, text: str, cut: Split | None = None) -> tuple[str, bool]:
         return super().coded(text[text.find("\n") :] if text.startswith("#!") and "\n" in text else "" if text.startswith("#!") else text)
 
-    def parses(self, text: str) -> bool:
+    def parses(self, text: str, lender: Grammar | None = None) -> bool:
         return super().parses(text) or "${" in text and super().parses(self.untangled(text))
 
     _step = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|[`{}]")
