@@ -1,9 +1,10 @@
 """Who wrote a source file: by hand, a generator, a minifier, a third party, or is it data?
 
-Each file gives evidence (its head, lines, data, copies of marked third-party files).  Files hang in their
-directories and these in theirs; a directory has a hidden label of its own, and labels of parent and child and of
-siblings go together.  Belief propagation over these trees, upward and downward, is exact; a level of directories is
-one aggregation or join, so no tree is ever gathered in one place.
+Each file gives evidence (its head, the period of its lines, data, copies of marked third-party files).  Siblings, the
+files of one kind in a directory, hang in a group; groups hang in their directories and these in theirs.  A group and a
+directory have a hidden label of their own: files of a group go together by the group's factor, groups and directories
+by their parent's.  Belief propagation over these trees, upward and downward, is exact; a level is one aggregation or
+join, so no tree is ever gathered in one place.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanloom.llm.syntax.check import language_of
-from scanloom.session import settle
+from scanloom.session import fixed_side, settle
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 HAND, GENERATED, MINIFIED, VENDORED, BLOB = range(5)
@@ -30,8 +33,16 @@ FILE_KEEPS, DIR_KEEPS = (0.8, 0.7, 0.7, 0.8, 0.7), (0.6, 0.75, 0.75, 0.85, 0.75)
 PLAIN = (0.0, 3.0, 4.0, 0.7, 4.0)
 #: Share of a file's lines that stand in marked third-party files, from which it counts as a copy.
 COPY_SHARE = 0.8
+#: Evidence of a copy: what a library holds may look generated, but its copy is a library's file.
+COPIED = 8.0
 #: Shorter lines, like brackets and imports of one word, say nothing about copies.
 LINE_CHARS = 25
+#: Lines of marked files up to which they are broadcast, and the parts of a line's files beyond it.
+LOCAL_LINES, LINE_PARTS = 2_000_000, 16
+#: Lines after which statements of generated code repeat, at most.
+PERIOD = 12
+#: How the group of a directory's siblings is called, before their extension.
+GROUP = "*"
 EV = [f"e{k}" for k in range(5)]
 
 # What generators write at the head or the end of a file, in English, German, French and Spanish.
@@ -46,14 +57,16 @@ _LIBRARY = re.compile(
 )
 _COMMENT = re.compile(r"\A(?:\s*(?:#(?!include|define|if|pragma)[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->))+")
 _COMMENT_LINE = re.compile(r"\s*(?:#(?!include|define|if|pragma|endif|else|undef)|//)")
-_COMMENT_START = r"^(?:#(?!include|define|if|pragma|endif|else|undef)|//|/\*|\*(?:[\s/]|$)|<!--)"
+_COMMENT_START = re.compile(r"(?:#(?!include|define|if|pragma|endif|else|undef)|//|/\*|\*(?:[\s/]|$)|<!--)")
 _BLOCKS = {"*/": "/*", "-->": "<!--"}
-_ACCESSOR = re.compile(r"\b[gs]et_?[A-Za-z]\w*\s*\(|\b_values\[\d|\[\"_v\"\]|\bf\d+_|\b_F\d+\b|\bFIELD_\d+\b")
-_DATA = re.compile(r"(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d.]*(?:[eE][-+]?\d+)?)[uUlLfF]*[\s,;\]\[{}()]+){8,}|[A-Za-z0-9+/=]{60,}|(?:[\"']?\w+[\"']?\s*:\s*[-+]?\d[\d.]*\s*,\s*){8,}")
+_DATA = re.compile(
+    r"(?<![\w.])(?:[-+]?(?:0[xX][0-9a-fA-F]++|\d[\d.]*+(?:[eE][-+]?\d++)?+)[uUlLfF]*+[\s,;\]\[{}()]++){8,}+|(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{60,}+"
+    r"|(?<![\w\"'])(?:[\"']?\w++[\"']?\s*+:\s*+[-+]?\d[\d.]*+\s*+,\s*+){8,}+"
+)
 _BINARY = re.compile(r"[\x00-\x08\x0e-\x1a\x7f\ufffd]")
 # The tables of parser generators.
 _TABLES = re.compile(r"\b(?:static\s+)?(?:const\s+)?(?:unsigned\s+)?(?:short|int|char|yy\w*)\s+yy_?\w+\[[^\]]*\]\s*=|\byy(?:table|check|pact|defact)\b")
-_RUN = re.compile(r"[A-Za-z0-9+/=]{60}")
+_NAMES = {i: None for i in range(128) if chr(i).isalnum() or chr(i) in "_ \t\r"}
 # Directories that say what is in them.
 _DIR_SAYS = {
     VENDORED: re.compile(r"^(?:node_modules|third[_-]?party|3rdparty|extern|externals?|deps|bower_components|site-packages|vendored|.*-\d+\.\d+(?:\.\d+)+)$", re.I),
@@ -87,6 +100,29 @@ def _tail(text: str) -> str:
     return text[begin:].rstrip()
 
 
+def periodic(lines: list[str]) -> float:
+    """Share of lines in stretches where statements of one form come again and again in one order, three times at least.
+
+    A line's form is what is left without names, numbers and blanks; a stretch of equal forms has no order, and in one
+    that repeats its very lines nothing is filled in.
+    """
+    n = len(lines)
+    if n < 6:
+        return 0.0
+    names: dict[str, int] = {}
+    form = np.array([names.setdefault(x, len(names)) for x in "\n".join(lines).translate(_NAMES).split("\n")])
+    covered = np.zeros(n, bool)
+    for p in range(2, min(PERIOD, n // 3) + 1):
+        same = form[:-p] == form[p:]
+        if not same.any():
+            continue
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if b - a >= 2 * p and (form[a : a + p] != form[a]).any() and 2 * len(set(lines[a : b + p])) > b - a + p:
+                covered[a : b + p] = True
+    return float(covered.mean())
+
+
 def evidence(path: str | None, text: str | None) -> tuple[list[float], bool]:
     """Log evidence of a file for each label, and whether it is marked as a third party's."""
     e = [0.0] * 5  # what is usual is up to the directory
@@ -97,7 +133,8 @@ def evidence(path: str | None, text: str | None) -> tuple[list[float], bool]:
     if not text or text.isspace():
         return e, False
     head = m.group() if (m := _COMMENT.match(text)) else ""
-    said = [x for x in (head, _tail(text[len(head) :])) if x]
+    tail = _tail(text[len(head) :])
+    said = [x for x in (head, tail) if x]
     if any(map(_GENERATOR.search, said)):
         e[GENERATED] += 8.0
     if any(map(_LIBRARY.search, said)):
@@ -105,21 +142,15 @@ def evidence(path: str | None, text: str | None) -> tuple[list[float], bool]:
         marked = True
     size = len(text)
     lines = [x for x in text.split("\n") if x and not x.isspace()]
-    body = lines[head.count("\n") :] or lines
-    hints = sum(map(text.count, ("get", "set", "_v", "f1", "F1", "FIELD_")))
-    accessors = sum(1 for x in body if _ACCESSOR.search(x)) / len(body) if hints > 0.3 * len(body) else 0.0
-    if len(body) >= 4:
-        e[GENERATED] += 9.0 if accessors > 0.45 else 3.0 if accessors > 0.3 else 0.0
+    count = lambda x: sum(1 for y in x.split("\n") if y and not y.isspace())
+    share = periodic(lines[count(head) : len(lines) - count(tail)])
+    e[GENERATED] += 7.0 if share > 0.65 else 1.0 if share > 0.5 else 0.0
     if "yy" in text and _TABLES.search(text):
         e[GENERATED] += 9.0
-    digits = sum(map(text.count, "0123456789"))
-    data = 0.0
-    if digits > 0.15 * size or any(_RUN.search(x) for x in text.split() if len(x) >= 60):
-        data = sum(b - a for a, b in (m.span() for m in _DATA.finditer(text))) / size
-    if size > 150:
-        e[BLOB] += 9.0 if data > 0.9 else 0.0
+    data = sum(b - a for a, b in (m.span() for m in _DATA.finditer(text))) / size
+    e[BLOB] += 9.0 if data > 0.9 else 0.0
     mean = size / max(1, len(lines))
-    if data < 0.65 and size > 300 and mean > 180 and not _BINARY.search(text):
+    if data < 0.65 and mean > 180 and not _BINARY.search(text):
         blanks = sum(map(text.count, (" ", "\t", "\n"))) / size
         if blanks < 0.2:
             e[MINIFIED] += 9.0 if blanks < 0.12 else 2.5
@@ -129,41 +160,65 @@ def evidence(path: str | None, text: str | None) -> tuple[list[float], bool]:
     return e, marked
 
 
+def line_digests(text: str | None) -> np.ndarray:
+    """64-bit digests of a text's different lines of LINE_CHARS or more, trimmed.
+
+    A text of fewer than four such lines has one digest of the whole, without its lines of comment, unless that is no
+    longer than a line that says nothing.
+    """
+    lines = [x.strip() for x in text.split("\n")] if text else []
+    long = {x for x in lines if len(x) >= LINE_CHARS}
+    if len(long) < 4:
+        whole = "\n".join(x for x in lines if x and not _COMMENT_START.match(x))
+        long = {"whole\n" + whole} if len(whole) >= LINE_CHARS else set()
+    return np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in long], np.uint64).view(np.int64)
+
+
 def file_evidence(df: DataFrame, id_col: str, repo_col: str, path_col: str, text_col: str) -> DataFrame:
-    """(k, repo, dir, marked, e0..e4): one row per id; content is read once and stays behind."""
-    schema = T.StructType([T.StructField("k", df.schema[id_col].dataType), T.StructField("repo", T.StringType()), T.StructField("path", T.StringType()), T.StructField("marked", T.BooleanType()), *[T.StructField(x, T.DoubleType()) for x in EV]])
+    """(k, repo, path, marked, e0..e4, h) of every row, ``h`` its digests of lines; content is read once and stays behind."""
+    names = ["k", "repo", "path", "marked", *EV, "h"]
+    schema = T.StructType([T.StructField("k", df.schema[id_col].dataType), T.StructField("repo", T.StringType()), T.StructField("path", T.StringType()), T.StructField("marked", T.BooleanType()), *[T.StructField(x, T.DoubleType()) for x in EV], T.StructField("h", T.ArrayType(T.LongType()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [evidence(p, t) for p, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = batch.column(3).to_pylist()
+            rows = [evidence(p, t) for p, t in zip(batch.column(2).to_pylist(), texts)]
             cols = [pa.array([r[0][k] for r in rows], pa.float64()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([r[1] for r in rows], pa.bool_()), *cols], names=["k", "repo", "path", "marked", *EV])
+            digests = [line_digests(t) for t in texts]
+            at = np.concatenate(([0], np.cumsum([len(x) for x in digests])))
+            h = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *digests])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([r[1] for r in rows], pa.bool_()), *cols, h], names=names)
 
     src = df.select(F.col(id_col).alias("k"), F.coalesce(F.col(repo_col), F.lit("")).alias("repo"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.col(text_col).alias("t"))
-    found = src.mapInArrow(work, schema).dropDuplicates(["k"])
-    parts = F.split("path", "/")
+    return src.mapInArrow(work, schema)
+
+
+def sibling_group(path: Column) -> Column:
+    """The place of a file's group: its directory, and below it the files of its extension."""
+    parts = F.split(path, "/")
     folder = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
-    return found.withColumn("dir", folder)
+    kind = F.concat(F.lit(GROUP), F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1)))
+    return F.when(folder == "", kind).otherwise(F.concat_ws("/", folder, kind))
 
 
-def copies(df: DataFrame, id_col: str, text_col: str, marked: DataFrame) -> DataFrame:
-    """(k, share): share of a file's lines that stand in ``marked`` files, where it reaches COPY_SHARE.
+def copies(seen: DataFrame) -> DataFrame:
+    """(k, share): share of a file's lines that stand in marked files, where it reaches COPY_SHARE.
 
-    Lines are compared by 64-bit digests, trimmed; each line of a file counts once, also where the
-    file is delivered again.  A file of less than four such lines is compared as a whole, without its lines of comment, unless
-    that is no longer than a line that says nothing.  Marked files are compared too.
+    ``seen`` has k, marked and h, one row a delivery; each delivery is compared by itself.  Marked files are compared
+    too.  The lines of marked files are broadcast if they are counted few; else they meet the others' lines in parts, since
+    some lines stand in a great many files.
     """
-    trimmed = F.transform(F.split(F.col(text_col), "\n"), lambda x: F.regexp_replace(F.trim(x), r"\s+$", ""))
-    lines = df.select(F.col(id_col).alias("k"), trimmed.alias("all"))
-    lines = lines.select("k", "all", F.filter(F.array_distinct("all"), lambda x: F.length(x) >= LINE_CHARS).alias("long"))
-    whole = F.array_join(F.filter("all", lambda x: (x != "") & ~x.rlike(_COMMENT_START)), "\n")
-    short = F.when(F.length(whole) >= LINE_CHARS, F.array(F.xxhash64(F.lit("whole"), whole)))
-    digests = F.when(F.size("long") >= 4, F.transform("long", lambda x: F.xxhash64(x))).otherwise(short)
-    hashed = lines.select("k", digests.alias("h")).where("h IS NOT NULL")
-    known = hashed.join(marked.select("k"), "k", "left_semi").select(F.explode("h").alias("x")).distinct().withColumn("known", F.lit(1))
-    each = hashed.select("k", F.size("h").alias("n"), F.explode("h").alias("x"))
-    hit = each.join(known, "x").dropDuplicates(["k", "n", "x"]).groupBy("k", "n").agg(F.count("*").alias("hits")).groupBy("k").agg(F.max(F.least(F.lit(1.0), F.col("hits") / F.col("n"))).alias("share"))
-    return hit.where(F.col("share") >= COPY_SHARE)
+    known = settle(seen.where("marked").select(F.explode("h").alias("x")).distinct())
+    each = seen.where("size(h) > 0").select(F.monotonically_increasing_id().alias("r"), "k", F.size("h").alias("n"), "h").select("r", "k", "n", F.explode("h").alias("x"))
+    side = fixed_side(known, LOCAL_LINES)
+    if side is known:
+        some = F.lit(LINE_PARTS).cast("long")
+        each = each.withColumn("part", F.pmod("r", some))
+        hit = each.join(known.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), some - 1))), ["x", "part"])
+    else:
+        hit = each.join(side, "x")
+    share = hit.groupBy("r", "k", "n").agg(F.count("*").alias("hits")).groupBy("k").agg(F.max(F.col("hits") / F.col("n")).alias("share"))
+    return share.where(F.col("share") >= COPY_SHARE)
 
 
 def _let(value: Column, body) -> Column:
@@ -194,10 +249,10 @@ def _plus(a: Column | str, b: Column, sign: int = 1) -> Column:
 
 
 def _named(vec: Column, folder: Column) -> Column:
-    """A directory's sums with its own potential: the usual shares, and what its name says."""
+    """A directory's sums with its own potential: the usual shares, and what its name says; a group has none."""
     base = F.element_at(F.split(folder, "/"), -1)
     says = [F.when(base.rlike("(?i)" + _DIR_SAYS[k].pattern), F.lit(DIR_WEIGHT[k])).otherwise(0.0) if k in _DIR_SAYS else F.lit(0.0) for k in range(5)]
-    return _plus(vec, F.array(*[F.lit(math.log(PRIOR[k])) + says[k] for k in range(5)]))
+    return F.when(base.startswith(GROUP), vec).otherwise(_plus(vec, F.array(*[F.lit(math.log(PRIOR[k])) + says[k] for k in range(5)])))
 
 
 def beliefs(files: DataFrame) -> DataFrame:
@@ -243,9 +298,10 @@ def label_files(df: DataFrame, id_col: str, repo_col: str, path_col: str, text_c
     repository, a null repository is one of its own; of rows with one id any is taken, since they are the same file;
     an empty table gives no rows.  Ties between labels go to the first of LABELS.
     """
-    files = settle(file_evidence(df, id_col, repo_col, path_col, text_col))
-    copy = copies(df, id_col, text_col, files.where("marked"))
-    ev = [F.col(x) + (F.when(F.col("share").isNotNull(), 8.0).otherwise(0.0) if k == VENDORED else 0.0) for k, x in enumerate(EV)]
+    seen = settle(file_evidence(df, id_col, repo_col, path_col, text_col))
+    files = seen.select("k", "repo", sibling_group(F.col("path")).alias("dir"), *EV).dropDuplicates(["k"])
+    copy = copies(seen)
+    ev = [F.col(x) + (F.when(F.col("share").isNotNull(), COPIED).otherwise(0.0) if k == VENDORED else 0.0) for k, x in enumerate(EV)]
     files = settle(files.join(copy, "k", "left").select("k", "repo", "dir", F.array(*ev).alias("ev")))
     return beliefs(files).withColumnRenamed("k", id_col)
 

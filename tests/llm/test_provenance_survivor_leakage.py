@@ -20,6 +20,12 @@ def files(spark, data):
     return spark.createDataFrame([(i, r, p, c, "x", 1.0) for i, r, p, c in data], "file_id long, repo string, path string, content string, dir string, e0 double")
 
 
+def seen_of(df, *marked):
+    """Evidence with given files marked."""
+    seen = provenance.file_evidence(df, "file_id", "repo", "path", "content")
+    return seen.withColumn("marked", seen["k"].isin(*marked))
+
+
 def test_labels_of_files(spark):
     data = [
         (1, "a", "src/m/load.py", HAND), (2, "a", "src/m/pb.py", GENERATED), (3, "a", "web/app.js", MINIFIED), (4, "a", "src/data.py", BLOB), (5, "a", "src/head.py", "# Code generated by toolc. DO NOT EDIT.\n" + HAND),
@@ -46,13 +52,30 @@ def test_a_redelivered_file_is_no_fuller_copy(spark):
     lines = [f"value_{k} = transform_the_value({k}, other)" for k in range(10)]
     mixed = "\n".join(lines[:5] + [x.replace("value", "own") for x in lines[5:]])
     df = files(spark, [(1, "a", "a.py", "\n".join(lines)), (2, "a", "b.py", mixed), (2, "a", "b.py", mixed), (3, "a", "c.py", "\n".join(lines[:9]))])
-    assert rows(provenance.copies(df, "file_id", "content", spark.createDataFrame([(1,)], "k long"))) == [(1, 1.0), (3, 1.0)]
+    assert rows(provenance.copies(seen_of(df, 1))) == [(1, 1.0), (3, 1.0)]
+
+
+def test_structure_tells_whatever_the_names():
+    fetch = "class A:\n" + "".join(f"    def fetch_{k}(self):\n        return self.slots[{k}]\n" for k in range(40))
+    pairs = "".join(f'"key_{chr(97 + k % 26)}{k}": {k % 7},\n' for k in range(60))
+    assert provenance.evidence("a.py", fetch)[0][provenance.GENERATED] == 7.0
+    assert provenance.evidence("a.js", pairs)[0][provenance.BLOB] == 9.0 and provenance.evidence("a.js", "[1, 2, 3, 4, 5, 6, 7, 8, 9]")[0][provenance.BLOB] == 9.0
+    assert provenance.periodic(HAND.split("\n")) < 0.3 and provenance.periodic(["x = 1"] * 40) == 0.0 and provenance.periodic([]) == 0.0
+    assert len(provenance.line_digests(None)) == 0 and len(provenance.line_digests(LIBRARY)) == 36 and len(provenance.line_digests("# note\nreturn find_the_first(value, other)\n")) == 1
+
+
+def test_common_lines_meet_in_parts(spark, monkeypatch):
+    data = [(k, "r", f"src/d{k % 7}/f{k}.py", LIBRARY if k % 3 else HAND) for k in range(60)] + [(100, "r", "deps/somekit/lib.py", "# somekit 1.2.3\n# (c) the somekit authors, released under the MIT license\n" + LIBRARY)]
+    seen = provenance.file_evidence(files(spark, data), "file_id", "repo", "path", "content")
+    few = rows(provenance.copies(seen))
+    monkeypatch.setattr(provenance, "fixed_side", lambda side, most: side)
+    assert rows(provenance.copies(seen)) == few == sorted(((k, 1.0) for k in [*range(60), 100] if k == 100 or k % 3), key=repr)
 
 
 def test_short_copies_and_deep_directories(spark):
     body = "module.exports = require('./lib/padLeft')\n"
     df = files(spark, [(1, "a", "a.js", "// somekit 1.2.3\n" + body), (2, "b", "b.js", "\n" + body), (3, "b", "c.js", body.replace("Left", "Right")), (4, "b", "d.js", "x = 1\n"), (5, "a", "d.js", "// somekit 1.2.3\nx = 1\n"), (6, "a", "e.js", None)])
-    assert rows(provenance.copies(df, "file_id", "content", spark.createDataFrame([(1,), (5,)], "k long"))) == [(1, 1.0), (2, 1.0)]
+    assert rows(provenance.copies(seen_of(df, 1, 5))) == [(1, 1.0), (2, 1.0)]
     deep = "/".join(f"d{k}" for k in range(13)) + "/third_party/x.py"
     found = provenance.file_evidence(files(spark, [(1, "a", deep, HAND), (2, "a", "x.py", HAND)]), "file_id", "repo", "path", "content")
     assert rows(found.select("k", "dir")) == [(1, deep[: -len("/x.py")]), (2, "")]
