@@ -78,7 +78,7 @@ def test_short_copies_and_deep_directories(spark):
     assert rows(provenance.copies(seen_of(df, 1, 5))) == [(1, 1.0), (2, 1.0)]
     deep = "/".join(f"d{k}" for k in range(13)) + "/third_party/x.py"
     found = provenance.file_evidence(files(spark, [(1, "a", deep, HAND), (2, "a", "x.py", HAND)]), "file_id", "repo", "path", "content")
-    assert rows(found.select("k", "dir")) == [(1, deep[: -len("/x.py")]), (2, "")]
+    assert rows(found.select("k", provenance.sibling_group(found["path"]))) == [(1, deep.replace("x.py", "*.py")), (2, "*.py")]
 
 
 def test_neighbours_decide_where_files_say_nothing(spark):
@@ -103,6 +103,12 @@ def test_propagation_equals_enumeration(spark):
     for k, p in ((1, joint.sum(1)), (2, joint.sum(0))):
         p /= p.sum()
         assert got[k] == (provenance.LABELS[int(p.argmax())], round(float(p.max()), 6))
+    # the same files as siblings of one group below the directory, which has no usual shares of its own
+    got = {r["k"]: (r["label"], r["confidence"]) for r in provenance.beliefs(df.replace("d", "d/*.py", ["dir"])).collect()}
+    joint = np.einsum("r,d,rd,dg,ga,gb,a,b->ab", prior, prior, D, D, K, K, a, b)
+    for k, p in ((1, joint.sum(1)), (2, joint.sum(0))):
+        p /= p.sum()
+        assert got[k] == (provenance.LABELS[int(p.argmax())], round(float(p.max()), 6))
 
 
 FINDING = "finding_key long, scan_id long, repo string, file string, line int, col_number int, type string, confidence double, function_name string, recommendation string, code_snippet string, quote string, ingested_at timestamp, group string"
