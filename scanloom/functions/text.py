@@ -123,6 +123,11 @@ def duration(seconds: Column) -> Column:
     return F.when(seconds < 60, F.format_string("%ds", seconds)).otherwise(F.format_string("%dm %ds", (seconds / 60).cast("int"), seconds % 60))
 
 
+def cost(amount: Column) -> Column:
+    """An amount with two digits and its sign."""
+    return F.format_string("$%.2f", amount.cast("double"))
+
+
 def title(snake: Column) -> Column:
     """Words of a snake_case name, each with a capital, tails as they are."""
     return F.array_join(F.transform(F.split(snake, "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), " ")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scanloom.functions.prompts import stricter
 from scanloom.session import fixed_side
 
 # Kinds of findings, for web languages and for C and C++.
@@ -70,7 +71,7 @@ def hints(chunks: DataFrame, table: DataFrame, id_col: str) -> DataFrame:
 
 
 class RuleAnalyzer:
-    """Answers a prompt (kind, a newline, numbered source) by looking for the kind's signs."""
+    """Answers a prompt (its kind, then numbered source) by looking for the kind's signs."""
 
     # Signs of each kind, as patterns over one line.
     SIGNS = {
@@ -80,12 +81,14 @@ class RuleAnalyzer:
     }
 
     def complete(self, prompt: str) -> str:
-        kind, _, source = prompt.partition("\n")
-        sign = re.compile(self.SIGNS.get(kind, "$^"))
+        head, _, source = prompt.partition("\n")
+        said = re.search(r"(?m)^Kind: (\w+)$", prompt)
+        asked = said[1] if said else head
         found = []
-        for row in source.split("\n"):
-            n, _, text = row.partition(": ")
-            if sign.search(text):
+        for n, text in re.findall(r"(?m)^ *(\d+): (.*)$", source):
+            for kind in self.SIGNS if asked == "all" else [asked]:
+                if not re.search(self.SIGNS.get(kind, "$^"), text):
+                    continue
                 found.append({"type": kind, "severity": "high", "confidence": 0.6, "line": int(n), "quote": text.strip(), "message": f"possible {kind.replace('_', ' ')}", "recommendation": ""})
         return json.dumps({"findings": found})
 
@@ -139,6 +142,65 @@ def salvage(reply: str) -> list[dict]:
     return out
 
 
+class ClientError(Exception):
+    """A refused request: asking again can't help.  Clients raise it, or any error with a ``status``."""
+
+
+def hopeless(error: Exception) -> bool:
+    """Whether a call must not be repeated: errors of the request itself, but neither too many nor too slow ones."""
+    status = getattr(error, "status", getattr(error, "status_code", None))
+    return isinstance(error, ClientError) or isinstance(status, int) and 400 <= status < 500 and status not in (408, 429)
+
+
+def call(model: Analyzer, prompt: str, retries: int, sleep: Callable[[float], None]) -> str:
+    """A model's reply; failing calls are repeated with growing waits unless that is hopeless."""
+    for k in range(retries + 1):
+        try:
+            return model.complete(prompt)
+        except Exception as e:
+            if k == retries or hopeless(e):
+                raise
+            sleep(backoff(k))
+    raise AssertionError
+
+
+def replies(rows: DataFrame, prompt_col: str, make: Callable[[], Analyzer], retries: int = 5, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """``rows`` with reply, and error where the call failed or there is no prompt.  Settle the result: calls may cost and differ."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make()
+        for batch in batches:
+            said, errors = [], []
+            for prompt in batch.column(batch.schema.get_field_index(prompt_col)).to_pylist():
+                try:
+                    if prompt is None:
+                        raise ClientError("nothing to ask")
+                    said.append(call(model, prompt, retries, sleep))
+                    errors.append(None)
+                except Exception as e:  # the row's failure is its result
+                    said.append(None)
+                    errors.append(f"{type(e).__name__}: {e}"[:500])
+            yield batch.append_column("reply", pa.array(said, pa.string())).append_column("error", pa.array(errors, pa.string()))
+
+    return rows.mapInArrow(work, T.StructType([*rows.schema.fields, T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())]))
+
+
+def spaced(make: Callable[[], Analyzer], seconds: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> Callable[[], Analyzer]:
+    """A maker of analyzers whose calls begin at least ``seconds`` apart, in each partition."""
+
+    class Spaced:
+        def __init__(self):
+            self.inner, self.next = make(), clock()
+
+        def complete(self, prompt: str) -> str:
+            slot = max(clock(), self.next)
+            self.next = slot + seconds
+            sleep(max(0.0, slot - clock()))
+            return self.inner.complete(prompt)
+
+    return Spaced
+
+
 def backoff(attempt: int, base: float = 2.0, most: float = 64.0) -> float:
     """Seconds before the next attempt: doubled each time, up to ``most``."""
     return min(most, base * 2**attempt)
@@ -147,30 +209,20 @@ def backoff(attempt: int, base: float = 2.0, most: float = 64.0) -> float:
 def analyze(prompts: DataFrame, id_col: str, prompt_col: str, make: Callable[[], Analyzer], retries: int = 5, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """(id, success, error, findings): the analyzer's reply to each prompt.
 
-    One analyzer a partition.  A call that raises is tried again with growing waits; a reply that doesn't parse is
-    asked for once more; then the row fails and the others go on.  Settle the result: calls may cost and differ.
+    One analyzer a partition.  A call that raises is tried again with growing waits, unless the request itself is at
+    fault; a reply that doesn't parse is asked for once more by a stricter prompt; then the row fails and the others go on.  Settle the result: calls may cost and differ.
     """
     finding = pa.struct([("type", pa.string()), ("severity", pa.string()), ("confidence", pa.float64()), ("line", pa.int32()), ("quote", pa.string()), ("message", pa.string()), ("recommendation", pa.string())])
 
-    def call(model: Analyzer, prompt: str) -> str:
-        for k in range(retries + 1):
-            try:
-                return model.complete(prompt)
-            except Exception:
-                if k == retries:
-                    raise
-                sleep(backoff(k))
-        raise AssertionError
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
         for batch in batches:
             ok, errors, found = [], [], []
             for prompt in batch.column(1).to_pylist():
                 error, got = None, []
-                for again in range(2):
+                for ask in (prompt or "", stricter(prompt or "")):
                     try:
-                        got, error = parse_reply(call(model, prompt or "")), None
+                        got, error = parse_reply(call(model, ask, retries, sleep)), None
                         break
                     except Exception as e:  # the row's failure is its result
                         error = f"{type(e).__name__}: {e}"[:500]

@@ -84,3 +84,73 @@ def callers(functions: DataFrame, files: DataFrame, most: int = 2) -> DataFrame:
 def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     """``n`` rows for reading, the same for a seed whatever the partitions: those with the least salted digests of their id."""
     return df.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(n)
+
+
+def replayed_sample(df: DataFrame, id_col: str, n: int, seed: int = 7) -> DataFrame:
+    """``n`` rows as the standard library's generator draws them from the rows in order of their id; all where there are fewer.
+
+    The drawn positions are few and go to the executors; the rows are numbered by a running total and stay there.
+    """
+    import random
+
+    from scanloom.operators.ordered import running_total
+
+    numbered = running_total(df.withColumn("__one", F.lit(1)), [id_col], {"__at": F.col("__one")}).drop("__one")
+    total = df.count()
+    picked = random.Random(seed).sample(range(total), min(n, total))
+    drawn = df.sparkSession.createDataFrame([(float(p + 1),) for p in picked], "__at double")
+    return numbered.join(F.broadcast(drawn), "__at", "left_semi").drop("__at")  # n positions
+
+
+def wrong_type_pairs(findings: DataFrame, truth: DataFrame, kinds: DataFrame, near: int = 10, k: int = 8) -> DataFrame:
+    """(said, truth, findings): the k most frequent pairs of types among findings of the category wrong_type.
+
+    ``kinds`` (id, category) as of ``false_positive_kinds``; a finding counts with the first label of another type within ``near`` lines.
+    """
+    f = kinds.where("category = 'wrong_type'").select("id").join(findings.select("id", "file", "line", F.col("type").alias("said")), "id")
+    cell = lambda c: F.floor(c / (near + 1)).cast("long")
+    t = truth.select(F.col("id").alias("t"), "file", F.col("line").alias("tl"), F.col("type").alias("tt")).withColumn("cell", F.explode(F.array(*[cell(F.col("tl")) + d for d in (-1, 0, 1)])))
+    j = f.withColumn("cell", cell(F.col("line"))).join(t, ["file", "cell"]).where((F.col("tt") != F.col("said")) & (F.abs(F.col("tl") - F.col("line")) <= near))
+    first = j.groupBy("id", "said").agg(F.min_by("tt", "t").alias("truth"))
+    return first.groupBy("said", "truth").agg(F.count("*").alias("findings")).orderBy(F.desc("findings"), "said", "truth").limit(k)
+
+
+def upper_bounds(categories: DataFrame, tp: int, fp: int, fn: int) -> DataFrame:
+    """(category, findings, running, precision, f1) if the most frequent categories were gone, one after the other, recall held."""
+    out = cumulative_share(categories, "category", "findings").drop("share")
+    left = F.greatest(F.lit(fp) - F.col("running"), F.lit(0))
+    rec = tp / (tp + fn) if tp + fn else 0.0
+    p = ratio(F.lit(float(tp)), F.lit(tp) + left)
+    return out.withColumns({"precision": F.round(p, 6), "f1": F.round(ratio(2 * p * rec, p + rec), 6)})
+
+
+def callees(functions: DataFrame, most: int = 2) -> DataFrame:
+    """(function, own, callee, file): functions of other names that a function's source calls by name, the first ``most`` of each.
+
+    ``functions``: name, file, start_line, source.  Names of calls are taken out of each source once and joined by name.
+    """
+    called = F.array_distinct(F.regexp_extract_all("source", F.lit(r"([A-Za-z_]\w*)\s*\("), F.lit(1)))
+    calls = functions.select(F.col("name").alias("function"), F.col("file").alias("own"), "start_line", F.explode(called).alias("name"))
+    where = functions.groupBy("name").agg(F.min("file").alias("file"))
+    j = calls.where(F.col("name") != F.col("function")).join(where, "name")
+    w = Window.partitionBy("own", "start_line", "function").orderBy("name")
+    return j.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("function", "own", F.col("name").alias("callee"), "file")
+
+
+def context(parts: DataFrame, key: list[str], text: str, order: list[str], most: int = 4, budget: int = 2400) -> DataFrame:
+    """(key, parts, text): the first ``most`` texts of each key that fit a budget of characters together, one behind the other."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    first = parts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    packed = first.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("r", F.col(text).alias("t")))).alias("ps"))  # at most ``most``
+    zero = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+    fold = F.aggregate("ps", zero, lambda a, p: F.when(a["n"] + F.length(p["t"]) <= budget, F.struct((a["n"] + F.length(p["t"])).alias("n"), F.concat(a["out"], F.array(p["t"])).alias("out"))).otherwise(a))
+    return packed.select(*key, F.size(fold["out"]).alias("parts"), F.array_join(fold["out"], "\n").alias("text"))
+
+
+def refuse_incomplete(folders: list[str], marker: str = "INCOMPLETE") -> None:
+    """Raise if a run's folder holds the marker of failed calls: its figures must not be compared."""
+    import os
+
+    bad = [f for f in folders if os.path.exists(os.path.join(f, marker))]
+    if bad:
+        raise ValueError(f"incomplete runs: {', '.join(bad)}")

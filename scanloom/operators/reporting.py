@@ -12,6 +12,14 @@ def summary(findings: DataFrame, severity: str, kind: str) -> DataFrame:
     return rows.select("x.*").groupBy("facet", "value").agg(F.count("*").alias("findings"))
 
 
+def severity_block(findings: DataFrame, severity: str) -> DataFrame:
+    """(severity, findings) of the four severities from critical to low, those that nothing has with 0; others aren't counted."""
+    n = findings.groupBy(F.lower(F.col(severity)).alias("severity")).agg(F.count("*").alias("findings"))
+    order = F.array(*[F.struct(F.lit(k).alias("at"), F.lit(s).alias("severity")) for k, s in enumerate(("critical", "high", "medium", "low"))])
+    four = findings.sparkSession.range(1).select(F.explode(order).alias("x")).select("x.*")
+    return four.join(n, "severity", "left").select("at", "severity", F.coalesce("findings", F.lit(0)).alias("findings")).orderBy("at").drop("at")
+
+
 def top(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     """(column, n): the k most frequent values, ties by value."""
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)
@@ -24,6 +32,21 @@ def search(findings: DataFrame, text: str, severity: str | None = None) -> DataF
     return findings.where(hit & (F.col("severity") == severity) if severity else hit)
 
 
+def benchmark_rows(findings: DataFrame, target: Column, least: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(result rows with cwe, (type, findings) skipped): findings of a benchmark run; types without a number are skipped and counted.
+
+    Paths are made relative to ``target``; severities become ERROR, WARNING and INFO; findings below ``least`` confidence are dropped.
+    """
+    from scanloom.functions.paths import lookup, relative
+    from scanloom.operators.families import with_numbers
+
+    known, skipped = with_numbers(findings.where(F.coalesce(F.col("confidence"), F.lit(1.0)) >= least), "type")
+    level = F.coalesce(lookup({"critical": "ERROR", "high": "ERROR", "medium": "WARNING", "low": "INFO"}, F.lower("severity")), F.lit("INFO"))
+    at = F.struct("line", F.lit(1).alias("col"))
+    extra = F.struct("message", level.alias("severity"), F.struct(F.array("cwe").alias("cwe"), "confidence").alias("metadata"))
+    return known.select(F.col("type").alias("check_id"), relative(F.col("file"), target).alias("path"), at.alias("start"), at.alias("end"), extra.alias("extra")), skipped
+
+
 def report_rows(findings: DataFrame) -> DataFrame:
     """Findings as an external scanner's result rows: check_id, path, start, end, extra; invalid ones are dropped."""
     from scanloom.operators.findings import valid_findings

@@ -54,3 +54,29 @@ def completeness(results: DataFrame, success: Column) -> DataFrame:
     """One row: attempted, failed, complete."""
     ok = F.coalesce(success, F.lit(False))
     return results.agg(F.count("*").alias("attempted"), F.count_if(~ok).alias("failed"), (F.count_if(~ok) == 0).alias("complete"))
+
+
+def model_report(chunks: DataFrame, usage: DataFrame, model: str = "model") -> DataFrame:
+    """(model, chunks, tokens, cost): how many chunks each model analyzed beside what it cost; models of either side."""
+    zero = F.lit(0).cast("long")
+    done = chunks.select(model, F.lit(1).cast("long").alias("chunks"), zero.alias("tokens"), F.lit(0.0).alias("cost"))
+    tokens = (F.coalesce("prompt_tokens", zero) + F.coalesce("completion_tokens", zero)).cast("long")
+    spent = usage.select(model, zero.alias("chunks"), tokens.alias("tokens"), F.coalesce("cost", F.lit(0.0)).alias("cost"))
+    return done.unionByName(spent).groupBy(model).agg(F.sum("chunks").alias("chunks"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 6).alias("cost"))
+
+
+def soft_cap(usage: DataFrame, order_by: list[str], cost: str, switch_at: float, share: float = 0.8) -> DataFrame:
+    """At most one row, (order, cost_before, remaining, percent): the first row that starts with ``share`` of the switching cost spent, but not all of it."""
+    out = running_total(usage, order_by, {"total": F.col(cost)})
+    before = F.round(F.col("total") - F.coalesce(cost, F.lit(0.0)), 6)
+    warned = out.withColumn("cost_before", before).where((F.col("cost_before") >= share * switch_at) & (F.col("cost_before") < switch_at))
+    first = warned.agg(F.min(F.struct(*order_by, "cost_before")).alias("x")).where("x IS NOT NULL").select("x.*")
+    return first.withColumns({"remaining": F.round(F.lit(float(switch_at)) - F.col("cost_before"), 6), "percent": F.round(F.col("cost_before") / switch_at * 100, 6)})
+
+
+def progress(done: DataFrame, order_by: list[str], at: str, every: int = 10, seconds: float = 30) -> DataFrame:
+    """Rows at which progress is reported: each ``every``-th, and the first after ``seconds`` without a step of that clock."""
+    out = running_total(done.withColumn("__one", F.lit(1)), order_by, {"done": F.col("__one")}).drop("__one")
+    tick = F.floor(F.col(at).cast("timestamp").cast("double") / seconds).cast("long")
+    firsts = out.groupBy(tick.alias("tick")).agg(F.min("done").alias("first"))
+    return out.withColumn("tick", tick).join(firsts, "tick").where((F.pmod(F.col("done").cast("long"), F.lit(every)) == 0) | (F.col("done") == F.col("first"))).select(*order_by, F.col("done").cast("long").alias("done"))

@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.functions import paths, stats
+from scanloom.functions import paths, prompts, stats
 from scanloom.functions import text as tx
-from scanloom.operators import analysis, chunking, matching, ordered, redaction, reporting, retrieval, usage
+from scanloom.operators import analysis, chunking, evaluation, families, matching, ordered, redaction, reporting, retrieval, review, usage
 from scanloom.operators import findings as fd
 from scanloom.session import table
 
@@ -644,6 +644,111 @@ def severity_type_cube(spark, d):
     return findings(spark, d).cube("severity", "type").agg(F.count("*").alias("findings"))
 
 
+def _case(column: str, pairs: dict[str, object]) -> str:
+    shown = lambda v: "[" + ", ".join(f"'{x}'" for x in v) + "]" if isinstance(v, tuple) else f"'{v}'"
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {shown(v)}" for k, v in pairs.items()) + " END"
+
+
+_KINDS = _case("type", {k: next((cs for cs in families.FAMILIES.values() if n in cs), (n,)) for k, n in families.NUMBERS.items()})
+
+
+@query(f"WITH {_F} SELECT {_case('type', families.NUMBERS)} AS cwe, count(*) AS findings, coalesce(max(len({_KINDS})), 0) AS family FROM f GROUP BY 1")
+def weakness_numbers(spark, d):
+    f = findings(spark, d).withColumn("cwe", families.number_of(F.col("type")))
+    return f.groupBy("cwe").agg(F.count("*").alias("findings"), F.max(F.coalesce(F.array_size(families.family_of(F.col("cwe"))), F.lit(0))).cast("long").alias("family"))
+
+
+@query(
+    f"WITH {_F}, te AS (SELECT repo, file, list({{'id': label_id, 'line': line, 'kinds': {_KINDS}}} ORDER BY label_id) AS ts FROM (SELECT * REPLACE ({_TAIL_CLEAN} AS file) FROM expected_findings) WHERE {_TAIL_KEY} AND {_KINDS} IS NOT NULL GROUP BY ALL),"
+    f" ta AS (SELECT repo, file, list({{'id': finding_key, 'line': line, 'kinds': {_KINDS}}} ORDER BY finding_key) AS es FROM (SELECT * REPLACE ({_TAIL_CLEAN} AS file) FROM f) WHERE {_TAIL_KEY} AND {_KINDS} IS NOT NULL GROUP BY ALL),"
+    " c AS (SELECT unnest(list_reduce(es, lambda acc, x: list_append(acc, {'f': x.id, 't': list_extract(list_filter(ts, lambda y: abs(y.line - x.line) <= 10 AND list_has_any(y.kinds, x.kinds) AND NOT list_contains(list_transform(acc, lambda p: p.t), y.id)), 1).id}), CAST([] AS STRUCT(f BIGINT, t BIGINT)[]))) AS x FROM te JOIN ta USING (repo, file))"
+    " SELECT x.f AS finding_id, x.t AS truth_id FROM c WHERE x.t IS NOT NULL"
+)
+def family_claims(spark, d):
+    e, a = _tail_sides(spark, d)
+    kinds = families.family_of(families.number_of(F.col("type")))
+    truth = e.where("file <> ''").select("id", "repo", "file", F.col("line").alias("start_line"), F.lit(None).cast("long").alias("end_line"), kinds.alias("kinds"), F.lit(True).alias("vulnerable"))
+    return families.claims(a.where("file <> ''"), truth)
+
+
+@query(
+    f"WITH {_F}, r AS (SELECT *, CASE WHEN starts_with(replace(file, '\\', '/'), repo || '/') THEN substr(replace(file, '\\', '/'), length(repo) + 2) ELSE replace(file, '\\', '/') END AS p FROM f WHERE coalesce(confidence, 1) >= 0.5)"
+    f" SELECT type AS check_id, regexp_replace(p, '^(\\./)+', '') AS path, line, CASE lower(severity) WHEN 'critical' THEN 'ERROR' WHEN 'high' THEN 'ERROR' WHEN 'medium' THEN 'WARNING' ELSE 'INFO' END AS severity, {_case('type', families.NUMBERS)} AS cwe FROM r WHERE type IN ({', '.join(repr(k) for k in families.NUMBERS)})"
+)
+def benchmark_rows(spark, d):
+    rows, _ = reporting.benchmark_rows(findings(spark, d), F.col("repo"), 0.5)
+    return rows.select("check_id", "path", F.col("start.line").alias("line"), F.col("extra.severity").alias("severity"), F.get("extra.metadata.cwe", F.lit(0)).alias("cwe"))
+
+
+@query(f"WITH {_F} SELECT s.severity, count(f.finding_key) AS findings FROM (SELECT unnest(['critical', 'high', 'medium', 'low']) AS severity) s LEFT JOIN f ON lower(f.severity) = s.severity GROUP BY s.severity")
+def severity_block(spark, d):
+    return reporting.severity_block(findings(spark, d), "severity")
+
+
+@query(
+    f"WITH {_SCANS}, c AS (SELECT model_used AS model, CAST(sum((filtering).total_findings) AS BIGINT) AS tokens, round(coalesce(sum(total_cost), 0), 6) AS cost FROM sc GROUP BY 1),"
+    " n AS (SELECT model_used AS model, count(*) AS chunks FROM (SELECT * FROM sc WHERE total_cost IS NOT NULL) GROUP BY 1)"
+    " SELECT c.model, coalesce(n.chunks, 0) AS chunks, coalesce(c.tokens, 0) AS tokens, c.cost FROM c LEFT JOIN n ON n.model IS NOT DISTINCT FROM c.model"
+)
+def model_report(spark, d):
+    s = scans(spark, d).withColumnRenamed("model_used", "model")
+    spent = s.select("model", F.col("filtering.total_findings").cast("long").alias("prompt_tokens"), F.lit(0).cast("long").alias("completion_tokens"), F.col("total_cost").alias("cost"))
+    return usage.model_report(s.where("total_cost IS NOT NULL"), spent)
+
+
+@query(f"WITH {_RUN}, w AS (SELECT * FROM b WHERE cost_before >= 0.8 * 20 AND cost_before < 20 ORDER BY scanned_at, scan_id LIMIT 1) SELECT scanned_at, scan_id, cost_before, round(20 - cost_before, 6) AS remaining, round(cost_before / 20 * 100, 6) AS percent FROM w")
+def soft_cap(spark, d):
+    return usage.soft_cap(scans(spark, d).select("scan_id", "scanned_at", "total_cost"), ["scanned_at", "scan_id"], "total_cost", 20.0)
+
+
+@query(
+    f"WITH {_F}, {_FILES}, j AS (SELECT finding_key, file, f.type, message, line, string_split(content, chr(10)) AS ls FROM f JOIN fl ON f.repo = fl.repo AND f.file = fl.path),"
+    " b AS (SELECT *, greatest(line - 15, 1) AS lo, least(line + 15, len(ls)) AS hi FROM j), x AS (SELECT *, array_to_string(list_transform(CASE WHEN hi >= lo THEN ls[lo:hi] ELSE [] END, lambda x, i: CAST(lo + i - 1 AS VARCHAR) || ': ' || x), chr(10)) AS code FROM b)"
+    " SELECT finding_key, sha256('Verify: ' || type || ' at line ' || line || chr(10) || 'File: ' || file || chr(10) || 'Code:' || chr(10) || '```' || chr(10) || code || chr(10) || '```' || chr(10) || 'Note: ' || coalesce(message, '') || chr(10) ||"
+    """ 'Does the code shown have this weakness at this line? Count only checks that are shown. Answer with JSON alone: {"applies": true, "confidence": 0.0, "reason": "..."}') AS prompt FROM x"""
+)
+def verification_prompts(spark, d):
+    src = files(spark, d).select("repo", F.col("path").alias("file"), "content")
+    j = findings(spark, d).join(src, ["repo", "file"])
+    prompt = prompts.verification(F.col("file"), tx.excerpt(F.col("content"), F.col("line")), F.col("type"), F.col("line"), F.col("message"))
+    return j.select("finding_key", F.sha2(prompt, 256).alias("prompt"))
+
+
+def _review_sides(spark, d):
+    src = files(spark, d).select(F.concat_ws("/", "repo", "path").alias("file"), "content")
+    f = findings(spark, d).where("line IS NOT NULL").select(F.concat_ws("/", "repo", "file").alias("file"), "line", "type", "confidence", "message", F.col("finding_key").alias("ord"))
+    return f, src
+
+
+@query()
+def judge_counts(spark, d):
+    f, src = _review_sides(spark, d)
+    return review.judge_sites(f, src, "file", review.RuleReviewer)[1]
+
+
+@query()
+def verify_counts(spark, d):
+    f, src = _review_sides(spark, d)
+    return review.verify(f, src, "file", review.RuleReviewer)[1]
+
+
+@query(
+    f"WITH {_PAIRS}, x AS (SELECT id, {_WHOLE} AS file, line, type FROM a WHERE id NOT IN (SELECT actual_id FROM p)), t AS (SELECT id, {_WHOLE} AS file, line, type FROM e WHERE line IS NOT NULL AND type IS NOT NULL),"
+    " w AS (SELECT x.id, x.type AS said, arg_min(t.type, t.id) AS truth FROM x JOIN t ON t.file = x.file AND t.type <> x.type AND abs(t.line - x.line) <= 10 GROUP BY ALL) SELECT said, truth, count(*) AS findings FROM w GROUP BY ALL ORDER BY findings DESC, said, truth LIMIT 8"
+)
+def wrong_type_pairs(spark, d):
+    e, a = _sides(spark, d)
+    whole = lambda df: df.withColumn("file", F.concat("repo", F.lit("/"), "file"))
+    e, a = whole(e).withColumn("vulnerable", F.lit(True)), whole(a)
+    kinds = matching.false_positive_kinds(a, e, matching.greedy_match(*_sides(spark, d), KEY, 20))
+    return evaluation.wrong_type_pairs(a, e.where("line IS NOT NULL AND type IS NOT NULL"), kinds)
+
+
+@query()
+def replayed_sample(spark, d):
+    return evaluation.replayed_sample(findings(spark, d).select("finding_key", "type"), "finding_key", 30)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

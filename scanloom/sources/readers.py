@@ -42,6 +42,15 @@ def source_tree(spark: SparkSession, root: str, languages: tuple[str, ...] = (),
     return rows.select("path", "language", paths.is_test(F.col("path")).alias("is_test"), F.decode("content", "UTF-8").alias("content"))
 
 
+def manifest_files(spark: SparkSession, root: str, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """(path, content) of the files below ``root`` that name a project's dependencies; other files are never decoded."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = F.regexp_replace(F.lit("file:" + os.path.abspath(root) if "://" not in root and not root.startswith("file:") else root), "^file:/+", "/")
+    rows = raw.select(paths.relative(F.regexp_replace("path", "^file:/+", "/"), base).alias("path"), "content")
+    named = paths.base_name(F.col("path")).isin("package.json", "requirements.txt", "setup.py", "pom.xml", "build.gradle")
+    return rows.where(named & ~paths.excluded(F.col("path"), ignore)).select("path", F.decode("content", "UTF-8").alias("content"))
+
+
 def ignore_patterns(text: str) -> tuple[str, ...]:
     """Patterns of an ignore file: trimmed, without blank lines and comments."""
     return tuple(x for x in map(str.strip, text.splitlines()) if x and not x.startswith("#"))
@@ -52,24 +61,50 @@ def knowledge_base(spark: SparkSession, directory: str) -> DataFrame:
 
     A knowledge base is written by hand and read on the driver.  Needs PyYAML.
     """
-    import yaml
-
     rows, seen = [], set()
     for name in sorted(os.listdir(directory)):
         if not name.endswith((".yaml", ".yml")):
             continue
-        with open(os.path.join(directory, name), encoding="utf-8") as f:
-            e = yaml.safe_load(f) or {}
-        problems = entry_problems(e)
-        if problems:
-            raise ValueError(f"{name}: {'; '.join(problems)}")
-        if e["id"] in seen:
-            raise ValueError(f"{name}: id {e['id']} comes twice")
-        seen.add(e["id"])
-        rows.append((e["id"], e["title"], e["description"], list(e["code_patterns"]), int(e.get("schema_version") or 1)))
+        row = entry_file(os.path.join(directory, name))
+        if row[0] in seen:
+            raise ValueError(f"{name}: id {row[0]} comes twice")
+        seen.add(row[0])
+        rows.append(row)
     return spark.createDataFrame(rows, "id string, title string, description string, code_patterns array<string>, schema_version int")
 
 
+def entry_file(path: str) -> tuple[str, str, str, list[str], int]:
+    """(id, title, description, code_patterns, schema_version) of one YAML file; raises ValueError for a bad one."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        e = yaml.safe_load(f) or {}
+    if problems := entry_problems(e):
+        raise ValueError(f"{os.path.basename(path)}: {'; '.join(problems)}")
+    return e["id"], e["title"], e["description"], list(e["code_patterns"]), int(e.get("schema_version") or 1)
+
+
+def kept_postings(spark: SparkSession, entries: DataFrame, folder: str) -> DataFrame:
+    """The posting table of a knowledge base, kept below ``folder`` under the digest of its texts; built anew only where that has changed."""
+    from scanloom.operators.retrieval import postings
+
+    text = F.concat_ws(" ", "title", "description", F.array_join("code_patterns", " "))
+    digest = corpus_hash(entries.withColumn("__text", text), "id", "__text").first()[0]
+    path = f"{folder.rstrip('/')}/postings-{digest}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        postings(entries, "id", text).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def report_path(directory: str, name: str) -> str:
+    """The path of a report in a folder; other names than scan-*.json and ways out of the folder are refused."""
+    path = os.path.realpath(os.path.join(directory, name))
+    if not re.fullmatch(r"scan-[\w.-]+\.json", name) or os.path.dirname(path) != os.path.realpath(directory):
+        raise ValueError(f"no report: {name}")
+    return path
+
+
 def entry_problems(e: dict) -> list[str]:
     """What is wrong with a knowledge-base entry."""
     out = []
@@ -108,10 +143,10 @@ def report_history(docs: DataFrame) -> DataFrame:
     return rows.select("report", F.col("scan_metadata.target_path").alias("target"), F.col("scan_metadata.scan_duration_seconds").alias("seconds"), F.size(F.coalesce("findings", F.array())).alias("findings"), F.size(F.array_distinct(F.coalesce("findings.file", F.array().cast("array<string>")))).alias("files"), F.col("scan_metadata.total_cost").alias("cost"))
 
 
-def labelled_functions(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, code, vulnerable) of JSON lines with func or code and target or label; broken lines are dropped."""
+def labelled_functions(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """(idx, code, vulnerable) of JSON lines with func or code and target or label, ``limit`` of them if given; broken lines are dropped."""
     raw = spark.read.schema("idx long, func string, code string, target int, label int").option("mode", "DROPMALFORMED").json(path)
-    return raw.select("idx", F.coalesce("func", "code").alias("code"), (F.coalesce("target", "label") == 1).alias("vulnerable")).where("code IS NOT NULL")
+    return raw.select("idx", F.coalesce("func", "code").alias("code"), (F.coalesce("target", "label") == 1).alias("vulnerable")).where("code IS NOT NULL").limit(limit if limit is not None else (1 << 31) - 1)
 
 
 def sarif(spark: SparkSession, path: str) -> DataFrame:

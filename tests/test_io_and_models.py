@@ -35,7 +35,7 @@ class Flaky:
         if "down" in prompt or "once" in prompt and self.n % 2:
             raise OSError("no line")
         good = {"type": "xss", "severity": "high", "confidence": 1, "line": 3, "quote": "q", "message": "m", "recommendation": ""}
-        return {"bad": '{"findings": [{"type": "other"}]}', "fence": "so:\n```json\n" + json.dumps({"findings": [good]}) + "\n```", "none": "{}"}.get(prompt, json.dumps({"findings": [good]}))
+        return {"bad": '{"findings": [{"type": "other"}]}', "fence": "so:\n```json\n" + json.dumps({"findings": [good]}) + "\n```", "none": "{}"}.get(prompt.rpartition("\n")[2], json.dumps({"findings": [good]}))
 
 
 def test_analyze(spark):
