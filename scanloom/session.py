@@ -67,6 +67,22 @@ def fixed_side(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -
     return F.broadcast(df) if size["n"] <= max_rows and size["b"] <= max_bytes else df
 
 
+def once(df: DataFrame, key: str, most: int = 2_000_000) -> DataFrame:
+    """``df`` with one row a key (a null is a key), for tables of which few rows come again: only these are shuffled.
+
+    Keys that come twice are found on the key alone and broadcast if they are measured to be few; all other rows stay
+    where they are.  Where many come again, all rows are shuffled by key.
+    """
+    from pyspark.sql import functions as F
+
+    again = settle(df.groupBy(F.col(key).alias("__again")).agg(F.count("*").alias("n")).where("n > 1").select("__again"))
+    side = fixed_side(again, most)
+    if side is again:
+        return df.dropDuplicates([key])
+    same = F.col(key).eqNullSafe(F.col("__again"))
+    return df.join(side, same, "left_anti").unionByName(df.join(side, same, "left_semi").dropDuplicates([key]))
+
+
 _SHIPPED = "scanloom.shipped"
 #: Rows of an Arrow batch, where the session has Spark's default: texts are long, and a worker holds a batch at once.
 BATCH_ROWS = "2000"

@@ -84,3 +84,12 @@ def test_functions_of_languages():
     assert [n for n, *_ in chunking.functions_of(js, "javascript")] == ["f", "g", "m"]
     assert [n for n, *_ in chunking.functions_of("int f(void) { /* } */ return 1; }\nstatic int g(int a) {\n}\n", "c")] == ["f", "g"]
     assert chunking.functions_of("def f(:\n", "python") == [] and chunking.functions_of("int f() {", "c") == [] and chunking.functions_of("", "java") == []
+
+
+def test_once_moves_only_what_comes_again(spark):
+    from scanloom.session import once
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (1, "a"), (None, "c"), (3, "d"), (None, "c")], "k long, t string")
+    for most in (10, 0):
+        assert sorted(rows(once(df, "k", most)), key=repr) == sorted([(1, "a"), (2, "b"), (3, "d"), (None, "c")], key=repr)
+    assert once(df.limit(0), "k").count() == 0
