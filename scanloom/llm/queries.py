@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scanloom.llm import bpe, leakage, lookalike, provenance, secrets, split, survivor
 from scanloom.llm.syntax import check as syntax
-from scanloom.session import table
+from scanloom.session import once, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return secrets.scan_sources(table(spark, d, "chunks"), "chunk_key", "file_path", "source").dropDuplicates(["chunk_key"])
+    return secrets.scan_sources(once(table(spark, d, "chunks").select("chunk_key", "file_path", "source"), "chunk_key"), "chunk_key", "file_path", "source")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,8 +27,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
-    pieces = split.split_oversized(table(spark, d, "chunks"), "chunk_key", "source", "start_line")
-    return pieces.dropDuplicates(["chunk_key", "piece"])
+    return split.split_oversized(once(table(spark, d, "chunks").select("chunk_key", "source", "start_line"), "chunk_key"), "chunk_key", "source", "start_line")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
