@@ -73,7 +73,7 @@ _PASSWORD_NAME = re.compile(r"passw(?:or)?[dt]|passphrase|(?:^|[a-z])pass$|^pass
 _TOKEN_NAME = re.compile(r"token$|jwt$")
 
 _BEFORE = re.compile(
-    r"""(?:(?P<call>[A-Za-z_][\w.]*)\s*\(\s*(?:[A-Za-z_]\w*\s*,\s*)?(?:["'](?P<arg>[^"'\n]+)["']\s*,\s*)?
+    r"""(?:(?P<call>[A-Za-z_][\w.]*)\s*\(\s*(?P<first>[A-Za-z_]\w*\s*,\s*)?(?:["'](?P<arg>[^"'\n]+)["']\s*,\s*)?
         |["'](?P<key>[\w .-]+)["']\s*(?P<colon>[:,])\s*|(?P<name>[A-Za-z_][\w-]*)\s*(?::\s*[\w<>\[\]|. ]+?)?\s*=\s*(?:[^;\n"'`]*?(?:\|\||\?\?|\bor\b)\s*)?
         |(?P<prop>[A-Za-z_][\w-]*)\s*:\s*)(?:[A-Za-z_:]+\()?$""",
     re.X,
@@ -87,6 +87,9 @@ _NAMED_PASSWORD = re.compile(r"^[A-Z][a-z]+[^A-Za-z0-9\s]?[A-Z][a-z]+\d{2,6}[^A-
 
 # Parts of every name that promises a credential, see the names above.
 _STEM = re.compile(r"pass|pwd|secret|token|key|jwt|salt|kennwort|clave|contrase|senha|parola|login|logon|signin|authenticate|connectas|aws|s3", re.I)
+# Calls whose first argument says who comes in.
+_LOGIN = re.compile(r"(?:login|logon|signin|authenticate|connectas)$")
+_NEXT_TEXT = re.compile(r"\s*,\s*[\"'`]")
 _WEAK_NAME = re.compile(r"(?:password|passwd|pwd|passphrase|passwort|kennwort)$")
 _WEAK = re.compile(r"[A-Za-z]{6,}\d*[!?.]?")
 # Words that describe a password's field.
@@ -231,7 +234,7 @@ class Finder:
                 out.append((m.start("v"), m.start("v") + len(value), kind))
         return out
 
-    def literal(self, v: str, before: str, quick: bool = True) -> list[tuple[int, int, str]]:
+    def literal(self, v: str, before: str, quick: bool = True, behind: str = "") -> list[tuple[int, int, str]]:
         found = self.formats(v) if quick else []
         if "\n" in v:
             found += [x for x in self.settings(v) if not any(x[0] < y and z < x[1] for z, y, _ in found)]
@@ -244,7 +247,9 @@ class Finder:
         a = v.index(t) if t else 0
         kind = None
         if m:
-            kind = self.by_name(m["call"].rsplit(".", 1)[-1]) if m["call"] else None
+            call = m["call"].rsplit(".", 1)[-1] if m["call"] else ""
+            names = call and not (m["arg"] or m["first"]) and (_LOGIN.search(re.sub(r"[^a-z]", "", call.lower())) or _NEXT_TEXT.match(behind))
+            kind = self.by_name(call) if call and not names else None  # a user or service comes before its credential
             kind = kind or self.by_name(m["arg"] or m["key"] or m["name"] or m["prop"])
             if kind == "":
                 return []
@@ -295,7 +300,7 @@ class Finder:
             for a, b in group:
                 starts.append(at)
                 at += b - a
-            for x, y, kind in self.literal(text, lead, hinted):
+            for x, y, kind in self.literal(text, lead, hinted, source[last_end : last_end + 40]):
                 spans = []
                 for k in range(max(0, bisect_right(starts, x) - 1), len(group)):
                     if starts[k] >= y:
