@@ -248,7 +248,7 @@ class Finder:
         kind = None
         if m:
             call = m["call"].rsplit(".", 1)[-1] if m["call"] else ""
-            names = call and not (m["arg"] or m["first"]) and (_LOGIN.search(re.sub(r"[^a-z]", "", call.lower())) or _NEXT_TEXT.match(behind))
+            names = call and not m["arg"] and (_NEXT_TEXT.match(behind) or not m["first"] and _LOGIN.search(re.sub(r"[^a-z]", "", call.lower())))
             kind = self.by_name(call) if call and not names else None  # a user or service comes before its credential
             kind = kind or self.by_name(m["arg"] or m["key"] or m["name"] or m["prop"])
             if kind == "":
