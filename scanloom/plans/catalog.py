@@ -630,7 +630,12 @@ def redaction_counts(spark, d):
     return redaction.counts(redaction.redact(chunks(spark, d), "chunk_key", "language", "source", "start_line"))
 
 
-@query()
+_RULES = " UNION ALL ".join(
+    f"SELECT '{k}' AS type, count(*) AS findings FROM l WHERE native = {str(k in analysis.NATIVE_TYPES).lower()} AND regexp_matches(t, '{sign}') HAVING count(*) > 0" for k, sign in analysis.RuleAnalyzer.SIGNS.items()
+)
+
+
+@query(f"WITH {_CHUNKS}, l AS (SELECT coalesce(language IN ('c', 'cpp'), false) AS native, unnest(string_split(source, chr(10))) AS t FROM ch WHERE start_line IS NOT NULL) {_RULES}")
 def rule_analysis(spark, d):
     c = chunks(spark, d)
     work = analysis.work_items(c, "chunk_key", "language", per_language=True).join(c.select("chunk_key", tx.numbered(F.col("source"), F.col("start_line")).alias("n")), "chunk_key")
