@@ -24,8 +24,8 @@ API, AWS, PASSWORD, JWT, CONNECTION, BEARER, PRIVATE, SECRET = TYPES = ("api_key
 UNNATURAL = 2.6
 #: A string without a telling name or format is data rather than a credential from this length on.
 UNNAMED_CHARS = 512
-#: Characters before a value in which its name is looked for, as far as the literal before the last one.
-CONTEXT = 1000
+#: Characters and lines before a value in which its name is looked for: its statement, as far as the literal before the last one.
+CONTEXT, CONTEXT_LINES = 1000, 4
 
 # literals and comments of the languages; a literal may follow another, with or without + between
 _STRING = r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|"(?:[^"\\\n]|\\[\s\S])*"|\'(?:[^\'\\\n]|\\[\s\S])*\'|`(?:[^`\\]|\\[\s\S])*`'
@@ -86,7 +86,7 @@ _SENTENCE = frozenset("a an and are as at be by can cannot do for from has have
 _NAMED_PASSWORD = re.compile(r"^[A-Z][a-z]+[^A-Za-z0-9\s]?[A-Z][a-z]+\d{2,6}[^A-Za-z0-9\s]?$|^[a-z]{3,6}\d{2,4}[^A-Za-z0-9\s][A-Za-z0-9]{4,8}$")
 
 # Parts of every name that promises a credential, see the names above.
-_STEM = re.compile(r"pass|pwd|secret|token|key|jwt|salt|kennwort|clave|contrase|senha|parola|login|logon|signin|authenticate|connectas|aws|s3", re.I)
+STEMS = ("key", "token", "pass", "secret", "pwd", "login", "salt", "aws", "s3", "jwt", "kennwort", "clave", "contrase", "senha", "parola", "logon", "signin", "authenticate", "connectas")
 # Calls whose first argument says who comes in.
 _LOGIN = re.compile(r"(?:login|logon|signin|authenticate|connectas)$")
 _NEXT_TEXT = re.compile(r"\s*,\s*[\"'`]")
@@ -96,6 +96,12 @@ _WEAK = re.compile(r"[A-Za-z]{6,}\d*[!?.]?")
 _NO_WEAK = frozenset("string text required optional hidden visible invalid missing forgot forgotten current confirm confirmation repeat strong change reset hashed encrypted plaintext varchar unset undefined boolean number object".split())
 
 
+def stem(text: str) -> bool:
+    """Whether a text holds a part of a credential's name."""
+    low = text.lower()
+    return any(x in low for x in STEMS)
+
+
 class Finder:
     """Finds credentials with one vocabulary."""
 
@@ -196,7 +202,7 @@ class Finder:
     def weak(v: str, name: str) -> bool:
         """Whether a word is a password because it is assigned to a password's name: no label, no word for the field."""
         flat = v.lower().rstrip("!?.0123456789")
-        return bool(_WEAK_NAME.search(re.sub(r"[^a-z]", "", name.lower())) and _WEAK.fullmatch(v)) and not (_PLACEHOLDER.search(v) or _FIELD_NAME.match(v) or _STEM.search(v) or flat in _NO_WEAK)
+        return bool(_WEAK_NAME.search(re.sub(r"[^a-z]", "", name.lower())) and _WEAK.fullmatch(v)) and not (_PLACEHOLDER.search(v) or _FIELD_NAME.match(v) or stem(v) or flat in _NO_WEAK)
 
     # texts
     def formats(self, v: str) -> list[tuple[int, int, str]]:
@@ -241,7 +247,7 @@ class Finder:
         if found:
             return found
         t = v.strip()
-        if len(t) < 6 or " " in t and not _FOUR_WORDS.match(t) or not (_STEM.search(before) or quick and self.plausible(t)):
+        if len(t) < 6 or " " in t and not _FOUR_WORDS.match(t) or not (stem(before) or quick and self.plausible(t)):
             return []
         m = _BEFORE.search(before)
         a = v.index(t) if t else 0
@@ -291,8 +297,15 @@ class Finder:
             if len(text) < 6:
                 return
             first, hinted = group[0][0], bool(quick(text))
+            if not hinted and " " in text:
+                return
             lead = source[max(0, first - 1 - CONTEXT, ends[-2]) : first].rstrip("\"'`")
-            if not hinted and (not _STEM.search(lead) or " " in text):
+            at = len(lead)
+            for _ in range(CONTEXT_LINES):
+                if (at := lead.rfind("\n", 0, at)) < 0:
+                    break
+            lead = lead[max(at, lead.rfind(";")) + 1 :]
+            if not hinted and not stem(lead):
                 return
             if lead[-1:] in "fFrRbBuUL" and (len(lead) < 2 or not (lead[-2].isalnum() or lead[-2] == "_")):
                 lead = lead[:-1]
