@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scanloom.llm.syntax.core import Undecided
 from scanloom.llm.syntax.java import Java
 from scanloom.llm.syntax.native import Native
 from scanloom.llm.syntax.script import Script, Typed
@@ -47,8 +48,10 @@ class Python:
             try:
                 compile(text, "", "exec", dont_inherit=True)
                 return True
-            except (SyntaxError, ValueError, RecursionError, MemoryError):
+            except (SyntaxError, ValueError):
                 return False
+            except (RecursionError, MemoryError) as e:
+                raise Undecided from e
 
 
 @lru_cache(maxsize=None)
@@ -57,10 +60,20 @@ def grammar(language: str):
     return {"python": Python, "javascript": Script, "typescript": Typed, "java": Java, "c": lambda: Native(False), "cpp": lambda: Native(True)}[language]()
 
 
-def parses(text: str | None, language: str, lender: object = None) -> bool:
-    """Whether a text is valid in a language; nothing, blanks and comments are.  ``lender``: see Grammar.parses."""
+def parses(text: str | None, language: str, lender: object = None) -> bool | None:
+    """Whether a text is valid in a language; nothing, blanks and comments are; None where the interpreter's depth does not suffice to tell.
+
+    ``lender``: see Grammar.parses.
+    """
     if not text or text.isspace():
         return True
+    try:
+        return _parses(text, language, lender)
+    except Undecided:
+        return None
+
+
+def _parses(text: str, language: str, lender: object) -> bool:
     return grammar(language).parses(text[1:] if text[0] == "﻿" else text, lender)
 
 
@@ -71,15 +84,26 @@ def ranked(text: str) -> list[str]:
     return sorted(LANGUAGES, key=lambda k: -score[k])
 
 
+def asked(text: str | None) -> dict[str, bool | None]:
+    """What each language's grammar says of a text, the likeliest language by its tokens first."""
+    return {k: parses(text, k, grammar("javascript")) for k in (ranked(text) if text else LANGUAGES)}
+
+
 def readers(text: str | None) -> list[str]:
     """All languages whose grammars read a text, the likeliest by its tokens first."""
-    return [k for k in (ranked(text) if text else LANGUAGES) if parses(text, k, grammar("javascript"))]
+    return [k for k, ok in asked(text).items() if ok]
 
 
-def verdict(text: str | None, language: str) -> tuple[bool, str | None, list[str]]:
-    """(valid, the language it counts as, all that read it): its own if that reads it, else the likeliest other, else none."""
-    found = readers(text)
-    return language in found, language if language in found else next(iter(found), None), found
+def verdict(text: str | None, language: str) -> tuple[bool | None, str | None, list[str]]:
+    """(valid, the language it counts as, all that read it): its own if that reads it, else the likeliest other, else none.
+
+    A text that is too deep for its own grammar is not judged: null, and no language.
+    """
+    said = asked(text)
+    found = [k for k, ok in said.items() if ok]
+    if said[language] is None:
+        return None, None, found
+    return said[language], language if said[language] else next(iter(found), None), found
 
 
 def language_of(path: Column) -> Column:
@@ -91,7 +115,8 @@ def language_of(path: Column) -> Column:
 def check_syntax(df: DataFrame, id_col: str, path_col: str, text_col: str, invalid_only: bool = False) -> DataFrame:
     """(id, language, valid, parses_as, read_by, verdict) of every row; a map without a shuffle.
 
-    ``read_by`` lists every language whose grammar reads the text; ``verdict`` is valid, wrong extension or corrupt.
+    ``read_by`` lists every language whose grammar reads the text; ``verdict`` is valid, wrong extension, corrupt or, for
+    rules nested deeper than the interpreter allows, not judged (then ``valid`` is null).
     Rows whose path is null or has another extension get null in all these columns, null and empty contents are valid, repeated rows stay repeated, other columns aren't read.
     ``invalid_only`` keeps the failing rows.
     """
@@ -111,7 +136,7 @@ def check_syntax(df: DataFrame, id_col: str, path_col: str, text_col: str, inval
                 valid.append(ok)
                 reads.append(other)
                 all_.append(found)
-                said.append(None if ok is None else "valid" if ok else "wrong extension" if other else "corrupt")
+                said.append(None if lang is None else "not judged" if ok is None else "valid" if ok else "wrong extension" if other else "corrupt")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(keep, pa.int64())), pa.array(langs, pa.string()), pa.array(valid, pa.bool_()), pa.array(reads, pa.string()), pa.array(all_, pa.list_(pa.string())), pa.array(said, pa.string())],
                 names=[id_col, "language", "valid", "parses_as", "read_by", "verdict"],

@@ -1,8 +1,8 @@
 """Bracket-wise parsing with shared results.
 
-A text is brought to one character per token, comments and layout gone.  Then innermost bracket groups are
-judged and each is replaced by one character that says what it may be (an argument list, a block, a type ...),
-until none is left; what remains is judged as the whole file.  A group or a statement has a short flat form, and
+A text is brought to one character per token, comments and layout gone.  Then bracket groups are judged from the
+inside, in one pass with a stack, and each is replaced by one character that says what it may be (an argument list, a
+block, a type ...); what remains is judged as the whole file.  A group or a statement has a short flat form, and
 equal forms occur in many files, so that each form goes through the recursive-descent grammar once per worker.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-GROUP = re.compile(r"[(\[{][^()\[\]{}]*[)\]}]")
+BRACKET = re.compile(r"[()\[\]{}]")
 BASE = 0xE000
 KINDS = {"(": 0, "[": 1, "{": 2}
 CLOSE = {"(": ")", "[": "]", "{": "}"}
@@ -19,8 +19,6 @@ ENDS = re.compile(f"[;{CURLY}]")
 ENDS_NL = re.compile(f"[;\n{CURLY}]")
 #: Forms kept per worker and grammar; beyond it the table is emptied.
 FORMS = 400_000
-#: Brackets nested deeper than this are refused, as compilers do.
-DEEPEST = 1000
 #: Longer groups aren't kept, for they hardly come again.
 LONGEST_FORM = 400
 
@@ -43,6 +41,10 @@ class Bad(Exception):
     """The text does not parse."""
 
 
+class Undecided(Exception):
+    """A rule went deeper than the interpreter allows; the text may be valid or not."""
+
+
 class Flat:
     """A cursor over a flat token string; grammars derive from it."""
 
@@ -146,8 +148,15 @@ class Split:
             self.text, self.between, self.tokens = text, parts[:: self.step], parts[1 :: self.step]
             self.distinct = set(self.tokens)
             self.loose = "".join(self.between)
+            rest = [t for t in self.distinct if not t[0].isalpha()]
+            first = {t[0] for t in rest}
             # names and texts are never refused, only numbers and what stands between
-            self.telling = {t for t in self.distinct if not (t[0].isalpha() or t[0] in "_$\"'/")}
+            self.telling = {t for t in rest if t[0] not in "_$\"'/"}
+            self.single = [t for t in rest if t[0] == "'"]
+            self.template, self.dollar, self.hashed = "`" in first, "$" in first, any("#" in t for t in self.telling)
+            self.broken = any("\n" in t for t in rest if t[0] == '"')
+            # what other languages may cut in another way: regular expressions and hexadecimal fractions
+            self.apart = any("/" in t and t[:2] not in ("//", "/*") for t in rest if t[0] in " \t/") or any(t[0] == "0" and t[-1] in "pP" for t in self.telling)
         return self
 
 
@@ -270,8 +279,30 @@ class Grammar:
         return s
 
     # groups
-    def _reduce(self, m: re.Match) -> str:
-        s = m.group()
+    def reduced(self, s: str) -> str:
+        """The text with a character for each outermost bracket group, however deep it is nested."""
+        stack: list[tuple[str, list[str]]] = []
+        parts: list[str] = []
+        at = 0
+        for m in BRACKET.finditer(s):
+            i, c = m.start(), m.group()
+            parts.append(s[at:i])
+            at = i + 1
+            if c in KINDS:
+                stack.append((c, parts))
+                parts = []
+            else:
+                if not stack:
+                    raise Bad
+                opened, outer = stack.pop()
+                outer.append(self._reduce(f"{opened}{''.join(parts)}{c}"))
+                parts = outer
+        if stack:
+            raise Bad
+        parts.append(s[at:])
+        return "".join(parts)
+
+    def _reduce(self, s: str) -> str:
         got = self.forms.get(s)
         if got is None:
             if CLOSE[s[0]] != s[-1]:
@@ -293,19 +324,12 @@ class Grammar:
         ``lender``: a grammar that has cut the text, for those that cut most texts alike.
         """
         try:
-            s = self.flat(text, lender)
-            for _ in range(DEEPEST):
-                s, n = GROUP.subn(self._reduce, s)
-                if not n:
-                    break
-            else:
-                return False
-            if any(c in s for c in "()[]{}"):
-                return False
-            self.file(s)
+            self.file(self.reduced(self.flat(text, lender)))
             return True
-        except (Bad, RecursionError):
+        except Bad:
             return False
+        except RecursionError as e:
+            raise Undecided from e
 
     # shared judgements
     def judged(self, name: str, s: str, rule) -> object:

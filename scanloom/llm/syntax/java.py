@@ -579,12 +579,10 @@ class Java(Grammar):
     def lent(self, cut: Split, text: str) -> bool | None:
         if '"""' in text:
             return False
-        for t in cut.distinct:
-            c = t[0]
-            if c == "`" or c == "'" and not self._char.fullmatch(t) or c == '"' and "\n" in t:
-                return None
-            if c in " \t/" and "/" in t and t[:2] not in ("//", "/*") or c == "0" and t[-1] in "pP":
-                return False
+        if cut.template or cut.broken or not all(map(self._char.fullmatch, cut.single)):
+            return None
+        if cut.apart:
+            return False
         return None if "`" in cut.loose or "'" in cut.loose or '"' in cut.loose else True
 
     def classify(self, kind: int, s: str) -> int:

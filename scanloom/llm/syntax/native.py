@@ -755,22 +755,18 @@ class Native(Grammar):
     def lent(self, cut: Split, text: str) -> bool | None:
         if self._apart.search(text):
             return False
-        fits: bool | None = True
-        for t in cut.distinct:
-            c = t[0]
-            if c in "`$" or c == "'" and not self._char.fullmatch(t):
-                return None
-            if c in " \t/" and "/" in t and t[:2] not in ("//", "/*") or c == "0" and t[-1] in "pP":
-                return False
-            if c not in "\"'/" and "#" in t:
-                fits = False
-        if fits is False:  # a directive needs this language's cut, unless none of C begins so
+        if cut.template or cut.dollar or not all(map(self._char.fullmatch, cut.single)):
+            return None
+        if cut.apart:
+            return False
+        if cut.hashed:  # a directive needs this language's cut, unless none of C begins so
             for k, t in enumerate(cut.tokens):
                 if "#" in t and t[0] not in "\"'/":
                     tail, nxt = t[t.rindex("#") + 1 :], cut.tokens[k + 1] if k + 1 < len(cut.tokens) else ""
                     if "\n" not in tail and nxt and not cut.between[k + 1] and (tail.strip(" \t") or nxt not in self.directives and not nxt[0].isdigit()):
                         return None
-        return fits
+            return False
+        return True
 
     def other(self, s: str) -> str:
         directive = s.lstrip(" \t")

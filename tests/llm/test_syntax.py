@@ -80,3 +80,16 @@ def test_python_that_only_the_compiler_refuses_and_ranks_of_whole_texts():
     assert check.parses("def f(a):\n    for x in a:\n        break\n    return a\n", "python")
     text = "const a = 1;\n" + "a = 1;\n" * 4000 + "interface A { b: string; c: number; d: boolean; readonly e: any; }\n" * 20
     assert check.ranked(text)[0] == "typescript"
+
+
+def test_depth_is_no_verdict():
+    assert check.parses("x = " + "[" * 3000 + "]" * 3000, "javascript") and check.parses("x = " + "(" * 1500 + "1" + ")" * 1500 + ";", "javascript")
+    assert check.parses("int f() { " + "{" * 2000 + "}" * 2000 + " }", "c") and not check.parses("int f() { " + "{" * 2000 + "}" * 1999 + " }", "c")
+    chain = "x = " + "-" * 100_000 + "1"
+    assert check.parses(chain, "python") is None and check.verdict(chain, "python")[:2] == (None, None)
+
+
+def test_unjudged_files_are_no_broken_ones(spark):
+    df = spark.createDataFrame([(1, "a.py", "x = " + "-" * 100_000 + "1"), (2, "a.py", "x = (")], "file_id long, path string, content string")
+    assert rows(check.check_syntax(df, "file_id", "path", "content").select("file_id", "valid", "verdict")) == [(1, None, "not judged"), (2, False, "corrupt")]
+    assert rows(check.check_syntax(df, "file_id", "path", "content", invalid_only=True).select("file_id")) == [(2,)]
