@@ -103,14 +103,15 @@ def _tail(text: str) -> str:
 def periodic(lines: list[str]) -> float:
     """Share of lines in stretches where statements of one form come again and again in one order, three times at least.
 
-    A line's form is what is left without names, numbers and blanks; a stretch of equal forms has no order, and in one
-    that repeats its very lines nothing is filled in.
+    A line's form is what is left without names, numbers and blanks; a stretch of equal forms has no order, in one that
+    repeats its very lines nothing is filled in, and one without a bracket is a list of settings.
     """
     n = len(lines)
     if n < 6:
         return 0.0
     names: dict[str, int] = {}
     form = np.array([names.setdefault(x, len(names)) for x in "\n".join(lines).translate(_NAMES).split("\n")])
+    bracket = np.array(["(" in x for x in names])[form]
     covered = np.zeros(n, bool)
     for p in range(2, min(PERIOD, n // 3) + 1):
         same = form[:-p] == form[p:]
@@ -118,7 +119,7 @@ def periodic(lines: list[str]) -> float:
             continue
         edges = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            if b - a >= 2 * p and (form[a : a + p] != form[a]).any() and 2 * len(set(lines[a : b + p])) > b - a + p:
+            if b - a >= 2 * p and (form[a : a + p] != form[a]).any() and bracket[a : a + p].any() and 2 * len(set(lines[a : b + p])) > b - a + p:
                 covered[a : b + p] = True
     return float(covered.mean())
 

@@ -128,6 +128,8 @@ class Finder:
         """Whether a value can be a credential of the type its name promises."""
         if len(v) < 6 or _PLACEHOLDER.search(v) or _FIELD_NAME.match(v) or "://" in v:
             return False
+        if v.isalpha() and (v.isupper() or v.islower()) and stem(v):  # the name of a variable
+            return False
         if kind == PASSWORD:
             if _FOUR_WORDS.match(v):
                 return not _SENTENCE & set(re.split("[ -]", v))

@@ -60,7 +60,7 @@ def test_structure_tells_whatever_the_names():
     pairs = "".join(f'"key_{chr(97 + k % 26)}{k}": {k % 7},\n' for k in range(60))
     assert provenance.evidence("a.py", fetch)[0][provenance.GENERATED] == 7.0
     assert provenance.evidence("a.js", pairs)[0][provenance.BLOB] == 9.0 and provenance.evidence("a.js", "[1, 2, 3, 4, 5, 6, 7, 8, 9]")[0][provenance.BLOB] == 9.0
-    assert provenance.periodic(HAND.split("\n")) < 0.3 and provenance.periodic(["x = 1"] * 40) == 0.0 and provenance.periodic([]) == 0.0
+    assert provenance.periodic(HAND.split("\n")) < 0.3 and provenance.periodic(["x = 1"] * 40) == 0.0 and provenance.periodic([x for k in range(9) for x in (f'name_{k} = "a"', f"size_{k} = {k}")]) == 0.0 and provenance.periodic([]) == 0.0
     assert len(provenance.line_digests(None)) == 0 and len(provenance.line_digests(LIBRARY)) == 36 and len(provenance.line_digests("# note\nreturn find_the_first(value, other)\n")) == 1
 
 

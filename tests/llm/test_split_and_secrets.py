@@ -144,7 +144,7 @@ def test_long_weak_and_unquoted_credentials():
     assert kinds(f'const client_secret ={far}"{noise(30)}";') == ["api_key"]
     for word in ("sunshine", "Winter2024", "correcthorsebattery", "fBmHfJwPFh"):
         assert kinds(f'password = "{word}"') == ["password"], word
-    for hidden in ('password = "required"', 'password_label = "sunshine"', 'login("sunshine")', 'password = "password"', '("user_password", "retries")', 'kennwort = "KENNWORT"'):
+    for hidden in ('password = "required"', 'password_label = "sunshine"', 'login("sunshine")', 'password = "password"', '("user_password", "retries")', 'kennwort = "KENNWORT"', 'std::string passphrase = getenv_or("PASSPHRASE", "changeme")'):
         assert kinds(hidden) == [], hidden
     login = "client.authenticate(\"svc_report\", \"7hG!x92kQ\");"
     assert [login[a:b] for _, spans in finder.find(login) for a, b in spans] == ["7hG!x92kQ"] and kinds('client.withToken("svc_permit_zone_b1", "x")') == []
