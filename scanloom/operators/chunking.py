@@ -63,6 +63,27 @@ def split_chunks(df: DataFrame, id_col: str, text_col: str, start_col: str, name
     )
 
 
+def assembled(functions: DataFrame, files: DataFrame, file: str, language: str, text: str, max_tokens: int = 600) -> DataFrame:
+    """(file, language, function_name, start_line, end_line, source, tokens, id, suppressed_lines): whole chunk rows.
+
+    ``functions``: file, language, function_name, start_line, source; ``files``: file, language, text, one row each.
+    Oversized functions come in parts.  A function's id is the digest of its normalized source, which equal functions
+    share; a part's is of its place too.  Directives are found once a file, gathered (they are few) and those of a chunk's
+    lines kept inside its row.  Null sources give nothing; files without directives give [].
+    """
+    from scanloom.functions import text as tx
+    from scanloom.operators.findings import suppressions
+
+    parts = split_chunks(functions.withColumn("key", F.struct(file, language)), "key", "source", "start_line", "function_name", max_tokens)
+    rows = parts.select(F.col(f"key.{file}").alias(file), F.col(f"key.{language}").alias(language), F.col("name").alias("function_name"), "start_line", "end_line", "source", F.coalesce(F.col("name").rlike("_part[0-9]+$"), F.lit(False)).alias("cut"))
+    said = suppressions(files, file, language, text).groupBy(file).agg(F.array_sort(F.collect_list(F.struct("line", "type", "justification", "applies_to", "source_line"))).alias("said"))
+    rows = rows.join(said, file, "left")
+    plain = tx.normalize_source(F.col("source"), F.col(language))
+    number = F.when(F.col("cut"), tx.part_id(F.col(file), F.col("start_line"), plain)).otherwise(tx.chunk_id(plain))
+    mine = F.coalesce(F.filter("said", lambda s: s["line"].between(F.col("start_line"), F.col("end_line"))), F.array().cast("array<struct<line:int,type:string,justification:string,applies_to:string,source_line:int>>"))
+    return rows.withColumns({"tokens": tx.tokens(F.col("source")), "id": number, "suppressed_lines": mine}).drop("said", "cut")
+
+
 def last_by_name(chunks: DataFrame, name_col: str, order: list[str]) -> DataFrame:
     """For each function name the chunk that comes last in ``order``; names collide across files."""
     rest = [c for c in chunks.columns if c != name_col]

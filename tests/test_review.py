@@ -201,3 +201,15 @@ def test_scan_with_everything(spark, tmp_path):
     assert meta["analysis"] == {"attempted_calls": 18, "failed_calls": 0} and meta["frameworks"] == ["flask"] and meta["judge"]["sites_contested"] == 1 and meta["judge"]["removed"] == 1 and meta["verify"]["confirmed"] == 2 and meta["line_snap"]["confirmed"] == 3 and meta["suppression"]["kept_findings"] == 2
     postings = readers.kept_postings(spark, kb, f"file://{tmp_path}/index")
     assert postings.count() > 0 and readers.kept_postings(spark, kb, f"file://{tmp_path}/index").count() == postings.count() and len(list((tmp_path / "index").iterdir())) == 1
+
+
+def test_chunks_are_assembled_with_their_directives(spark):
+    from scanloom.operators import chunking
+
+    text = "def f():\n    # tool:ignore-next-line xss\n    return 1\n\ndef g():\n    return 1\n"
+    files = spark.createDataFrame([("a.py", "python", text), ("b.py", "python", None)], "path string, language string, content string")
+    fs = chunking.function_chunks(files.select(F.struct("path", "language").alias("o"), "language", "content"), "o", "language", "content").select("o.*", "function_name", "start_line", "source")
+    big = spark.createDataFrame([("b.py", "python", "h", 1, "xxxx = 1234\n" * 400)], fs.schema)
+    got = {r["function_name"]: r for r in chunking.assembled(fs.union(big), files, "path", "language", "content").collect()}
+    assert set(got) == {"f", "g", "h_part1", "h_part2"} and [s["line"] for s in got["f"]["suppressed_lines"]] == [3] and got["g"]["suppressed_lines"] == []
+    assert got["f"]["id"] != got["g"]["id"] and got["h_part1"]["id"] != got["h_part2"]["id"] and got["h_part1"]["tokens"] > got["h_part2"]["tokens"] and got["f"]["end_line"] == 3
