@@ -4,13 +4,17 @@ A text is brought to one character per token, comments and layout gone.  Then br
 inside, in one pass with a stack, and each is replaced by one character that says what it may be (an argument list, a
 block, a type ...); what remains is judged as the whole file.  A group or a statement has a short flat form, and
 equal forms occur in many files, so that each form goes through the recursive-descent grammar once per worker.
+
+As any parser stops at the first error, a grammar that hardly reads a text first judges the text's first tokens in the
+same way, and ends there if no text of its language begins so.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import islice
 
-BRACKET = re.compile(r"[()\[\]{}]")
+BRACKET = re.compile(r"([()\[\]{}])")
 BASE = 0xE000
 KINDS = {"(": 0, "[": 1, "{": 2}
 CLOSE = {"(": ")", "[": "]", "{": "}"}
@@ -21,6 +25,8 @@ ENDS_NL = re.compile(f"[;\n{CURLY}]")
 FORMS = 400_000
 #: Longer groups aren't kept, for they hardly come again.
 LONGEST_FORM = 400
+#: Tokens after which a text is looked at for an error that stands already, before all of it is read.
+STARTS = (16, 48)
 
 _LINES = re.compile("\n+")
 _names: dict[str, str] = {}
@@ -77,6 +83,8 @@ class Flat:
         j = self.i + 1
         while j < self.n and self.s[j] == "\n":
             j += 1
+        if j > self.far:
+            self.far = j
         return self.s[j] if j < self.n else ""
 
     def take(self, chars: str) -> bool:
@@ -142,23 +150,24 @@ class Split:
         self.text: str | None = None
 
     def __call__(self, text: str) -> Split:
-        """Itself with the text's ``tokens``, what stands ``between`` them, the ``distinct`` ones, and those of them that can be refused."""
+        """Itself with the text's ``tokens`` and what stands ``between`` them."""
         if text != self.text:
             parts = self.pattern.split(text)
             self.text, self.between, self.tokens = text, parts[:: self.step], parts[1 :: self.step]
-            self.distinct = set(self.tokens)
             self.loose = "".join(self.between)
-            rest = [t for t in self.distinct if not t[0].isalpha()]
-            first = {t[0] for t in rest}
-            # names and texts are never refused, only numbers and what stands between
-            self.telling = {t for t in rest if t[0] not in "_$\"'/"}
-            self.single = [t for t in rest if t[0] == "'"]
-            self.template, self.dollar, self.hashed = "`" in first, "$" in first, any("#" in t for t in self.telling)
-            self.broken = any("\n" in t for t in rest if t[0] == '"')
-            # what other languages may cut in another way: regular expressions and hexadecimal fractions
-            self.apart = any("/" in t and t[:2] not in ("//", "/*") for t in rest if t[0] in " \t/") or any(t[0] == "0" and t[-1] in "pP" for t in self.telling)
         return self
 
+    def compared(self) -> None:
+        """What tells whether another language cuts the text alike."""
+        rest = [t for t in set(self.tokens) if not t[0].isalpha()]
+        telling = [t for t in rest if t[0] not in "_$\"'/"]
+        first = {t[0] for t in rest}
+        self.single = [t for t in rest if t[0] == "'"]
+        self.template, self.dollar, self.hashed = "`" in first, "$" in first, any("#" in t for t in telling)
+        self.broken = any("\n" in t for t in rest if t[0] == '"')
+        # what other languages may cut in another way: regular expressions and hexadecimal fractions
+        self.apart = any("/" in t and t[:2] not in ("//", "/*") for t in rest if t[0] in " \t/") or any(t[0] == "0" and t[-1] in "pP" for t in telling)
+
 
 _splits: dict[re.Pattern, Split] = {}
 
@@ -183,8 +192,6 @@ class Grammar:
         self.known: dict[tuple, object] = {}
         self.tokens = Tokens(self)
         self.cut = _splits.setdefault(self.lex, Split(self.lex))
-        self.legal: set[str] = set()
-        self.refused: set[str] = set()
 
     # tokens
     def token(self, s: str) -> str:
@@ -224,29 +231,9 @@ class Grammar:
         """Whether another language's cut of the text is this one's too; None where this language refuses the text anyway."""
         return False
 
-    def refuses(self, telling: set[str]) -> bool:
-        """Whether one of these tokens stands in no valid text."""
-        new = telling - self.legal
-        if not new:
-            return False
-        if not new.isdisjoint(self.refused):
-            return True
-        for t in new:
-            if self.keeps(t):
-                bad = self.illegal.search("".join(self.tokens[t].split()))
-                table = self.refused if bad else self.legal
-                if len(table) >= FORMS:
-                    table.clear()
-                table.add(t)
-                if bad:
-                    return True
-        return False
-
     def coded(self, text: str, cut: Split | None = None) -> tuple[str, bool]:
         """The text with a character for each token, and whether all its operators stand in tokens."""
         cut = cut or self.cut(text)
-        if self.refuses(cut.telling):
-            raise Bad
         codes = map(self.tokens.__getitem__, cut.tokens)
         if not cut.loose:
             return "".join(codes), True
@@ -258,13 +245,17 @@ class Grammar:
     def flat(self, text: str, lender: Grammar | None = None) -> str:
         text = text.replace("\r\n", "\n")
         cut = None
-        if lender is not None and lender is not self and not text.startswith("#!"):
-            cut = lender.cut(text)
+        if lender is not None and lender is not self and lender.cut.text == text and not text.startswith("#!"):
+            cut = lender.cut
+            cut.compared()
             fits = self.lent(cut, text)
             if fits is None:
                 raise Bad
             cut = cut if fits else None
-        s, joined = self.coded(text, cut)
+        return self.settled(*self.coded(text, cut))
+
+    def settled(self, s: str, joined: bool) -> str:
+        """Operators joined, blanks gone; refused if a character remains that no valid text has."""
         if not joined:
             for a, b in self.joins:
                 s = s.replace(a, b)
@@ -278,52 +269,87 @@ class Grammar:
             raise Bad
         return s
 
+    def started(self, text: str, count: int) -> tuple[str, int]:
+        """The flat form of a text's first tokens and where it ends in the text; nothing if these are all."""
+        found = list(islice(self.lex.finditer(text), count))
+        if len(found) < count:
+            return "", 0
+        tokens = [m[0] for m in found]
+        end = found[-1].end()
+        if sum(map(len, tokens)) == end:
+            return self.settled("".join(map(self.tokens.__getitem__, tokens)), True), end
+        while tokens and not tokens[-1][0].isalpha():  # what follows may be joined with operators, but not with a name
+            tokens.pop()
+        out, at = [], 0
+        for m, t in zip(found, tokens):
+            out += text[at : m.start()], self.tokens[t]
+            at = m.end()
+        return self.settled("".join(out), False), at
+
+    def refuted(self, text: str) -> int:
+        """Where a text's beginning ends with which no text of this language can begin, 0 if none is found.
+
+        Tokens, groups and statements are judged as in the whole text; what the cut leaves open is held to be right.
+        """
+        for count in STARTS:
+            try:
+                self.reach = len(text)
+                s, self.reach = self.started(text, count)
+                if not self.reach:
+                    return 0
+                self.file(self.reduced(s, whole=False), whole=False)
+            except Bad:
+                return self.reach
+            except RecursionError:
+                return 0
+        return 0
+
     # groups
-    def reduced(self, s: str) -> str:
-        """The text with a character for each outermost bracket group, however deep it is nested."""
-        stack: list[tuple[str, list[str]]] = []
-        parts: list[str] = []
-        at = 0
-        for m in BRACKET.finditer(s):
-            i, c = m.start(), m.group()
-            parts.append(s[at:i])
-            at = i + 1
+    def reduced(self, s: str, whole: bool = True) -> str:
+        """The text with a character for each outermost bracket group, however deep it is nested; if it isn't ``whole``, up to the first group that is open."""
+        pieces = BRACKET.split(s)
+        out = pieces[:1]  # what no group has taken yet: texts, open brackets and the characters of groups
+        opened: list[int] = []
+        known = self.forms.get
+        for c, after in zip(pieces[1::2], pieces[2::2]):
             if c in KINDS:
-                stack.append((c, parts))
-                parts = []
+                opened.append(len(out))
+                out += c, after
             else:
-                if not stack:
+                if not opened:
                     raise Bad
-                opened, outer = stack.pop()
-                outer.append(self._reduce(f"{opened}{''.join(parts)}{c}"))
-                parts = outer
-        if stack:
-            raise Bad
-        parts.append(s[at:])
-        return "".join(parts)
+                k = opened.pop()
+                form = "".join(out[k:]) + c
+                out[k:] = known(form) or self._reduce(form), after
+        if opened:
+            if whole:
+                raise Bad
+            del out[opened[0] :]
+        return "".join(out)
 
     def _reduce(self, s: str) -> str:
-        got = self.forms.get(s)
-        if got is None:
-            if CLOSE[s[0]] != s[-1]:
-                raise Bad
-            kind = KINDS[s[0]]
-            roles = self.classify(kind, s[1:-1])
-            if not roles:
-                raise Bad
-            got = chr(BASE + (kind << 9) + roles)
-            if len(s) <= LONGEST_FORM:
-                if len(self.forms) >= FORMS:
-                    self.forms.clear()
-                self.forms[s] = got
+        if CLOSE[s[0]] != s[-1]:
+            raise Bad
+        kind = KINDS[s[0]]
+        roles = self.classify(kind, s[1:-1])
+        if not roles:
+            raise Bad
+        got = chr(BASE + (kind << 9) + roles)
+        if len(s) <= LONGEST_FORM:
+            if len(self.forms) >= FORMS:
+                self.forms.clear()
+            self.forms[s] = got
         return got
 
-    def parses(self, text: str, lender: Grammar | None = None) -> bool:
+    def parses(self, text: str, lender: Grammar | None = None, likely: bool = True) -> bool:
         """Whether the text is a file of this language; comments alone and the empty text are.
 
-        ``lender``: a grammar that has cut the text, for those that cut most texts alike.
+        ``lender``: a grammar that may have cut the text, for those that cut most texts alike.
+        ``likely``: False if an error is to be expected soon; the answer is the same.
         """
         try:
+            if not likely and self.refuted(text.replace("\r\n", "\n")):
+                return False
             self.file(self.reduced(self.flat(text, lender)))
             return True
         except Bad:
@@ -353,10 +379,11 @@ class Grammar:
         except Bad:
             return False
 
-    def series(self, s: str, name: str, cls, rule: str, ends: re.Pattern = ENDS, more: str = "", loop: str = "") -> bool:
+    def series(self, s: str, name: str, cls, rule: str, ends: re.Pattern = ENDS, more: str = "", loop: str = "", whole: bool = True) -> bool:
         """Whether ``s`` is a series of items, each ending with ; or a block (or, where lines matter, a line).
 
         ``more``: words that go on with the item before them; ``loop``: (do, while), where only a do takes the while.
+        If ``s`` isn't ``whole``, whether it can be the beginning of one.
         """
         i, n = 0, len(s)
 
@@ -369,7 +396,7 @@ class Grammar:
                     return 1 + p.open_end
             except Bad:
                 pass
-            return -1 if p.far < p.n - 3 else 0
+            return -1 if p.far < p.n else 0  # the end was not looked at
 
         while True:
             while i < n and s[i] == "\n":
@@ -384,6 +411,8 @@ class Grammar:
                 while k < n and s[k] == "\n":
                     k += 1
                 nxt = s[k] if k < n else ""
+                if not whole and not nxt:
+                    return self.judged(name, s[i:], judge) >= 0
                 if nxt and (nxt in more or loop and nxt == loop[1] and loop[0] in s[i:j]) and j < n:
                     if nxt in more or not self.judged(name, s[i:j], judge):
                         j = k + 1

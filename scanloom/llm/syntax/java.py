@@ -628,6 +628,6 @@ class Java(Grammar):
         roles |= BODY * self.series(s, "member", Cursor, "member")
         return roles
 
-    def file(self, s: str) -> None:
-        if not self.series(s, "unit", Cursor, "unit_item"):
+    def file(self, s: str, whole: bool = True) -> None:
+        if not self.series(s, "unit", Cursor, "unit_item", whole=whole):
             raise Bad

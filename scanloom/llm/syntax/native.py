@@ -789,6 +789,14 @@ class Native(Grammar):
         s = super().flat(text, lender)
         if self.depth:
             raise Bad
+        return s
+
+    def started(self, text: str, count: int) -> tuple[str, int]:
+        self.depth = 0
+        return super().started(text, count)
+
+    def settled(self, s: str, joined: bool) -> str:
+        s = super().settled(s, joined)
         while "ss" in s:
             s = s.replace("ss", "s")
         return s
@@ -864,6 +872,6 @@ class Native(Grammar):
                     roles |= 0
         return roles
 
-    def file(self, s: str) -> None:
-        if not self.series(s, "outer", Cursor, "outer", more=W["catch"] * self.plus):
+    def file(self, s: str, whole: bool = True) -> None:
+        if not self.series(s, "outer", Cursor, "outer", more=W["catch"] * self.plus, whole=whole):
             raise Bad

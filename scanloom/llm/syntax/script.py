@@ -778,10 +778,24 @@ class Script(Grammar):
         return "r" if "/" in s else super().other(s)
 
     def coded(self, text: str, cut: Split | None = None) -> tuple[str, bool]:
-        return super().coded(text[text.find("\n") :] if text.startswith("#!") and "\n" in text else "" if text.startswith("#!") else text)
+        return super().coded(self.headless(text))
 
-    def parses(self, text: str, lender: Grammar | None = None) -> bool:
-        return super().parses(text) or "${" in text and super().parses(self.untangled(text))
+    def started(self, text: str, count: int) -> tuple[str, int]:
+        return super().started(self.headless(text), count)
+
+    @staticmethod
+    def headless(text: str) -> str:
+        """Without the line that names an interpreter."""
+        return text if not text.startswith("#!") else text[text.find("\n") :] if "\n" in text else ""
+
+    def parses(self, text: str, lender: Grammar | None = None, likely: bool = True) -> bool:
+        end = 0 if likely else self.refuted(text := text.replace("\r\n", "\n"))
+        if not end and super().parses(text):
+            return True
+        template = text.find("`") if "${" in text else -1
+        if template < 0 or end and template >= end and not text.startswith("#!"):  # the error stands before all templates
+            return False
+        return super().parses(self.untangled(text))
 
     _step = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|[`{}]")
     _inside = re.compile(r"\\[\s\S]|`|\$\{")
@@ -895,12 +909,12 @@ class Script(Grammar):
     def plain(self, s: str) -> str:
         return s.replace("g", "a") if W["import"] in s or W["export"] in s else s.replace("g", "a").replace("f", "a")
 
-    def block(self, s: str) -> bool:
+    def block(self, s: str, whole: bool = True) -> bool:
         s = self.plain(s)
-        return self.series(s, "statement", Cursor, "statement", ENDS_NL, self.more, self.loop)
+        return self.series(s, "statement", Cursor, "statement", ENDS_NL, self.more, self.loop, whole)
 
-    def file(self, s: str) -> None:
-        if not self.block(s):
+    def file(self, s: str, whole: bool = True) -> None:
+        if not self.block(s, whole):
             raise Bad
 
 
