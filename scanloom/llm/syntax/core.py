@@ -147,14 +147,19 @@ class Split:
     def __init__(self, lex: re.Pattern):
         self.pattern = re.compile(f"({lex.pattern})", lex.flags)
         self.step = self.pattern.groups + 1
+        self.plain = None if lex.groups else lex.findall  # enough where nothing stands between tokens
         self.text: str | None = None
 
     def __call__(self, text: str) -> Split:
         """Itself with the text's ``tokens`` and what stands ``between`` them."""
         if text != self.text:
-            parts = self.pattern.split(text)
-            self.text, self.between, self.tokens = text, parts[:: self.step], parts[1 :: self.step]
-            self.loose = "".join(self.between)
+            self.tokens = self.plain(text) if self.plain else []
+            if sum(map(len, self.tokens)) == len(text):
+                self.between = [""] * (len(self.tokens) + 1)
+            else:
+                parts = self.pattern.split(text)
+                self.between, self.tokens = parts[:: self.step], parts[1 :: self.step]
+            self.text, self.loose = text, "".join(self.between)
         return self
 
     def compared(self) -> None:
